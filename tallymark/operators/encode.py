@@ -166,11 +166,11 @@ def _build(df, recipe: Recipe, n: int, stats: dict, levels: dict, label_mean, la
         columns = [c for c in recipe.categorical if c in kept]
         # The slot after the listed levels takes everything else and is then left out of the
         # vector: an unseen (or dropped first) level is all zeros.
-        index = StringIndexerModel.from_arrays_of_labels(
-            [kept[c] for c in columns], inputCols=columns, outputCols=[f"{c}__i" for c in columns], handleInvalid="keep")
         if recipe.unknown == "error":
             stages.append(SQLTransformer(statement=_check_levels(levels)))
-        stages.append(index)
+        # One stage per column: a stage for all would pad the shorter level lists.
+        stages += [StringIndexerModel.from_labels(kept[c], inputCol=c, outputCol=f"{c}__i", handleInvalid="keep")
+                   for c in columns]
         parts += [f"{c}__o" for c in columns]
         for c in columns:
             names += [f"{c}_{v}" for v in kept[c]]

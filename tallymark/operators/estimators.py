@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
@@ -175,8 +176,8 @@ def top_importances(table: DataFrame, k: int = 20) -> DataFrame:
 
 # --- inference -------------------------------------------------------------
 
-def p_values(encoded: DataFrame, names: list[str], family: str, vector: str = "features", label: str = "__y") -> dict:
-    """Maximum-likelihood p-value per feature (intercept left out).
+def inference(encoded: DataFrame, names: list[str], family: str, vector: str = "features", label: str = "__y") -> list[tuple]:
+    """Maximum-likelihood fit: ``(feature, coefficient, std_error, statistic, p_value)``, intercept last.
 
     Raises ``ValueError`` when the fit is singular and has no p-values.
     """
@@ -187,12 +188,24 @@ def p_values(encoded: DataFrame, names: list[str], family: str, vector: str = "f
             glm = {"logistic": ("binomial", "logit"), "poisson": ("poisson", "log")}[family]
             model = GeneralizedLinearRegression(
                 featuresCol=vector, labelCol=label, family=glm[0], link=glm[1], maxIter=50, tol=1e-8).fit(encoded)
-        values = list(model.summary.pValues)
-    except Exception as e:  # MLlib reports a singular system through the JVM
-        raise ValueError(f"no p-values: {str(e)[:200]}") from e
-    if any(v != v for v in values[: len(names)]):
+        s = model.summary
+        columns = (s.coefficientStandardErrors, s.tValues, s.pValues)
+    except Py4JJavaError as e:  # MLlib reports a singular system this way
+        raise ValueError(f"no p-values: {e.java_exception.getMessage()}") from e
+    rows = list(zip([*names, "(intercept)"], [*model.coefficients, model.intercept], *columns))
+    if any(r[4] != r[4] for r in rows):
         raise ValueError("no p-values: undefined")
-    return dict(zip(names, values))
+    return [(r[0], *map(float, r[1:])) for r in rows]
+
+
+def p_values(encoded: DataFrame, names: list[str], family: str, vector: str = "features", label: str = "__y") -> dict:
+    """P-value per feature, without the intercept."""
+    return {r[0]: r[4] for r in inference(encoded, names, family, vector, label)[:-1]}
+
+
+def inference_table(rows: list[tuple], spark) -> DataFrame:
+    return spark.createDataFrame(
+        rows, "feature string, coefficient double, std_error double, statistic double, p_value double")
 
 
 # --- coefficient paths -----------------------------------------------------

@@ -206,32 +206,54 @@ def g10_polynomial_comparison(spark, d):
     return rounded(out.where("metric IN ('mse', 'rmse', 'mae', 'r2')").drop("fold"))
 
 
+def _inference(df, label, predictors, family, spark):
+    data = df.withColumn("__y", F.col(label).cast("double"))
+    e = fit_encoder(data, Recipe.of(data, predictors, levels="drop_first"))
+    return E.inference_table(E.inference(e.transform(data).select("features", "__y"), e.names, family), spark)
+
+
 @query("g11_inference_linear", """
-WITH s AS (SELECT count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS b, regr_sxx(l_extendedprice, l_quantity) AS sxx,
-                  regr_syy(l_extendedprice, l_quantity) AS syy FROM lineitem)
-SELECT 'l_quantity' AS feature, (abs(b / sqrt((syy - b * b * sxx) / (n - 2) / sxx)) < 2.5758)::INT AS above_one_percent FROM s""")
+WITH s AS (SELECT count(*) AS n, regr_slope(l_extendedprice, l_quantity) * stddev_pop(l_quantity) AS b, var_pop(l_extendedprice) * count(*) AS syy,
+                  avg(l_extendedprice) AS a FROM lineitem),
+r AS (SELECT *, sqrt((syy - b * b * n) / (n - 2) / n) AS se FROM s)
+SELECT 'l_quantity' AS feature, round(b, 3) AS coefficient, round(se, 3) AS std_error, round(b / se, 4) AS statistic FROM r UNION ALL
+SELECT '(intercept)', round(a, 3), round(se, 3), round(a / se, 4) FROM r""")
 def g11_inference_linear(spark, d):
-    """Significance of a slope: p > 0.01 exactly where |t| < 2.5758 (large n)."""
-    df = line_value(spark, d).select(F.col("l_extendedprice").alias("__y"), "l_quantity")
-    e = fit_encoder(df, Recipe(("l_quantity",), levels="drop_first"))
-    p = E.p_values(e.transform(df), e.names, "linear")
-    return df.agg(F.lit("l_quantity").alias("feature"), F.lit(int(p["l_quantity"] > 0.01)).alias("above_one_percent"))
+    """Slope on a standardised predictor with its error and t statistic."""
+    t = _inference(line_value(spark, d), "l_extendedprice", ["l_quantity"], "linear", spark).drop("p_value")
+    return t.select("feature", F.round("coefficient", 3).alias("coefficient"), F.round("std_error", 3).alias("std_error"),
+                    F.round("statistic", 4).alias("statistic"))
+
 
+_GROUPS_SQL = SIDES_SQL + """,
+g AS (SELECT o_orderpriority AS v, avg(n_lines) AS m, sum(n_lines) AS s, sum(hi) AS pos, sum(1 - hi) AS neg FROM sides WHERE split = 'train' GROUP BY 1),
+f AS (SELECT * FROM g ORDER BY v LIMIT 1)"""
 
-@query("g11_inference_poisson")
+
+@query("g11_inference_poisson", with_tables(_GROUPS_SQL, """
+, c AS (SELECT 'o_orderpriority_' || g.v AS feature, ln(g.m / f.m) AS b, sqrt(1 / g.s + 1 / f.s) AS se FROM g, f WHERE g.v <> f.v
+        UNION ALL SELECT '(intercept)', ln(m), sqrt(1 / s) FROM f)
+SELECT feature, round(b, 4) AS coefficient, round(se, 4) AS std_error, round(b / se, 2) AS statistic FROM c"""))
 def g11_inference_poisson(spark, d):
-    train = _train(spark, d).withColumn("__y", F.col(COUNT).cast("double"))
-    e = fit_encoder(train, Recipe.of(train, ["o_totalprice", "c_acctbal", "o_orderpriority"], levels="drop_first"))
-    p = E.p_values(e.transform(train).select("features", "__y"), e.names, "poisson")
-    return rounded(spark.createDataFrame(list(p.items()), "feature string, p_value double"))
+    """Log rate ratios against the first level."""
+    t = _inference(_train(spark, d), COUNT, ["o_orderpriority"], "poisson", spark).drop("p_value")
+    return rounded(t.withColumn("statistic", F.round("statistic", 2)), 4)
 
 
-@query("g11_inference_logistic")
+@query("g11_inference_logistic", with_tables(_GROUPS_SQL, """
+, c AS (SELECT 'o_orderpriority_' || g.v AS feature, ln(g.pos / g.neg / (f.pos / f.neg)) AS b,
+               sqrt(1 / g.pos + 1 / g.neg + 1 / f.pos + 1 / f.neg) AS se FROM g, f WHERE g.v <> f.v
+        UNION ALL SELECT '(intercept)', ln(pos / neg), sqrt(1 / pos + 1 / neg) FROM f)
+SELECT feature, round(b, 4) AS coefficient, round(se, 4) AS std_error, round(b / se, 2) AS statistic FROM c"""))
 def g11_inference_logistic(spark, d):
-    train = _train(spark, d).withColumn("__y", F.col(BINARY).cast("double"))
-    e = fit_encoder(train, Recipe.of(train, ["o_totalprice", "c_acctbal", "o_orderpriority"], levels="drop_first"))
-    p = E.p_values(e.transform(train).select("features", "__y"), e.names, "logistic")
-    return rounded(spark.createDataFrame(list(p.items()), "feature string, p_value double"))
+    """Log odds ratios against the first level."""
+    t = _inference(_train(spark, d), BINARY, ["o_orderpriority"], "logistic", spark).drop("p_value")
+    return rounded(t.withColumn("statistic", F.round("statistic", 2)), 4)
+
+
+@query("g11_inference_p_values")
+def g11_inference_p_values(spark, d):
+    return rounded(_inference(_train(spark, d), COUNT, ["o_totalprice", "c_acctbal", "o_orderpriority"], "poisson", spark))
 
 
 _PATH_SQL = """

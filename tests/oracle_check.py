@@ -78,7 +78,7 @@ def main():
         try:
             message, n = compare(spark, con, folder, name, fn, oracles.get(name))
         except Exception as e:
-            message, n = f"{type(e).__name__}: {str(e)[:700]}", -1
+            message, n = f"{type(e).__name__}: {str(e)[:3000]}", -1
         took = time.time() - start
         total += took
         failed += message is not None
