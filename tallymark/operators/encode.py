@@ -53,7 +53,7 @@ class Encoder:
     sources: list[str]                    # source column of each slot
     n: int                                # rows fitted on
     label_mean: float | None = None
-    label_std: float | None = None        # sample deviation
+    label_std: float | None = None        # population deviation
     means: dict = field(default_factory=dict)
     scales: dict = field(default_factory=dict)
     levels: dict = field(default_factory=dict)
@@ -112,7 +112,7 @@ def fit_encoders(
         n = int(sum(r["n"] for r in rows))
         out[left_out] = _build(
             df.drop(fold) if whole_only else df, recipe, n, dict(zip(recipe.numeric, stats)), seen,
-            y.mean if y else None, (y.m2 / max(y.n - 1, 1)) ** 0.5 if y else None)
+            y.mean if y else None, (y.m2 / max(y.n, 1)) ** 0.5 if y else None)
     return out
 
 

@@ -14,16 +14,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor,
 )
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
-from tallymark.operators.encode import Encoder, Recipe, balanced_weights, fit_encoder
+from tallymark.operators.encode import MAX_FEATURES, Encoder, Recipe, fit_encoder
 from tallymark.operators.mlp import fit_mlp
 from tallymark.operators.splits import validation_slice
+from tallymark.session import cache_spread
 
 PROBABILITY_CUT = 0.4  # class 1 from this probability on
 SEED = 42
 # Keeps the normal equations of full one-hot sets solvable; picks the smallest coefficients.
 TINY_RIDGE = 1e-9
+UNPENALISED = 1e-6  # Poisson penalties below this count as none
 
 
 @dataclass(frozen=True)
@@ -42,7 +45,9 @@ class Spec:
         options = {"levels": "all"}
         if self.family == "polynomial":
             options["degree"] = self.params.get("degree", 2)
-        if self.family == "mlp":
+        unpenalised = self.family == "poisson" and self.params.get("alpha", 1.0) < UNPENALISED
+        if self.family == "mlp" or unpenalised:
+            # Without a penalty a full set of levels is singular; predictions are the same.
             options["levels"] = "drop_first"
         return Recipe.of(df, list(self.predictors), **options)
 
@@ -67,18 +72,18 @@ class Fitted:
         return scored.select(*kept, F.col("prediction").alias("yhat"))
 
 
-def fit(df: DataFrame, spec: Spec, encoder: Encoder | None = None) -> Fitted:
+def fit(df: DataFrame, spec: Spec, encoder: Encoder | None = None, cached: bool = False) -> Fitted:
     """Encode and fit on all rows of ``df``.
 
     Solvers read their input once per iteration, so the needed columns are cached for the
-    time of the fit (spilling to disk), unless the caller has cached ``df`` already.
+    time of the fit (spilling to disk), unless ``cached`` says that ``df`` comes from a cache.
     """
-    base = df if df.storageLevel.useMemory else needed_columns(df, [spec]).persist()
+    base = df if cached else cache_spread(needed_columns(df, [spec]))
     try:
         encoder = encoder or fit_encoder(base, spec.recipe(base), spec.label)
         return fit_rows(training_rows(base, spec, encoder), spec, encoder)
     finally:
-        if base is not df:
+        if not cached:
             base.unpersist()
 
 
@@ -99,7 +104,9 @@ def training_rows(df: DataFrame, spec: Spec, encoder: Encoder) -> DataFrame:
     data = df.withColumn("__y", F.col(spec.label).cast("double"))
     columns = ["features", "__y"]
     if spec.family == "logistic" and spec.params.get("balanced", True):
-        data = balanced_weights(data, "__y", "__w")
+        # n / (2 * n_c) per class, from the label mean that the encoder's pass has found.
+        share = min(max(encoder.label_mean, 1e-300), 1 - 1e-16)
+        data = data.withColumn("__w", F.when(F.col("__y") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
         columns.append("__w")
     if spec.family == "mlp":
         if not spec.key:
@@ -112,17 +119,21 @@ def training_rows(df: DataFrame, spec: Spec, encoder: Encoder) -> DataFrame:
 def make_estimator(spec: Spec, encoder: Encoder):
     """MLlib estimator for a spec; row count and label moments come from the encoder's pass."""
     q, n = spec.params, encoder.n
+    # MLlib divides its penalty by the label's deviation: that of the population in the
+    # normal-equation solver, that of the sample in the iterative one for wider vectors.
     spread = encoder.label_std or 1.0
+    if encoder.width > MAX_FEATURES:
+        spread *= (n / max(n - 1, 1)) ** 0.5
     if spec.family == "poisson":
         return GeneralizedLinearRegression(
-            family="poisson", link="log", labelCol="__y", maxIter=q.get("max_iter", 50), tol=1e-10,
+            family="poisson", link="log", labelCol="__y", maxIter=q.get("max_iter", 50), tol=1e-8,
             regParam=q.get("alpha", 1.0) / max(encoder.label_mean, 1e-12))
     if spec.family in ("ols", "polynomial"):
         return LinearRegression(
-            labelCol="__y", solver="normal", standardization=False, regParam=q.get("ridge", TINY_RIDGE) * spread)
+            labelCol="__y", standardization=False, regParam=q.get("ridge", TINY_RIDGE) * spread)
     if spec.family == "ridge":
         return LinearRegression(
-            labelCol="__y", solver="normal", standardization=False, regParam=q.get("alpha", 1.0) / n * spread)
+            labelCol="__y", standardization=False, regParam=q.get("alpha", 1.0) / n * spread)
     if spec.family == "elastic_net":
         l1 = q.get("alpha", 0.001) * q.get("l1_ratio", 0.8)
         l2 = q.get("alpha", 0.001) * (1 - q.get("l1_ratio", 0.8)) * spread
@@ -190,8 +201,8 @@ def inference(encoded: DataFrame, names: list[str], family: str, vector: str = "
                 featuresCol=vector, labelCol=label, family=glm[0], link=glm[1], maxIter=50, tol=1e-8).fit(encoded)
         s = model.summary
         columns = (s.coefficientStandardErrors, s.tValues, s.pValues)
-    except Py4JJavaError as e:  # MLlib reports a singular system this way
-        raise ValueError(f"no p-values: {e.java_exception.getMessage()}") from e
+    except (Py4JJavaError, PySparkException) as e:  # MLlib reports a singular system this way
+        raise ValueError(f"no p-values: {str(e)[:200]}") from e
     rows = list(zip([*names, "(intercept)"], [*model.coefficients, model.intercept], *columns))
     if any(r[4] != r[4] for r in rows):
         raise ValueError("no p-values: undefined")
@@ -221,7 +232,7 @@ def coefficient_paths(df: DataFrame, spec: Spec, alphas: list[float], l1_ratios:
     The data is encoded and cached once; only coefficients reach the driver.
     """
     encoder = fit_encoder(df, spec.recipe(df), spec.label)
-    data = encoder.transform(df.withColumn("__y", F.col(spec.label).cast("double"))).select("features", "__y").persist()
+    data = cache_spread(encoder.transform(df.withColumn("__y", F.col(spec.label).cast("double"))).select("features", "__y"))
     rows = []
     try:
         for ratio in l1_ratios:

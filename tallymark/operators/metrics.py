@@ -244,10 +244,14 @@ def threshold_table(df: DataFrame, y: str, p: str, lo: float = 0.1, hi: float =
     """Confusion cells at every threshold of an even grid.
 
     A row adds to the highest threshold its score reaches, and a running sum over the grid
-    gives the counts: the rows are read once instead of once per threshold.
+    gives the counts: the rows are read once instead of once per threshold. The place on the
+    grid is computed and then corrected by one step against the exact thresholds.
     """
-    grid = [i * ((hi - lo) / (steps - 1)) + lo for i in range(steps)]
-    reached = sum((F.col(p) >= F.lit(t)).cast("int") for t in grid)
+    step = (hi - lo) / (steps - 1)
+    grid = F.array(*[F.lit(i * step + lo) for i in range(steps)])
+    guess = F.least(F.greatest(F.floor((F.col(p) - lo) / step), F.lit(0)), F.lit(steps - 1)).cast("int")
+    here, after = F.get(grid, guess), F.get(grid, guess + 1)
+    reached = guess + F.when(F.col(p) < here, 0).when(F.col(p) >= after, 2).otherwise(1)
     counts = df.groupBy(reached.alias("reached")).agg(
         F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) == 0).cast("long")).alias("neg"))
     spots = df.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("reached"))
@@ -258,7 +262,7 @@ def threshold_table(df: DataFrame, y: str, p: str, lo: float = 0.1, hi: float =
         "reached", F.sum("pos").over(upper).alias("tp"), F.sum("neg").over(upper).alias("fp"),
         (F.sum("pos").over(whole) - F.sum("pos").over(upper)).alias("fn"),
         (F.sum("neg").over(whole) - F.sum("neg").over(upper)).alias("tn"))
-    threshold = F.element_at(F.array(*[F.lit(t) for t in grid]), F.col("reached"))
+    threshold = F.get(grid, F.col("reached") - 1)
     return with_rates(cells.where("reached > 0").withColumn("threshold", threshold)).withColumn(
         "balanced", F.col("f1")).drop("reached")
 

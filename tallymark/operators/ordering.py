@@ -82,22 +82,21 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     from distributed running counts: no group is ever held by one task.
     """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("cnt"))
-    running = running_totals(counts, [value], ["cnt"], by)
-    if by:
-        running = running.join(counts.groupBy(*by).agg(F.sum("cnt").alias("n")), by)
-    else:
-        running = running.withColumn("n", counts.agg(F.sum("cnt")).scalar())
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
+    running = running_totals(counts, [value], ["__c"], by)
+    # A group's size is its last running total.
+    sizes = running.groupBy(*by).agg(F.max("cum___c").alias("__n"))
+    running = running.join(sizes, by) if by else running.withColumn("__n", sizes.scalar())
     aggs = []
     for i, p in enumerate(probs):
-        place = (F.col("n") - 1) * F.lit(float(p))
+        place = (F.col("__n") - 1) * F.lit(float(p))
         for name, at in ((f"__lo{i}", F.floor(place)), (f"__hi{i}", F.ceil(place))):
-            hit = (F.col("cum_cnt") - F.col("cnt") <= at) & (at < F.col("cum_cnt"))
+            hit = (F.col("cum___c") - F.col("__c") <= at) & (at < F.col("cum___c"))
             aggs.append(F.max(F.when(hit, F.col(value))).alias(name))
-    found = running.groupBy(*by).agg(F.max("n").alias("n"), *aggs)
+    found = running.groupBy(*by).agg(F.max("__n").alias("__n"), *aggs)
     out = []
     for i, p in enumerate(probs):
-        place = (F.col("n") - 1) * F.lit(float(p))
+        place = (F.col("__n") - 1) * F.lit(float(p))
         lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
         out.append((lo + (hi - lo) * (place - F.floor(place))).alias(f"q{i}"))
-    return found.select(*by, "n", *out)
+    return found.select(*by, F.col("__n").alias("n"), *out)

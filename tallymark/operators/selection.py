@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallymark.operators.encode import Recipe, fit_encoder
 from tallymark.operators.estimators import p_values
+from tallymark.session import cache_spread
 
 
 def drop_redundant(predictors: list[str], pairs: list[tuple[str, str]]) -> list[str]:
@@ -40,7 +41,7 @@ def backward_selection(
     """
     clean = drop_redundant(predictors, list(redundant_pairs))
     columns = [F.col(f"`{c}`") for c in clean]
-    base = df.select(F.col(label).cast("double").alias("__y"), *columns).persist()
+    base = cache_spread(df.select(F.col(label).cast("double").alias("__y"), *columns))
     encoded = None
     try:
         encoder = fit_encoder(base, Recipe.of(base, clean, levels="drop_first", unknown="error"))

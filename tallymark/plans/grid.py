@@ -12,8 +12,8 @@ from tallymark.operators.encode import fit_encoders
 from tallymark.operators.estimators import Spec, fit_rows, needed_columns, training_rows
 from tallymark.operators import metrics as M
 from tallymark.operators.splits import with_contiguous_folds, with_folds
-from tallymark.session import stage
-from tallymark.plans.train import PARALLEL_FITS, Result, run_parallel, train_and_score
+from tallymark.session import cache_spread, stage
+from tallymark.plans.train import PARALLEL_FITS, Result, run_parallel, train_all
 
 # The published parameter grids. They are large; pass smaller ones for a quick search.
 GRIDS = {
@@ -45,7 +45,7 @@ def grid_search(
     """
     points = expand(grid)
     folded = with_contiguous_folds(df, key, k) if contiguous else with_folds(df, key, k)
-    base = needed_columns(folded, [spec], [key, "fold"]).persist()
+    base = cache_spread(needed_columns(folded, [spec], [key, "fold"]))
     rows = []
     try:
         encoders = fit_encoders(base, spec.recipe(base), "fold", spec.label)
@@ -55,7 +55,7 @@ def grid_search(
                 "features", F.col(spec.label).cast("double").alias("y"))
             try:
                 models = run_parallel(
-                    [lambda q=q: fit_rows(train, spec.with_params(**q), encoders[i]).model for q in points],
+                    df.sparkSession, [lambda q=q: fit_rows(train, spec.with_params(**q), encoders[i]).model for q in points],
                     workers)
                 rows += _score(valid, models, points, "valid", i, spec)
                 if with_train:
@@ -112,13 +112,10 @@ def tune_and_train(
     found = stage(grid_search(df.where("split = 'train'"), spec, grid, key, k, contiguous))
     summary = summarise(found, "cv_deviance" if spec.family == "poisson" else "cv_mse")
     best = [json.loads(r["params"]) for r in top_points(summary, retrain).collect()]  # ``retrain`` rows
-    return summary, [
-        train_and_score(df, replace(spec, name=f"{spec.name}_rank{i}", params={**spec.params, **q}), key, k)
-        for i, q in enumerate(best, 1)]
+    ranked = [replace(spec, name=f"{spec.name}_rank{i}", params={**spec.params, **q}) for i, q in enumerate(best, 1)]
+    return summary, train_all(df, ranked, key, k)
 
 
 def compare_degrees(df: DataFrame, spec: Spec, degrees: list[int], key: str, k: int = 10) -> list[Result]:
     """Polynomial regressions of rising degree on the same split."""
-    return [
-        train_and_score(df, replace(spec, name=f"poly_deg_{d}", family="polynomial", params={"degree": d}), key, k)
-        for d in degrees]
+    return train_all(df, [replace(spec, name=f"poly_deg_{d}", family="polynomial", params={"degree": d}) for d in degrees], key, k)

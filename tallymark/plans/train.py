@@ -11,44 +11,54 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymark.operators import metrics as M
-from tallymark.operators.encode import fit_encoders
+from tallymark.operators.encode import Encoder, fit_encoders
 from tallymark.operators.estimators import Fitted, Spec, fit, fit_rows, needed_columns, training_rows
 from tallymark.operators.splits import with_contiguous_folds, with_folds, with_split
-from tallymark.session import stage
+from tallymark.session import cache_spread, stage
 
 PARALLEL_FITS = 4  # concurrent Spark jobs; the cluster shares its executors among them
 
 
-def run_parallel(tasks: list, workers: int = PARALLEL_FITS) -> list:
+def run_parallel(spark: SparkSession, tasks: list, workers: int = PARALLEL_FITS) -> list:
     """Run driver-side closures that submit Spark jobs, results in order."""
     if workers <= 1 or len(tasks) == 1:
         return [t() for t in tasks]
+    inherit = inheritable_thread_target(spark)
     with ThreadPoolExecutor(workers) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+        return [f.result() for f in [pool.submit(inherit(t)) for t in tasks]]
 
 
 def out_of_fold(
     df: DataFrame, spec: Spec, key: str, k: int = 10, contiguous: bool = False, with_train: bool = False,
-    workers: int = PARALLEL_FITS,
+    cached: bool = False, workers: int = PARALLEL_FITS,
 ) -> DataFrame:
     """Staged predictions of every row by the model fitted without its fold.
 
     Columns ``key, fold, side, y, yhat[, p]``; ``side`` is ``valid``, and with ``with_train``
-    also ``train`` (each row once per fold it was fitted in).
+    also ``train`` (each row once per fold it was fitted in). ``cached`` says that ``df``
+    comes from a cache, so that it is not cached again.
     """
-    folded = with_contiguous_folds(df, key, k) if contiguous else with_folds(df, key, k)
-    base = needed_columns(folded, [spec], [key, "fold"]).persist()
+    return _out_of_fold(df, spec, key, k, contiguous, with_train, cached, workers)[0]
+
+
+def _out_of_fold(df, spec, key, k, contiguous, with_train, cached, workers=PARALLEL_FITS) -> tuple[DataFrame, Encoder]:
+    """The predictions and the encoder of all rows, which the same pass yields."""
+    narrow = needed_columns(df, [spec], [key])
+    base = with_contiguous_folds(narrow, key, k) if contiguous else with_folds(narrow, key, k)
+    keep = contiguous or not cached  # hashed folds are a plain projection of cached rows
+    if keep:
+        base = cache_spread(base)
     try:
-        encoders = fit_encoders(base, spec.recipe(base), "fold", spec.label)
+        encoders = fit_encoders(base, spec.recipe(narrow), "fold", spec.label)
         folds = sorted(i for i in encoders if i >= 0)
 
         def one(i: int) -> Fitted:
             return fit_rows(training_rows(base.where(F.col("fold") != i), spec, encoders[i]), spec, encoders[i])
 
-        models = run_parallel([lambda i=i: one(i) for i in folds], workers)
+        models = run_parallel(df.sparkSession, [lambda i=i: one(i) for i in folds], workers)
         parts = []
         for i, model in zip(folds, models):
             wanted = [("valid", base.where(F.col("fold") == i))]
@@ -59,9 +69,10 @@ def out_of_fold(
                 parts.append(scored.select(
                     key, F.lit(i).alias("fold"), F.lit(side).alias("side"), F.col(spec.label).cast("double").alias("y"),
                     F.col("yhat").cast("double").alias("yhat"), *(["p"] if spec.family == "logistic" else [])))
-        return stage(reduce(DataFrame.unionByName, parts))
+        return stage(reduce(DataFrame.unionByName, parts)), encoders[-1]
     finally:
-        base.unpersist()
+        if keep:
+            base.unpersist()
 
 
 def fold_metrics(oof: DataFrame, spec: Spec) -> DataFrame:
@@ -153,16 +164,23 @@ def score(fitted: Fitted, test: DataFrame, key: str) -> DataFrame:
 
 def train_and_score(
     df: DataFrame, spec: Spec, key: str, k: int = 10, contiguous: bool = False, with_train: bool = False,
+    cached: bool = False,
 ) -> Result:
-    """Cross-validate on the train side, refit on all of it, score the test side.
+    """Cross-validate on the train side, fit on all of it, score the test side.
 
-    ``df`` holds both sides; a missing ``split`` column is added.
+    ``df`` holds both sides; a missing ``split`` column is added. Its needed columns are
+    cached once for all of this, unless ``cached`` says that ``df`` comes from a cache.
     """
     sides = df if "split" in df.columns else with_split(df, key)
-    train, test = sides.where("split = 'train'"), sides.where("split = 'test'")
-    oof = out_of_fold(train, spec, key, k, contiguous, with_train)
-    fitted = fit(train, spec)
-    predictions = stage(score(fitted, test, key))
+    base = sides if cached else cache_spread(needed_columns(sides, [spec], [key, "split"]))
+    try:
+        train, test = base.where("split = 'train'"), base.where("split = 'test'")
+        oof, encoder = _out_of_fold(train, spec, key, k, contiguous, with_train, cached=True)
+        fitted = fit(train, spec, encoder, cached=True)
+        predictions = stage(score(fitted, test, key))
+    finally:
+        if not cached:
+            base.unpersist()
     metrics = stage(cv_metrics(oof, spec).unionByName(test_metrics(predictions, spec)))
     return Result(spec, fitted, oof, predictions, metrics)
 
@@ -175,19 +193,22 @@ def best_model(metrics: DataFrame, metric: str, smaller: bool = True) -> DataFra
         "model", "metric", "value")
 
 
-def train_family(df: DataFrame, specs: list[Spec], key: str, k: int = 10) -> tuple[list[Result], Result]:
-    """Train every spec of one family, pick the best by CV and refit it."""
+def train_all(df: DataFrame, specs: list[Spec], key: str, k: int = 10) -> list[Result]:
+    """Train a list of models on one cached table of all their columns."""
     sides = df if "split" in df.columns else with_split(df, key)
-    results = [train_and_score(sides, s, key, k) for s in specs]
+    base = cache_spread(needed_columns(sides, specs, [key, "split"]))
+    try:
+        return [train_and_score(base, s, key, k, cached=True) for s in specs]
+    finally:
+        base.unpersist()
+
+
+def choose(results: list[Result]) -> Result:
+    """Best of one family by CV, the first on ties. It is already fitted on the whole train side."""
     table = reduce(DataFrame.unionByName, [
         r.metrics.withColumn("order", F.lit(i)) for i, r in enumerate(results)])
-    metric, smaller = primary_metric(specs[0])
-    winner = best_model(table, metric, smaller).first()["model"]
-    chosen = next(r for r in results if r.spec.name == winner)
-    refitted = fit(sides.where("split = 'train'"), chosen.spec)
-    predictions = stage(score(refitted, sides.where("split = 'test'"), key))
-    metrics = chosen.metrics.where("split = 'cv'").unionByName(test_metrics(predictions, chosen.spec))
-    return results, Result(chosen.spec, refitted, chosen.oof, predictions, metrics)
+    winner = best_model(table, *primary_metric(results[0].spec)).first()["model"]
+    return next(r for r in results if r.spec.name == winner)
 
 
 def side_by_side(metrics: DataFrame, names: list[str]) -> DataFrame:

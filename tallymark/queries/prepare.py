@@ -14,12 +14,13 @@ from tallymark.functions.columns import (
 from tallymark.operators import profile
 
 from tallymark.operators.selection import drop_redundant
+from tallymark.operators.smote import smote
 from tallymark.operators.splits import undersample, validation_slice, with_contiguous_folds, with_folds, with_split
 from tallymark.plans.catalogue import PREDICTOR_SETS, REDUNDANT_PAIRS, complete_rows
 from tallymark.queries.registry import query, rounded, with_tables
 from tallymark.session import staging_root
 from tallymark.sources.fixtures import (
-    COUNT, KEY, ORDER_FACT_SQL, SCORED_SQL, doc_label, hash_sql, line_value, order_fact,
+    COUNT, KEY, ORDER_FACT_SQL, SCORED_SQL, doc_label, emb_label, hash_sql, line_value, order_fact,
     scored_orders,
 )
 from tallymark.sources.tables import drop_incomplete, read_csv, table
@@ -239,3 +240,43 @@ def d5_undersample_orders(spark, d):
     return undersample(order_fact(spark, d).select(KEY, "hi"), KEY, "hi")
 
 
+
+
+_SMOTE_SQL = f"""
+WITH l AS (SELECT doc_id::VARCHAR AS doc_id, toxic, n_chars::DOUBLE AS n_chars, (lang = 'en')::INT::DOUBLE AS is_en
+           FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT toxic, count(*) AS n, max(count(*)) OVER () - count(*) AS need FROM l GROUP BY 1),
+m AS (SELECT l.*, need, n, md5(n_chars || ',' || is_en) AS pid,
+             row_number() OVER (PARTITION BY toxic ORDER BY {hash_sql('smote:42', 'doc_id')}, doc_id) AS place FROM l JOIN c USING (toxic) WHERE need > 0),
+pts AS (SELECT toxic, pid, any_value(n_chars) AS n_chars, any_value(is_en) AS is_en, count(*) AS copies FROM m GROUP BY 1, 2),
+near AS (SELECT a.toxic, a.pid, b.pid AS nn, b.copies AS weight, b.n_chars, b.is_en,
+                row_number() OVER (PARTITION BY a.toxic, a.pid ORDER BY sqrt((a.n_chars - b.n_chars) ^ 2 + (a.is_en - b.is_en) ^ 2), b.pid) AS place
+         FROM pts a JOIN pts b ON a.toxic = b.toxic AND a.pid <> b.pid),
+slots AS (SELECT *, sum(weight) OVER (PARTITION BY toxic, pid ORDER BY place) AS upto FROM (
+            SELECT toxic, pid, pid AS nn, copies - 1 AS weight, n_chars, is_en, 0 AS place FROM pts WHERE copies > 1 UNION ALL
+            SELECT toxic, pid, nn, weight, n_chars, is_en, place FROM near WHERE place <= 5)),
+tot AS (SELECT toxic, pid, least(5, sum(weight)) AS total FROM slots GROUP BY 1, 2),
+asked AS (SELECT m.*, unnest(range(1, (need // n + (place <= need % n)::INT + 1)::BIGINT)) AS copy FROM m),
+picked AS (SELECT asked.*, {hash_sql('smote-pick:42', "doc_id || ':' || copy")} % total AS pick,
+                  {hash_sql('smote-step:42', "doc_id || ':' || copy")} / 4294967296.0 AS step FROM asked JOIN tot USING (toxic, pid))
+SELECT doc_id, toxic, n_chars, is_en, NULL AS base, NULL AS neighbour, NULL::DOUBLE AS step FROM l UNION ALL
+SELECT p.doc_id || '#' || copy, p.toxic, round(p.n_chars + step * (s.n_chars - p.n_chars), 6), round(p.is_en + step * (s.is_en - p.is_en), 6),
+       p.pid, s.nn, round(step, 6) FROM picked p JOIN slots s ON s.toxic = p.toxic AND s.pid = p.pid AND s.upto - s.weight <= pick AND pick < s.upto"""
+
+
+@query("d6_smote", _SMOTE_SQL)
+def d6_smote(spark, d):
+    """Toxic documents grown to the size of the others, in length and language columns."""
+    docs = doc_label(spark, d).withColumn("is_en", (F.col("lang") == "en").cast("double"))
+    return rounded(smote(docs, "doc_id", "toxic", ["n_chars", "is_en"]))
+
+
+@query("d6_smote_class_sizes", """
+WITH l AS (SELECT (label = 0)::INT AS is_zero FROM embeddings), c AS (SELECT is_zero, count(*) AS n FROM l GROUP BY 1)
+SELECT is_zero, (SELECT max(n) FROM c)::BIGINT AS n, n AS original, (SELECT max(n) FROM c) - n AS synthetic FROM c""")
+def d6_smote_class_sizes(spark, d):
+    """64 inputs: sizes after growing."""
+    grown = smote(emb_label(spark, d), "vec_id", "is_zero", [f"e{i}" for i in range(64)])
+    made = F.col("step").isNotNull()
+    return grown.groupBy("is_zero").agg(F.count("*").alias("n"), F.sum((~made).cast("long")).alias("original"),
+                                        F.sum(made.cast("long")).alias("synthetic"))

@@ -226,5 +226,5 @@ def h15_side_by_side(spark, d):
     """Two predictor sets of each of the three families next to each other."""
     sides = _sides(spark, d)
     picked = [s for family in ("poisson", "ols", "logistic") for s in specs(family, PREDICTOR_SETS[:2])]
-    table = reduce(DataFrame.unionByName, [T.train_and_score(sides, s, KEY, 3).metrics for s in picked])
+    table = reduce(DataFrame.unionByName, [r.metrics for r in T.train_all(sides, picked, KEY, 3)])
     return rounded(T.side_by_side(table, ["poisson_deviance", "mse", "r2", "roc_auc", "f1"]))

@@ -50,3 +50,20 @@ def stage(df: DataFrame) -> DataFrame:
     path = os.path.join(staging_root(spark), f"stage-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cache_spread(df: DataFrame) -> DataFrame:
+    """Cache rows that will be read many times, in no fewer partitions than there are cores.
+
+    A small or badly split input would keep most cores idle in every pass. It is then dealt
+    out once more; a large table already has more partitions and is cached as it comes, with
+    no shuffle. Asking for the number of partitions is also what fills the cache.
+    """
+    cached = df.persist()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if cached.rdd.getNumPartitions() >= cores:
+        return cached
+    spread = cached.repartition(cores).persist()
+    spread.count()
+    cached.unpersist()
+    return spread
