@@ -75,24 +75,66 @@ def running_totals(
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] = ()) -> DataFrame:
+ACCURACY = 10_000  # relative rank error 1/ACCURACY of the approximate bounds
+SMALL_GROUP = 100_000  # groups up to this size are ordered whole
+
+
+def exact_quantiles(
+    df: DataFrame, value: str, probs: list[float], by: list[str] = (), small_group: int = SMALL_GROUP
+) -> DataFrame:
     """Linear-interpolation quantiles per group, exact, as columns ``by.., n, q0, q1, ..``.
 
-    Values are counted first, so copies cost nothing, and the order statistics are found
-    from distributed running counts: no group is ever held by one task.
+    A first pass finds approximate bounds around each wanted place in groups too large to order
+    whole. The second pass orders only the values within the bounds; all others are merely
+    counted, which the map side does. Values are counted before they are shuffled, so copies
+    cost nothing, and running counts are distributed: no group is held by one task.
+    Should a bound ever miss its place, the whole group is ordered after all.
     """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    running = running_totals(counts, [value], ["__c"], by)
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    margin = 3.0 / ACCURACY
+    ends = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+    bounds = stage(rows.groupBy(*by).agg(
+        F.count("*").alias("__n"), F.percentile_approx("__v", ends, ACCURACY).alias("__e")))
+    if bounds.where(F.col("__n") > small_group).isEmpty():
+        return _quantiles(rows.withColumn("__in", F.lit(1)), probs, by)
+
+    if by:
+        bounded = rows.join(bounds, by)  # one row per group on the right; its size decides the join
+    else:
+        limits = bounds.select(F.struct("__n", "__e")).scalar()
+        bounded = rows.withColumns({"__n": limits["__n"], "__e": limits["__e"]})
+    lows = [F.col("__e")[i] for i in range(len(probs))]
+    highs = [F.col("__e")[len(probs) + i] for i in range(len(probs))]
+    inside = F.col("__n") <= small_group
+    for lo, hi in zip(lows, highs):
+        inside = inside | F.col("__v").between(lo, hi)
+    # A value outside all bounds is counted at the nearest upper bound below it (null: below all).
+    under = F.greatest(*[F.when(hi < F.col("__v"), hi) for hi in highs], F.lit(None).cast("double"))
+    marked = bounded.select(*by, F.when(inside, F.col("__v")).otherwise(under).alias("__v"), inside.cast("int").alias("__in"))
+    found = stage(_quantiles(marked, probs, by))
+    missed = F.lit(False)
+    for i in range(len(probs)):
+        missed = missed | F.col(f"q{i}").isNull()
+    if found.where(missed).isEmpty():
+        return found
+    return _quantiles(rows.withColumn("__in", F.lit(1)), probs, by)
+
+
+def _quantiles(rows: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
+    """Quantiles of ``__v``; rows with ``__in = 0`` only shift the places of those above them."""
+    counts = rows.groupBy(*by, "__v").agg(F.count("*").alias("__c"), F.sum("__in").alias("__real"))
+    running = running_totals(counts, [F.col("__v").asc_nulls_first()], ["__c"], by)
     # A group's size is its last running total.
     sizes = running.groupBy(*by).agg(F.max("cum___c").alias("__n"))
     running = running.join(sizes, by) if by else running.withColumn("__n", sizes.scalar())
+    start = F.col("cum___c") - F.col("__c")
     aggs = []
     for i, p in enumerate(probs):
         place = (F.col("__n") - 1) * F.lit(float(p))
         for name, at in ((f"__lo{i}", F.floor(place)), (f"__hi{i}", F.ceil(place))):
-            hit = (F.col("cum___c") - F.col("__c") <= at) & (at < F.col("cum___c"))
-            aggs.append(F.max(F.when(hit, F.col(value))).alias(name))
+            hit = (start <= at) & (at < start + F.col("__real"))
+            aggs.append(F.max(F.when(hit, F.col("__v"))).alias(name))
     found = running.groupBy(*by).agg(F.max("__n").alias("__n"), *aggs)
     out = []
     for i, p in enumerate(probs):
