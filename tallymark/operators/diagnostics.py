@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallymark.functions.columns import log_target, normal_quantile
 from tallymark.operators import profile
 from tallymark.operators.ordering import exact_quantiles, ranked
+from tallymark.session import stage
 
 
 def residuals(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
@@ -46,10 +47,10 @@ def qq_line(points: DataFrame) -> DataFrame:
 def error_by_actual(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
     """Box-plot numbers of the error ``yhat - y`` per actual value."""
     errors = df.select(F.col(y).alias("actual"), (F.col(yhat) - F.col(y)).alias("error"))
-    boxes = exact_quantiles(errors, "error", [0.25, 0.5, 0.75], by=["actual"]).select(
-        "actual", "n", F.col("q0").alias("q25"), F.col("q1").alias("median"), F.col("q2").alias("q75"))
+    boxes = stage(exact_quantiles(errors, "error", [0.25, 0.5, 0.75], by=["actual"]).select(
+        "actual", "n", F.col("q0").alias("q25"), F.col("q1").alias("median"), F.col("q2").alias("q75")))
     reach = 1.5 * (F.col("q75") - F.col("q25"))
-    # One row per actual value on the right; Catalyst broadcasts it if it is small.
+    # One staged row per actual value on the right: broadcast if small.
     inside = errors.join(boxes, "actual").where(
         (F.col("error") >= F.col("q25") - reach) & (F.col("error") <= F.col("q75") + reach))
     whiskers = inside.groupBy("actual").agg(F.min("error").alias("whisker_low"), F.max("error").alias("whisker_high"))

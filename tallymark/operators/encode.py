@@ -15,6 +15,7 @@ from pyspark.ml.feature import OneHotEncoder, PolynomialExpansion, SQLTransforme
 from pyspark.sql import DataFrame, functions as F
 
 from tallymark.functions.columns import split_by_type
+from tallymark.session import stage
 
 MAX_FEATURES = 4096  # limit of MLlib's normal-equation solver, so also of the level lists held by the driver
 
@@ -231,4 +232,4 @@ def balanced_weights(df: DataFrame, label: str, weight: str = "weight") -> DataF
     counts = df.groupBy(label).agg(F.count("*").alias("__c"))
     totals = counts.agg(F.struct(F.sum("__c").alias("n"), F.count("*").alias("k"))).scalar()
     weights = counts.select(label, (totals["n"] / (totals["k"] * F.col("__c"))).alias(weight))
-    return df.join(F.broadcast(weights.where(F.col(label).isNotNull())), label)  # one row per class
+    return df.join(stage(weights.where(F.col(label).isNotNull())), label)  # one staged row per class: broadcast if small

@@ -52,27 +52,38 @@ def ranked(df: DataFrame, order: list[str | Column], rank: str = "rank") -> Data
 
 
 def running_totals(
-    df: DataFrame, order: list[str | Column], sums: list[str], by: list[str] = (), prefix: str = "cum_"
+    df: DataFrame, order: list[str | Column], sums: list[str], by: list[str] = (), prefix: str = "cum_",
+    totals: str | None = None,
 ) -> DataFrame:
     """Add inclusive running totals of ``sums`` in ``order``, restarting for each ``by`` group.
 
     Meant for tables that are already aggregated to one row per ordering value. A group
     may span many partitions: the totals run over the whole table and each group's start
-    is then subtracted.
+    is then subtracted. With ``totals`` each group's sum is added under that prefix.
     """
     by = list(by)
     parts = _range_partitioned(df, [*by, *order])
     offsets = _offsets(parts, sums)
     within = Window.partitionBy(_PART).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
-    total = parts.join(F.broadcast(offsets), _PART).select(  # one row per partition
+    running = parts.join(F.broadcast(offsets), _PART).select(  # one row per partition
         *df.columns, *[(F.col(f"__off_{s}") + F.sum(s).over(within)).alias(f"{prefix}{s}") for s in sums]
     )
-    if not by:
-        return total
-    starts = total.groupBy(*by).agg(*[F.min(F.col(f"{prefix}{s}") - F.col(s)).alias(f"__start_{s}") for s in sums])
-    return total.join(starts, by).select(
-        *df.columns, *[(F.col(f"{prefix}{s}") - F.col(f"__start_{s}")).alias(f"{prefix}{s}") for s in sums]
-    )
+    if not by and totals is None:
+        return running
+    groups = running.groupBy(*by).agg(*[
+        e for s in sums for e in (
+            F.min(F.col(f"{prefix}{s}") - F.col(s)).alias(f"__start_{s}"), F.sum(s).alias(f"__all_{s}"))])
+    kept = [F.col(c) for c in df.columns]
+    if by:
+        # Staged, so that its size is known: few groups are broadcast and nothing is shuffled by group.
+        joined = running.join(stage(groups), by)
+        start, whole = (lambda s: F.col(f"__start_{s}")), (lambda s: F.col(f"__all_{s}"))
+    else:
+        everything = groups.select(F.struct(*[F.col(f"__all_{s}") for s in sums])).scalar()
+        joined, start, whole = running, (lambda s: F.lit(0)), (lambda s: everything[f"__all_{s}"])
+    return joined.select(
+        *kept, *[(F.col(f"{prefix}{s}") - start(s)).alias(f"{prefix}{s}") for s in sums],
+        *([whole(s).alias(f"{totals}{s}") for s in sums] if totals is not None else []))
 
 
 ACCURACY = 10_000  # relative rank error 1/ACCURACY of the approximate bounds
@@ -100,7 +111,7 @@ def exact_quantiles(
         return _quantiles(rows.withColumn("__in", F.lit(1)), probs, by)
 
     if by:
-        bounded = rows.join(bounds, by)  # one row per group on the right; its size decides the join
+        bounded = rows.join(bounds, by)  # one staged row per group: broadcast if small
     else:
         limits = bounds.select(F.struct("__n", "__e")).scalar()
         bounded = rows.withColumns({"__n": limits["__n"], "__e": limits["__e"]})
@@ -124,10 +135,8 @@ def exact_quantiles(
 def _quantiles(rows: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
     """Quantiles of ``__v``; rows with ``__in = 0`` only shift the places of those above them."""
     counts = rows.groupBy(*by, "__v").agg(F.count("*").alias("__c"), F.sum("__in").alias("__real"))
-    running = running_totals(counts, [F.col("__v").asc_nulls_first()], ["__c"], by)
-    # A group's size is its last running total.
-    sizes = running.groupBy(*by).agg(F.max("cum___c").alias("__n"))
-    running = running.join(sizes, by) if by else running.withColumn("__n", sizes.scalar())
+    running = running_totals(counts, [F.col("__v").asc_nulls_first()], ["__c"], by, totals="all_").withColumnRenamed(
+        "all___c", "__n")
     start = F.col("cum___c") - F.col("__c")
     aggs = []
     for i, p in enumerate(probs):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallymark.functions.columns import hash32
 from tallymark.operators.ordering import ranked
+from tallymark.session import stage
 
 SEED = 42
 
@@ -55,7 +56,7 @@ def smallest_hashes(df: DataFrame, key: str, wanted: Column, by: list[str], salt
         per_slot.where((F.col("__cum") - F.col("__c") < F.col("__w")) & (F.col("__w") <= F.col("__cum")))
         .select(*by, F.col("__slot").alias("__edge"), (F.col("__w") - F.col("__cum") + F.col("__c")).alias("__left"))
     )
-    joined = marked.join(edge, by, "left")
+    joined = marked.join(stage(edge), by, "left")  # one staged row per group: broadcast if small
     inside = joined.where(F.col("__edge").isNull() & (F.col("__want") > 0) | (F.col("__slot") < F.col("__edge")))
     in_slot = Window.partitionBy(*by, "__slot").orderBy("__h", key)
     at_edge = (

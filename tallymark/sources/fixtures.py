@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymark.functions.columns import above, hash32, log_target
 from tallymark.operators.splits import holdout_side
+from tallymark.session import stage
 from tallymark.sources.tables import table
 
 KEY, COUNT, BINARY, LOG = "o_orderkey", "n_lines", "hi", "log_lines"
@@ -98,7 +99,9 @@ def scored_orders(spark: SparkSession, folder: str) -> DataFrame:
     """
     sides = order_fact(spark, folder).withColumn("split", holdout_side(KEY))
     train = sides.where("split = 'train'")
-    means = train.groupBy("o_orderpriority", "o_month").agg(F.avg(COUNT).alias("yhat"), F.avg(LOG).alias("yhat_log"))
+    # Staged, so that its size is known: 60 rows are broadcast and the orders are not shuffled by month.
+    means = stage(train.groupBy("o_orderpriority", "o_month").agg(
+        F.avg(COUNT).alias("yhat"), F.avg(LOG).alias("yhat_log")))
     price = train.agg(F.struct(F.avg("o_totalprice").alias("m"), F.stddev_pop("o_totalprice").alias("s"))).scalar()
     noisy = (F.col("o_totalprice") - price["m"]) / price["s"] + (F.col(COUNT) - 4) / 4.0
     p = 1 / (1 + F.exp(-noisy * (0.5 + (hash32("mix", KEY) % 1000) / 2000.0)))
