@@ -32,7 +32,7 @@ def m3_r2(spark, d):
 
 @query("m4_adjusted_r2", with_tables(SCORED_SQL, """
 , r AS (SELECT fold, count(*) AS n, 1 - sum((y - yhat) ^ 2) / (var_pop(y) * count(*)) AS r2 FROM scored GROUP BY fold)
-SELECT fold, n, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 60 - 1), 6) AS adj_r2 FROM r"""))
+SELECT fold, n, round(r2, 6) AS r2, CASE WHEN n > 61 THEN round(1 - (1 - r2) * (n - 1) / (n - 60 - 1), 6) END AS adj_r2 FROM r"""))
 def m4_adjusted_r2(spark, d):
     return rounded(M.with_adjusted_r2(M.evaluate(scored_orders(spark, d), {"r2": M.r2}, by=["fold"]), 60))
 
@@ -171,7 +171,8 @@ def m15_count_panel_one_class(spark, d):
 r AS (SELECT count(*) AS n, avg(yhat) AS pred_mean, min(yhat) AS pred_min, max(yhat) AS pred_max, avg((y - yhat) ^ 2) AS mse,
              avg(abs(y - yhat)) AS mae, 1 - avg((y - yhat) ^ 2) / var_pop(y) AS r2 FROM b)
 SELECT n, round(pred_mean, 6) AS pred_mean, round(pred_min, 6) AS pred_min, round(pred_max, 6) AS pred_max, round(mse, 6) AS mse,
-       round(sqrt(mse), 6) AS rmse, round(mae, 6) AS mae, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 60 - 1), 6) AS adj_r2 FROM r"""))
+       round(sqrt(mse), 6) AS rmse, round(mae, 6) AS mae, round(r2, 6) AS r2,
+       CASE WHEN n > 61 THEN round(1 - (1 - r2) * (n - 1) / (n - 60 - 1), 6) END AS adj_r2 FROM r"""))
 def m16_original_scale(spark, d):
     return rounded(M.original_scale(scored_orders(spark, d), "y_log", "yhat_log", 60))
 
