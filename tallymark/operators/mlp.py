@@ -10,14 +10,20 @@ Per-task memory is one Arrow batch, and what the driver holds depends on the net
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+# The functions below run in Python workers: send them with the tasks, so that executors
+# need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Adam's usual constants and the stopping rule.
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 PATIENCE, TOLERANCE = 20, 1e-4

@@ -10,14 +10,20 @@ approximated or capped: a block is skipped only when it provably cannot matter.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallymark.functions.columns import hash32
 from tallymark.session import stage
 
+# The functions below run in Python workers: send them with the tasks, so that executors
+# need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_PIVOTS = 256
 _FOUND = "pid string, nn string, dist double"
 _SLACK = 1 + 1e-9  # keeps rounding from ruling out a tie
