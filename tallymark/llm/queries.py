@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymark.llm.common import documents
+from tallymark.llm import quality
+from tallymark.llm.common import documents, id_bucket, table
+from tallymark.llm.fingerprints import fingerprints
+from tallymark.llm.language import identify, learn
 from tallymark.llm.packing import pack_documents
 from tallymark.llm.tokens import count_tokens
 
@@ -19,6 +22,16 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(True))
+    docs = documents(spark, folder, "doc_id", "text").withColumn("held_out", held_out)
+    positives = table(spark, folder, "labels").filter((F.col("quality") == 1) & ~held_out)
+    model = quality.fit(docs.filter(~F.col("held_out")), positives)
+    scored = quality.score(docs, model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 @_query
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = count_tokens(documents(spark, folder, "doc_id", "text"))
@@ -28,3 +41,16 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder, "doc_id", "text"))
+
+
+@_query
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(id_bucket("doc_id", 5) == 0, F.lit(True))
+    docs = documents(spark, folder, "doc_id", "text", "lang").withColumn("held_out", held_out)
+    profiles = learn(docs.filter(~F.col("held_out")))
+    return identify(docs, profiles, ["doc_id", "held_out"])
+
+
+@_query
+def op9_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints(documents(spark, folder, "doc_id", "text"))
