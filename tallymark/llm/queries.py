@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallymark.llm import quality
 from tallymark.llm.common import documents, id_bucket, table
 from tallymark.llm.fingerprints import fingerprints
+from tallymark.llm.html_text import extract
 from tallymark.llm.language import identify, learn
 from tallymark.llm.packing import pack_documents
 from tallymark.llm.tokens import count_tokens
@@ -43,6 +44,11 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder, "doc_id", "text"))
 
 
+@_query
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"), ["page_id", "url"])
+
+
 @_query
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(id_bucket("doc_id", 5) == 0, F.lit(True))
