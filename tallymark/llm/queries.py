@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymark.llm import quality
+from tallymark.llm import private_data, quality
 from tallymark.llm.common import documents, id_bucket, table
 from tallymark.llm.fingerprints import fingerprints
 from tallymark.llm.html_text import extract
@@ -57,6 +57,14 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(docs, profiles, ["doc_id", "held_out"])
 
 
+@_query
+def op8_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = private_data.find(documents(spark, folder, "doc_id", "text"), ["doc_id"])
+    return found.select(
+        "doc_id", *[private_data.count(F.col("base"), kind).alias(f"n_{kind}") for kind in private_data.KINDS],
+        F.sha2(private_data.listed(F.col("base")), 256).alias("base_sha256"), private_data.listed(F.col("spans")).alias("spans"))
+
+
 @_query
 def op9_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints(documents(spark, folder, "doc_id", "text"))
