@@ -31,7 +31,7 @@ def token_pieces(df: DataFrame, capacity: int = CAPACITY, path: str | None = Non
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, lambda ids: ids.astype("<u4").tobytes())
+        encoder = Encoder(path, lambda ids: ids.astype("<u4").tobytes(), b"".join)
         for doc_ids, texts in chunks(batches):
             out: list[tuple] = []
             for doc_id, words in zip(doc_ids, encoder.texts(texts)):
@@ -71,9 +71,10 @@ def _pack(items: DataFrame, tasks: int, level: int, capacity: int) -> DataFrame:
     """``(item, bin, at, fill)``: items dealt out to ``tasks`` groups by a hash of their number and the level."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = pd.concat(list(frames), ignore_index=True)
-        if not len(whole):
+        held = list(frames)
+        if not held:
             return
+        whole = pd.concat(held, ignore_index=True)
         for group, own in whole.groupby("task", sort=True):
             sizes = own["size"].to_numpy()
             bins, at = best_fit(sizes, capacity)
