@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,18 +42,19 @@ class Merges:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.normalise = tokenizer.normalizer.normalize_str if tokenizer.normalizer else lambda s: s
-        self.pre_tokenise = tokenizer.pre_tokenizer.pre_tokenize_str
+        self.normalise, self.pre_tokenise = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab, end = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
-        self.inner = {c: i for c, i in vocab.items() if len(c) == 1}
-        self.final = {c: vocab[c + end] for c in self.inner if c + end in vocab}
+        vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         key = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(key)
         self.keys, self.ranks = key[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
+        letters = byte_letters()
+        self.inner = np.array([vocab[c] for c in letters], dtype=np.int32)
+        self.final = np.array([vocab[c + end] for c in letters], dtype=np.int32)
+        self.byte_of = {c: i for i, c in enumerate(letters)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
 
@@ -65,14 +67,10 @@ class Merges:
     def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merged symbols of all sequences, in order, and their counts. Sequences are not empty."""
         sequence = np.repeat(np.arange(lengths.size), lengths)
+        rank = self._pair_ranks(symbols, sequence, np.arange(symbols.size))
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while symbols.size:
-            first = np.ones(symbols.size, dtype=bool)
-            first[1:] = sequence[1:] != sequence[:-1]
-            rank = np.full(symbols.size, NO_RANK, dtype=np.int32)
-            inside = np.flatnonzero(~first)
-            rank[inside - 1] = self.rank(symbols[inside - 1], symbols[inside])
-            starts = np.flatnonzero(first)
+            starts = np.flatnonzero(np.concatenate(([True], sequence[1:] != sequence[:-1])))
             lowest = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, symbols.size)))
             live = lowest != NO_RANK
             if not live.all():
@@ -87,30 +85,61 @@ class Merges:
             symbols[at] = self.made[rank[at]]
             rest = np.ones(symbols.size, dtype=bool)
             rest[at + 1] = False
-            symbols, sequence = symbols[rest], sequence[rest]
+            symbols, sequence, rank = symbols[rest], sequence[rest], rank[rest]
+            at -= np.arange(at.size)  # where the merged symbols stand now: only their pairs have changed
+            rank[at] = self._pair_ranks(symbols, sequence, at)
+            before = at[at > 0] - 1
+            rank[before] = self._pair_ranks(symbols, sequence, before)
         if not done:
             return symbols, lengths
         symbols, sequence = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(sequence, kind="stable")
         return symbols[order], np.bincount(sequence, minlength=lengths.size)
 
-    def words(self, words: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each word; words hold no white space and no special string."""
-        flat: list[int] = []
-        lengths, pieces = [], []
-        for word in words:
-            parts = self.pre_tokenise(self.normalise(word))
-            pieces.append(len(parts))
-            for part, _ in parts:
-                flat += map(self.inner.__getitem__, part)
-                flat[-1] = self.final[part[-1]]
-                lengths.append(len(part))
-        ids, counts = self.merge(np.array(flat, dtype=np.int32), np.array(lengths, dtype=np.int64))
-        ends = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum(pieces, dtype=np.int64)))]
-        for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+    def _pair_ranks(self, symbols: np.ndarray, sequence: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that begin at the places ``at``; none where the sequence ends."""
+        out = np.full(at.size, NO_RANK, dtype=np.int32)
+        inside = at + 1 < symbols.size
+        inside[inside] = sequence[at[inside]] == sequence[at[inside] + 1]
+        out[inside] = self.rank(symbols[at[inside]], symbols[at[inside] + 1])
+        return out
+
+    def normalised(self, words: list[str]) -> list[str]:
+        """Words without white space in the normaliser's form; one call for all."""
+        out = self.normalise("\n".join(words)).split(" ") if words else []
+        return out if len(out) == len(words) else [self.normalise(w) for w in words]
+
+    def pieces(self, word: str) -> list[bytes]:
+        """Pre-tokens of a normalised word."""
+        if word.isascii():
+            return [p.encode() for p in _ASCII_PIECES.findall(word)]
+        if word.isalpha() and max(word) < "\u0250":  # letters in every Unicode version: one pre-token
+            return [word.encode()]
+        return [bytes(map(self.byte_of.__getitem__, p)) for p, _ in self.pre_tokenise(word)]
+
+    def ids(self, pieces: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each pre-token."""
+        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        symbols, last = self.inner[data], np.cumsum(lengths) - 1
+        symbols[last] = self.final[data[last]]
+        ids, counts = self.merge(symbols, lengths)
+        ends = np.cumsum(counts)
+        for start, end in zip((ends - counts).tolist(), ends.tolist()):
             yield ids[start:end]
 
 
+# Fixed value: the pre-tokeniser's pattern, for ASCII words without white space.
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b if b in printable else next(other)) for b in range(256)]
+
+
 def _every_other(hit: np.ndarray) -> np.ndarray:
     """Within each run of neighbouring hits the 1st, 3rd, ...: pairs must not overlap, the leftmost wins."""
     begins = hit.copy()
@@ -121,10 +150,12 @@ def _every_other(hit: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Per-task encoder: ``value`` turns a word's ids into what is kept (a count, or bytes of ids)."""
+    """Per-task encoder: ``value`` turns a pre-token's ids into what is kept, ``join`` adds those of a word."""
 
-    def __init__(self, path: str, value):
-        self.merges, self.value, self.known = Merges(path), value, {}
+    def __init__(self, path: str, value, join):
+        self.merges, self.value, self.join = Merges(path), value, join
+        self.words: dict[str, object] = {}
+        self.pieces: dict[bytes, object] = {}
 
     def cut(self, text: str) -> list[str]:
         """White-space words of one text, with special strings as words of their own."""
@@ -139,22 +170,30 @@ class Encoder:
         """The kept values of each text's words, in order."""
         cut = [self.cut(t) for t in texts]
         wanted = set().union(*cut)
-        if len(self.known) + len(wanted) > CACHED_WORDS:
-            self.known = {w: self.known[w] for w in wanted & self.known.keys()}
-        new = list(wanted - self.known.keys())
-        special = [w for w in new if w in self.merges.special]
-        plain = [w for w in new if w not in self.merges.special]
-        known = self.known
-        known.update((w, self.value(np.array([self.merges.special[w]], dtype=np.int32))) for w in special)
-        for at in range(0, len(plain), 50_000):
-            part = plain[at:at + 50_000]
-            known.update(zip(part, map(self.value, self.merges.words(part))))
-        out = [list(map(known.__getitem__, words)) for words in cut]
+        if len(self.words) + len(wanted) > CACHED_WORDS:
+            self.words = {w: self.words[w] for w in wanted & self.words.keys()}
+        new = list(wanted - self.words.keys())
+        self._learn(new)
+        out = [list(map(self.words.__getitem__, words)) for words in cut]
         for w in new:
             if len(w) > CACHED_LENGTH:
-                del known[w]
+                del self.words[w]
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        special, join = self.merges.special, self.join
+        self.words.update((w, self.value(np.array([special[w]], dtype=np.int32))) for w in new if w in special)
+        plain = [w for w in new if w not in special]
+        split = list(map(self.merges.pieces, self.merges.normalised(plain)))
+        if len(self.pieces) > CACHED_WORDS:
+            self.pieces = {}
+        known = self.pieces
+        missing = list(set(chain.from_iterable(split)) - known.keys())
+        for at in range(0, len(missing), 50_000):
+            part = missing[at:at + 50_000]
+            known.update(zip(part, map(self.value, self.merges.ids(part))))
+        self.words.update((w, known[p[0]] if len(p) == 1 else join(map(known.__getitem__, p))) for w, p in zip(plain, split))
+
 
 def _words(text: str) -> list[str]:
     return [w for w in WHITE.split(text) if w] if NOT_WHITE.search(text) else text.split()
@@ -170,7 +209,7 @@ def count_tokens(df: DataFrame, id_column: str = "doc_id", text: str = "text", p
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, len)
+        encoder = Encoder(path, len, sum)
         for ids, texts, sizes in chunks(batches):
             counts = [sum(x) for x in encoder.texts(texts)]
             yield pa.RecordBatch.from_arrays(
