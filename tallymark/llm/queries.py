@@ -11,6 +11,7 @@ from tallymark.llm.common import documents, id_bucket, table
 from tallymark.llm.fingerprints import fingerprints
 from tallymark.llm.html_text import extract
 from tallymark.llm.language import identify, learn
+from tallymark.llm.near_duplicates import near_duplicates
 from tallymark.llm.packing import pack_documents
 from tallymark.llm.tokens import count_tokens
 
@@ -44,6 +45,11 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder, "doc_id", "text"))
 
 
+@_query
+def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(documents(spark, folder, "doc_id", "text"))
+
+
 @_query
 def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"), ["page_id", "url"])
