@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymark.llm import private_data, quality
 from tallymark.llm.common import documents, id_bucket, table
+from tallymark.llm.decontamination import leaks
 from tallymark.llm.fingerprints import fingerprints
 from tallymark.llm.html_text import extract
 from tallymark.llm.language import identify, learn
@@ -74,3 +75,8 @@ def op8_private_data(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op9_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints(documents(spark, folder, "doc_id", "text"))
+
+
+@_query
+def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(documents(spark, folder, "doc_id", "text"), table(spark, folder, "benchmark"))
