@@ -14,6 +14,7 @@ from tallymark.llm.html_text import extract
 from tallymark.llm.language import identify, learn
 from tallymark.llm.near_duplicates import near_duplicates
 from tallymark.llm.packing import pack_documents
+from tallymark.llm.substrings import without_repeats
 from tallymark.llm.tokens import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +52,11 @@ def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder, "doc_id", "text"))
 
 
+@_query
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeats(documents(spark, folder, "doc_id", "text"))
+
+
 @_query
 def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"), ["page_id", "url"])
