@@ -135,6 +135,7 @@ def fit(df: DataFrame, positives: DataFrame, sample: int = SAMPLE) -> Model | No
     depend on the layout. The driver gets their features only. Null texts count as empty; repeated rows as often
     as they come; rows without an id are unlabelled.
     """
+    df = df.select("doc_id", "text")
     trusted = positives.select("doc_id").distinct().withColumn("p", F.lit(1))
     marked = df.select("doc_id").join(trusted, "doc_id", "left").select("doc_id", F.coalesce("p", F.lit(0)).alias("p")).distinct()
     order = F.xxhash64(F.lit(7), "doc_id")
