@@ -23,10 +23,12 @@ from tallymark.llm.shingles import shingle_sets, sketches
 
 WIDTH = 64  # minwise values of a sketch
 TREES = 10  # a pair at the threshold is missed by all trees less than once in 10,000
-SMALL = 16  # classes in a node that is compared exhaustively
+SMALL = 64  # classes in a node that is compared exhaustively
 DEPTH = 12
 ALIKE = 0.5  # mean agreement with a member from which a large node is a cluster
 PIVOTS = 4
+BLOCK = 1024  # members of a split cluster that one task holds
+CHUNK = 2_000_000
 HOPEFUL = 34  # of 64 values agree: a pair at the threshold stays below it about once in 25,000
 THRESHOLD = (75, 100)
 
@@ -35,7 +37,7 @@ def sketched(df: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, key, sketch)``: ``key`` is the same for equal sets only; null for empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in chunks(batches):
+        for ids, texts in chunks(batches, limit=CHUNK):
             sets = shingle_sets(texts)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size else None for s in sets]
             values = pa.array(sketches(sets, WIDTH).ravel(), pa.int32())
@@ -55,76 +57,95 @@ def _children(rows: DataFrame, ways: int) -> DataFrame:
     """Each class goes on to ``ways`` nodes, by the sketch values that its node chooses."""
     value = lambda w: F.get("sketch", F.pmod(F.xxhash64("node", F.lit(w)), F.lit(WIDTH)).cast("int"))
     nodes = F.array(*[F.xxhash64("node", F.lit(w), value(w)) for w in range(ways)])
-    return rows.select(F.explode(nodes).alias("node"), "rep", "sketch")
+    return rows.select(F.explode(nodes).alias("node"), *[c for c in rows.columns if c != "node"])
 
 
-def _leaf_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs within each node whose sketches agree enough; nodes are small."""
+def _hopeful(agree: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Sketches agree enough, and the sizes of the sets allow the similarity."""
+    return (agree >= HOPEFUL) & (THRESHOLD[1] * np.minimum(n, m) >= THRESHOLD[0] * np.maximum(n, m))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_node, reps, values = None, [], []
 
-        def pairs():
-            m = np.array(values)
-            agree = (m[:, None, :] == m[None, :, :]).sum(axis=2)
-            for i, j in zip(*np.nonzero(np.triu(agree >= HOPEFUL, 1))):
-                yield max(reps[i], reps[j]), min(reps[i], reps[j]), int(agree[i, j])
+def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    """Columns as arrays; the sketches as one matrix."""
+    out = []
+    for name in names:
+        column = batch.column(batch.schema.get_field_index(name))
+        flat = name == "sketch"
+        out.append(column.flatten().to_numpy().reshape(-1, WIDTH) if flat else column.to_numpy())
+    return out
 
-        for batch in batches:
-            out: list[tuple] = []
-            sketch = batch.column(2).flatten().to_numpy().reshape(-1, WIDTH) if batch.num_rows else []
-            for node, rep, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sketch):
-                if node != held_node:
-                    if len(reps) > 1:
-                        out += pairs()
-                    held_node, reps, values = node, [], []
-                reps.append(rep)
-                values.append(own)
-            if out:
-                yield _pairs(out)
-        if len(reps) > 1:
-            out = list(pairs())
-            if out:
-                yield _pairs(out)
 
-    return rows.repartition("node").sortWithinPartitions("node").select("node", "rep", "sketch").mapInArrow(run, "a long, b long, agree int")
+def _pairs(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(agree.astype(np.int32))], ["a", "b", "agree"])
+
+
+def _leaf_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs within each node whose sketches agree enough; nodes are small."""
+
+    def compared(node, rep, n, sketch) -> Iterator[pa.RecordBatch]:
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(node)) + 1, [node.size]))
+        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if end - start > 1:
+                own = slice(start, end)
+                agree = (sketch[own][:, None, :] == sketch[own][None, :, :]).sum(axis=2)
+                i, j = np.nonzero(np.triu(_hopeful(agree, n[own][:, None], n[own][None, :]), 1))
+                if i.size:
+                    yield _pairs(rep[own][i], rep[own][j], agree[i, j])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = _columns(batch, "node", "rep", "n", "sketch")
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            if now[0].size:
+                cut = np.searchsorted(now[0], now[0][-1])  # the last node may go on
+                yield from compared(*(c[:cut] for c in now))
+                held = [c[cut:].copy() for c in now]
+        if held is not None:
+            yield from compared(*held)
 
-def _pairs(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32()))], ["a", "b", "agree"])
+    return rows.repartition("node").sortWithinPartitions("node").select("node", "rep", "n", "sketch").mapInArrow(run, "a long, b long, agree int")
 
 
 def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs ``(a, b, agree)``, a > b, and the members ``(node, rep)`` of clusters."""
+    """Candidate pairs ``(a, b, agree)``, a > b, and the members ``(node, rep, n, sketch)`` of clusters.
+
+    Only rows that share a node get their sketches joined, once; from then on they carry them.
+    """
     roots = F.explode(F.array(*[F.xxhash64(F.lit(tree)) for tree in range(TREES)]))
-    nodes = _children(classes.select(roots.alias("node"), "rep", "sketch"), 1).select("node", "rep")
+    first = _children(classes.select(roots.alias("node"), "rep", "sketch"), 1).select("node", "rep")
+    shared = first.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1").select("node")
+    nodes = first.join(shared, "node").join(classes, "rep").select("node", "rep", "n", "sketch")
     found, clusters = [], []
     for depth in range(DEPTH):
         nodes = stage(nodes)
-        size = nodes.groupBy("node").agg(
-            F.count("*").alias("n"), F.min("rep").alias("p0"),
-            *[F.min_by("rep", F.xxhash64("rep", F.lit(p))).alias(f"p{p}") for p in range(1, PIVOTS)]).filter("n > 1")
-        size = stage(size)
-        sized = nodes.join(size, "node")
-        small = sized.filter(F.col("n") <= SMALL).select("node", "rep").join(classes, "rep")
-        found.append(stage(_leaf_pairs(small)))
-        if size.filter(F.col("n") > SMALL).isEmpty():
+        member = F.struct("rep", "sketch")
+        size = stage(nodes.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1"))
+        found.append(stage(_leaf_pairs(nodes.join(size.filter(F.col("members") <= SMALL), "node"))))
+        if size.filter(F.col("members") > SMALL).isEmpty():
             break
-        large = stage(sized.filter(F.col("n") > SMALL).join(classes.select("rep", "sketch"), "rep"))
-        pivots = size.filter(F.col("n") > SMALL).select("node", F.explode(F.array_distinct(F.array(*[f"p{p}" for p in range(PIVOTS)]))).alias("pivot"))
-        pivots = pivots.join(classes.select(F.col("rep").alias("pivot"), F.col("sketch").alias("ps")), "pivot")
-        compared = large.select("node", "rep", "sketch", "n").join(pivots, "node").select("node", "rep", "pivot", "n", _agree(F.col("sketch"), F.col("ps")).alias("agree"))
-        compared = stage(compared)
-        last = depth == DEPTH - 1
-        dense = compared.groupBy("node").agg(F.avg("agree").alias("mean")).filter(F.lit(last) | (F.col("mean") >= ALIKE * WIDTH)).select("node")
-        dense = stage(dense)
-        star = compared.filter((F.col("agree") >= HOPEFUL) & (F.col("rep") != F.col("pivot"))).join(dense, "node", "left_semi")
-        found.append(star.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b"), "agree"))
-        clusters.append(large.select("node", "rep").join(dense, "node", "left_semi"))
-        nodes = _children(large.join(dense, "node", "left_anti"), 2).select("node", "rep")
+        large = nodes.join(size.filter(F.col("members") > SMALL).select("node"), "node")
+        if depth < DEPTH - 1:
+            large = stage(large)
+        pivots = stage(large.groupBy("node").agg(F.array_distinct(F.array(
+            F.min(member), *[F.min_by(member, F.xxhash64("rep", F.lit(p))) for p in range(1, PIVOTS)])).alias("pivots")))
+        met = large.join(pivots, "node").select("node", "rep", F.transform(
+            "pivots", lambda p: F.struct(p["rep"].alias("pivot"), _agree(F.col("sketch"), p["sketch"]).alias("agree"))).alias("met"))
+        met = stage(met)
+        mean = F.aggregate("met", F.lit(0), lambda acc, x: acc + x["agree"]) / F.size("met")
+        dense = stage(met.groupBy("node").agg(F.avg(mean).alias("mean")).filter(
+            F.lit(depth == DEPTH - 1) | (F.col("mean") >= ALIKE * WIDTH)).select("node"))
+        best = F.array_max(F.transform(F.filter("met", lambda x: x["pivot"] != F.col("rep")), lambda x: F.struct(x["agree"].alias("agree"), (-x["pivot"]).alias("less"))))
+        star = met.join(dense, "node").select("rep", best.alias("best")).filter(F.col("best.agree") >= HOPEFUL)
+        pivot = -F.col("best.less")
+        found.append(star.select(F.greatest("rep", pivot).alias("a"), F.least("rep", pivot).alias("b"), F.col("best.agree").alias("agree")))
+        clusters.append(large.join(dense, "node"))
+        nodes = _children(large.join(dense, "node", "left_anti"), 2)
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].union(union(frames[1:]))
-    none = classes.sparkSession.createDataFrame([], "node long, rep long")
-    return stage(union(found).groupBy("a", "b").agg(F.max("agree").alias("agree"))), stage(union([none, *clusters]))
+    pairs = stage(union(found).groupBy("a", "b").agg(F.max("agree").alias("agree")))
+    return pairs, stage(union(clusters)) if clusters else nodes.limit(0)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -148,7 +169,7 @@ def _sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(rep, set)`` of the wanted classes, from the text of the document that names each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in chunks(batches):
+        for ids, texts in chunks(batches, limit=CHUNK):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["rep", "set"])
 
@@ -167,9 +188,9 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     """
     rows = stage(sketched(df))
     own = rows.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = stage(own.groupBy("key").agg(F.min(F.struct("doc_id", "sketch")).alias("m"))
-                    .select("key", F.col("m.doc_id").alias("rep"), F.col("m.sketch").alias("sketch")))
-    named = classes.select("rep", "sketch")
+    classes = stage(own.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("m")).select(
+        "key", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.sketch").alias("sketch")))
+    named = classes.select("rep", "n", "sketch")
     candidates, clusters = _candidates(named)
     ends = candidates.select(F.col("a").alias("rep")).union(candidates.select("b")).union(clusters.select("rep")).distinct()
     sets = stage(_sets(df, ends))
@@ -177,7 +198,7 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     for turn in range(4):
         cross = candidates
         if turn == 3:
-            cross = _between_parts(clusters, named, labels)
+            cross = _between_parts(clusters, labels)
         if labels is not None:
             cross = _across(cross, labels)
             cross = cross.join(tested, ["a", "b"], "left_anti")
@@ -207,15 +228,43 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "agree")
 
 
-def _between_parts(clusters: DataFrame, named: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Hopeful pairs of a cluster's members outside its largest part with all its members."""
-    labels = named.sparkSession.createDataFrame([], "x long, component long") if labels is None else labels
+def _between_parts(clusters: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Hopeful pairs of a cluster's members outside its largest part with all its members of other parts.
+
+    Members are dealt into blocks of bounded size; those outside go to every block of their node.
+    """
+    labels = clusters.sparkSession.createDataFrame([], "x long, component long") if labels is None else labels
     members = stage(clusters.join(labels.withColumnRenamed("x", "rep"), "rep", "left").select(
-        "node", "rep", F.coalesce("component", "rep").alias("part")))
-    parts = members.groupBy("node", "part").agg(F.count("*").alias("n")).groupBy("node").agg(
-        F.max_by("part", "n").alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    split = members.join(parts, "node").join(named, "rep")
-    outside = split.filter(F.col("part") != F.col("main")).select("node", F.col("rep").alias("r"), F.col("part").alias("q"), F.col("sketch").alias("s"))
-    met = outside.join(split.select("node", "rep", "part", "sketch"), "node").filter(F.col("part") != F.col("q"))
-    met = met.withColumn("agree", _agree(F.col("s"), F.col("sketch"))).filter(F.col("agree") >= HOPEFUL)
-    return met.select(F.greatest("r", "rep").alias("a"), F.least("r", "rep").alias("b"), "agree").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+        "node", "rep", "n", "sketch", F.coalesce("component", "rep").alias("part")))
+    parts = members.groupBy("node", "part").agg(F.count("*").alias("held")).groupBy("node").agg(
+        F.max_by("part", "held").alias("main"), F.count("*").alias("parts"), F.sum("held").alias("members")).filter("parts > 1")
+    split = members.join(parts, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
+    own = split.select("node", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(0).alias("outside"), "rep", "n", "part", "sketch")
+    sent = split.filter(F.col("part") != F.col("main")).select(
+        "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("outside"), "rep", "n", "part", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            columns = _columns(batch, "node", "block", "outside", "rep", "n", "part", "sketch")
+            if not columns[0].size:
+                continue
+            change = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0) | (np.diff(columns[2]) != 0)) + 1
+            for start, end in zip([0, *change.tolist()], [*change.tolist(), columns[0].size]):
+                node, block, outside, rep, n, part, sketch = (c[start:end] for c in columns)
+                if (node[0], block[0]) != at:
+                    at, held = (node[0], block[0]), []
+                if not outside[0]:
+                    held.append((rep.copy(), n.copy(), part.copy(), sketch.copy()))
+                    continue
+                if not held:
+                    continue
+                r, m, q, k = (np.concatenate(x) for x in zip(*held))
+                for i in range(rep.size):
+                    agree = (k == sketch[i]).sum(axis=1)
+                    good = np.flatnonzero(_hopeful(agree, m, n[i]) & (q != part[i]))
+                    if good.size:
+                        yield _pairs(np.full(good.size, rep[i]), r[good], agree[good])
+
+    rows = own.unionByName(sent).repartition("node", "block").sortWithinPartitions("node", "block", "outside")
+    return rows.mapInArrow(run, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
