@@ -187,7 +187,7 @@ def leak_corpus(seed=3):
     def prose(n):
         return [rng.choice(common) if rng.random() < 0.5 else rng.choice(rare) for _ in range(n)]
 
-    items = [prose(rng.randint(14, 60)) for _ in range(50)]
+    items = [prose(rng.randint(9, 55)) + [rng.choice(rare) for _ in range(5)] for _ in range(50)]  # answers of rare words
     docs, planted = [], {}
     for i in range(400):
         words = prose(rng.randint(20, 400))
