@@ -63,13 +63,14 @@ def actual_vs_predicted(df: DataFrame, y: str = "y", yhat: str = "yhat") -> Data
                   F.least(F.min(y), F.min(yhat)).alias("low"), F.greatest(F.max(y), F.max(yhat)).alias("high"))
 
 
-# The three metrics each family of models shows.
+# The three metrics each family of models shows; the primary metric of linear models is the MSE.
 METRIC_TRIPLES = {
     "poisson": ["poisson_deviance", "pseudo_r2", "mse"],
     "logistic": ["roc_auc", "accuracy", "f1"],
     "linear": ["mse", "mae", "primary_metric"],
     "other": ["r2", "mse", "mae"],
 }
+LINEAR = {"ols", "ridge", "elastic_net", "polynomial"}
 
 
 def metric_bars(metrics: DataFrame, family: str) -> DataFrame:
@@ -77,7 +78,11 @@ def metric_bars(metrics: DataFrame, family: str) -> DataFrame:
 
     ``metrics`` is the tidy table ``(model, split, metric, value)``.
     """
+    family = "linear" if family in LINEAR else family
     wanted = METRIC_TRIPLES.get(family, METRIC_TRIPLES["other"])
+    if "primary_metric" in wanted:
+        metrics = metrics.where(F.col("metric") != "primary_metric").unionByName(
+            metrics.where(F.col("metric") == "mse").withColumn("metric", F.lit("primary_metric")))
     bars = metrics.where(F.col("metric").isin(wanted)).groupBy("model", "metric").pivot("split", ["cv", "test"]).agg(
         F.first("value"))
     change = F.when(F.col("cv") > 0, (F.col("test") - F.col("cv")) / F.col("cv") * 100)

@@ -93,7 +93,7 @@ def fit_encoders(
     aggs = [F.count("*").alias("n")]
     for i, c in enumerate(measured):
         x = F.col(c).cast("double")
-        aggs += [F.avg(x).alias(f"mean{i}"), (F.var_pop(x) * F.count(x)).alias(f"m2{i}")]
+        aggs += [F.avg(x).alias(f"mean{i}"), (F.var_pop(x) * F.count(x)).alias(f"m2{i}"), F.count(x).alias(f"n{i}")]
     per_fold = df.groupBy(fold).agg(*aggs).collect()  # one row per fold
     levels = _levels(df, recipe.categorical, fold)
     out = {}
@@ -104,7 +104,7 @@ def fit_encoders(
         for i, _ in enumerate(measured):
             m = _Moments()
             for r in rows:
-                m = m.plus(r["n"], r[f"mean{i}"], r[f"m2{i}"])
+                m = m.plus(r[f"n{i}"], r[f"mean{i}"], r[f"m2{i}"])  # nulls count for nothing
             stats.append(m)
         seen = {
             c: sorted(v for v, where in found.items() if where - {left_out}) for c, found in levels.items()

@@ -27,6 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Adam's usual constants and the stopping rule.
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 PATIENCE, TOLERANCE = 20, 1e-4
+SHARDS = 8  # the default number of shards that train side by side in an epoch; part of what defines the result
 SEED = 42
 
 
@@ -138,11 +139,13 @@ def fit_mlp(rows: DataFrame, params: dict, width: int) -> tuple[MlpModel, list]:
     keeps the weights of the best epoch.
     """
     q = {"hidden": [100], "learning_rate": 0.001, "alpha": 0.0001, "batch_size": "auto", "max_iter": 200,
-         "patience": PATIENCE, "tol": TOLERANCE, "sync": "epoch", "early_stopping": True, **params}
+         "patience": PATIENCE, "tol": TOLERANCE, "sync": "epoch", "early_stopping": True, "shards": SHARDS, **params}
     shapes = layer_shapes(width, list(q["hidden"]))
     flat, size = initial_weights(shapes), parameter_count(shapes)
     adam = Adam(np.zeros(size), np.zeros(size))
-    data = rows.select(vector_to_array("features").alias("x"), F.col("__y").alias("y"), F.col("__valid").alias("v")).persist()
+    data = rows.select(vector_to_array("features").alias("x"), F.col("__y").alias("y"), F.col("__valid").alias("v"))
+    place = F.xxhash64("x", "y", "v")  # rows fall into shards, and lie in order there, by what they hold: never by the layout
+    data = data.repartition(q["shards"], place).sortWithinPartitions(place, "y").persist()
     best, best_score, stale, log = flat.copy(), -math.inf, 0, []
     try:
         for epoch in range(1, q["max_iter"] + 1):
@@ -159,7 +162,12 @@ def fit_mlp(rows: DataFrame, params: dict, width: int) -> tuple[MlpModel, list]:
                         break
             log.append((epoch, loss, None))
         else:
-            if not q["early_stopping"] or best_score == -math.inf:
+            score = _validation_score(data, flat, shapes) if q["early_stopping"] and log else None
+            if score is not None:  # the weights after the last epoch
+                log[-1] = (*log[-1][:2], score)
+                if score > best_score:
+                    best, best_score = flat, score
+            elif best_score == -math.inf:
                 best = flat
     finally:
         data.unpersist()
@@ -167,6 +175,25 @@ def fit_mlp(rows: DataFrame, params: dict, width: int) -> tuple[MlpModel, list]:
     return model, log
 
 
+def _validation_score(data: DataFrame, flat: np.ndarray, shapes) -> float | None:
+    """R2 of the validation rows; null if there are none."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = np.zeros(4)
+        for _ in _batches(frames, flat, shapes, totals):
+            pass
+        yield pd.DataFrame({f"s{i}": [totals[i]] for i in range(4)})
+
+    sums = data.where("v").mapInPandas(work, "s0 double, s1 double, s2 double, s3 double").agg(
+        *[F.sum(f"s{i}").alias(f"s{i}") for i in range(4)]).first()
+    return _r2(sums) if sums["s0"] else None
+
+
+def _r2(t) -> float:
+    spread = t["s3"] - t["s2"] ** 2 / t["s0"]
+    return 1 - t["s1"] / spread if spread > 0 else 0.0
+
+
 # One output row per partition: w, m, v hold row-weighted sums (or w the gradient sum).
 _OUT = "w array<double>, m array<double>, v array<double>, n double, t int, loss double, s0 double, s1 double, s2 double, s3 double"
 
@@ -235,8 +262,7 @@ def _run(data: DataFrame, worker, before: np.ndarray, adam: Adam, shapes, q: dic
     w = summed["w"].to_numpy(float)
     score = None
     if t["s0"]:
-        spread = t["s3"] - t["s2"] ** 2 / t["s0"]
-        score = 1 - t["s1"] / spread if spread > 0 else 0.0
+        score = _r2(t)
     if q["sync"] == "epoch":
         state = Adam(summed["m"].to_numpy(float) / n, summed["v"].to_numpy(float) / n, int(t["t"]))
         return w / n, state, t["loss"] / n, score

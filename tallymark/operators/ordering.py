@@ -87,16 +87,14 @@ def running_totals(
 
 
 ACCURACY = 10_000  # relative rank error 1/ACCURACY of the approximate bounds
-SMALL_GROUP = 100_000  # groups up to this size are ordered whole
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: list[float], by: list[str] = (), small_group: int = SMALL_GROUP
+    df: DataFrame, value: str, probs: list[float], by: list[str] = ()
 ) -> DataFrame:
     """Linear-interpolation quantiles per group, exact, as columns ``by.., n, q0, q1, ..``.
 
-    A first pass finds approximate bounds around each wanted place in groups too large to order
-    whole. The second pass orders only the values within the bounds; all others are merely
+    A first pass finds approximate bounds around each wanted place. The second pass orders only the values within the bounds; all others are merely
     counted, which the map side does. Values are counted before they are shuffled, so copies
     cost nothing, and running counts are distributed: no group is held by one task.
     Should a bound ever miss its place, the whole group is ordered after all.
@@ -106,18 +104,14 @@ def exact_quantiles(
     margin = 3.0 / ACCURACY
     ends = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     bounds = stage(rows.groupBy(*by).agg(
-        F.count("*").alias("__n"), F.percentile_approx("__v", ends, ACCURACY).alias("__e")))
-    if bounds.where(F.col("__n") > small_group).isEmpty():
-        return _quantiles(rows.withColumn("__in", F.lit(1)), probs, by)
-
+        F.percentile_approx("__v", ends, ACCURACY).alias("__e")))
     if by:
         bounded = rows.join(bounds, by)  # one staged row per group: broadcast if small
     else:
-        limits = bounds.select(F.struct("__n", "__e")).scalar()
-        bounded = rows.withColumns({"__n": limits["__n"], "__e": limits["__e"]})
+        bounded = rows.withColumn("__e", bounds.select("__e").scalar())
     lows = [F.col("__e")[i] for i in range(len(probs))]
     highs = [F.col("__e")[len(probs) + i] for i in range(len(probs))]
-    inside = F.col("__n") <= small_group
+    inside = F.lit(False)
     for lo, hi in zip(lows, highs):
         inside = inside | F.col("__v").between(lo, hi)
     # A value outside all bounds is counted at the nearest upper bound below it (null: below all).

@@ -69,7 +69,8 @@ def smallest_hashes(df: DataFrame, key: str, wanted: Column, by: list[str], salt
 
 
 def undersample(df: DataFrame, key: str, label: str, seed: int = SEED) -> DataFrame:
-    """Random undersampling: every class is cut to the size of the smallest one."""
+    """Random undersampling: every class is cut to the size of the smallest one; rows without a label are left out."""
+    df = df.where(F.col(label).isNotNull())
     smallest = df.groupBy(label).agg(F.count("*").alias("__c")).agg(F.min("__c")).scalar()
     return smallest_hashes(df, key, smallest, [label], f"under:{seed}")
 

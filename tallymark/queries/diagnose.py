@@ -101,6 +101,18 @@ def x7_metric_bars(spark, d):
     return rounded(bars.withColumn("percent_change", F.round("percent_change", 4)))
 
 
+@query("x7_metric_bars_linear", with_tables(SCORED_SQL, """
+, g AS (SELECT fold < 5 AS cv, avg((y - yhat) ^ 2) AS mse, avg(abs(y - yhat)) AS mae FROM scored GROUP BY 1),
+l AS (UNPIVOT (SELECT cv, mse, mae, mse AS primary_metric FROM g) ON mse, mae, primary_metric INTO NAME metric VALUE v)
+, p AS (SELECT metric, max(v) FILTER (cv) AS cv, max(v) FILTER (NOT cv) AS test FROM l GROUP BY 1)
+SELECT 'by_month' AS model, metric, round(cv, 6) AS cv, round(test, 6) AS test,
+       CASE WHEN cv > 0 THEN round((test - cv) / cv * 100, 4) END AS percent_change,
+       coalesce((CASE WHEN cv > 0 THEN (test - cv) / cv * 100 ELSE 0 END > 10)::INT, 0) AS flag FROM p"""))
+def x7_metric_bars_linear(spark, d):
+    bars = D.metric_bars(_side_metrics(spark, d, ["mse", "mae", "pseudo_r2"]), "ridge")
+    return rounded(bars.withColumn("percent_change", F.round("percent_change", 4)))
+
+
 @query("x8_target_panel", with_tables(ORDER_FACT_SQL, """
 , c AS (SELECT n_lines, count(*) AS n FROM order_fact GROUP BY 1 ORDER BY n DESC, n_lines LIMIT 1)
 SELECT 'n_lines' AS "column", count(*) AS n, round(avg(o.n_lines), 6) AS mean, round(stddev_samp(o.n_lines), 6) AS std,

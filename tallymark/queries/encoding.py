@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallymark.operators.encode import Recipe, balanced_weights, features_to_rows, fit_encoder, width_table
 from tallymark.operators.splits import with_split
 from tallymark.queries.registry import query, rounded, with_tables
-from tallymark.sources.fixtures import KEY, SIDES_SQL, doc_label, order_fact
+from tallymark.sources.fixtures import KEY, ORDER_FACT_SQL, SIDES_SQL, doc_label, order_fact
 
 _NUM = ["o_totalprice", "c_acctbal"]
 
@@ -37,6 +37,16 @@ def f1_standardise(spark, d):
     return rounded(out)
 
 
+@query("f1_standardise_nulls", with_tables(ORDER_FACT_SQL, """
+, s AS (SELECT avg(avg_qty) AS mq, stddev_pop(avg_qty) AS sq, avg(o_totalprice) AS mp, stddev_pop(o_totalprice) AS sp FROM order_fact)
+SELECT o_orderkey, round((avg_qty - mq) / sq, 6) AS avg_qty, round((o_totalprice - mp) / sp, 6) AS o_totalprice FROM order_fact, s"""))
+def f1_standardise_nulls(spark, d):
+    """A column with nulls: they count for neither mean nor deviation, and stay null."""
+    df = order_fact(spark, d).select(KEY, "avg_qty", "o_totalprice")
+    e = fit_encoder(df, Recipe(("avg_qty", "o_totalprice")))
+    return rounded(e.transform(df).select(KEY, *[F.col(f"{c}__z").alias(c) for c in ("avg_qty", "o_totalprice")]))
+
+
 def _indicator_rows(spark, d, **options):
     df = _sides(spark, d, "o_orderpriority", "o_orderstatus")
     e = fit_encoder(df.where("split = 'train'"), Recipe(categorical=("o_orderpriority", "o_orderstatus"), **options))

@@ -41,6 +41,20 @@ def s1_csv_scan(spark, d):
     return rounded(read_csv(spark, path, schema), 2)
 
 
+@query("s1_csv_mixed_headers", """
+SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS c_mktsegment, round(c_acctbal, 2) AS c_acctbal FROM customer""")
+def s1_csv_mixed_headers(spark, d):
+    """Customers in two sets of files that order their columns differently."""
+    path = os.path.join(staging_root(spark), f"csv-{uuid.uuid4().hex}")
+    c = table(spark, d, "customer").select(
+        "c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", "NA").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"), "c_acctbal")
+    for odd, names in enumerate((["c_custkey", "c_mktsegment", "c_acctbal"], ["c_acctbal", "c_custkey", "c_mktsegment"])):
+        c.where(F.col("c_custkey") % 2 == odd).select(*names).write.csv(f"{path}/set={odd}", header=True)
+    schema = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_mktsegment", T.StringType()),
+                           T.StructField("c_acctbal", T.DoubleType())])
+    return rounded(read_csv(spark, f"{path}/*/*.csv", schema), 2)
+
+
 @query("s1_csv_inferred", """
 SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS c_mktsegment,
        CASE WHEN c_acctbal >= 0 THEN round(c_acctbal, 2) END AS c_acctbal FROM customer""")

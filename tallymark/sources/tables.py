@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # The tokens a CSV reader of the pandas kind takes for "missing".
 MISSING_TOKENS = [
@@ -17,22 +18,49 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header; missing-value tokens become null.
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, rejects: str = "fail") -> DataFrame:
+    """CSV with headers; missing-value tokens become null.
 
-    With a ``schema`` the file is read once. Without one, types are inferred as
-    integer, then double, then string in one extra pass over the text columns.
+    Columns are matched by each file's own header, so files may order them differently. A row with too few or
+    too many fields is an error. So is a value that its type does not take, unless ``rejects`` is "null".
+    Without a ``schema``, types are inferred as integer, then double, then string in one extra pass over the
+    text columns.
     """
-    names = schema.fieldNames() if schema else spark.read.csv(path, header=True).columns
-    as_text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.schema(as_text).csv(path, header=True)
-    clean = raw.select([F.when(~F.trim(n).isin(MISSING_TOKENS), F.col(n)).alias(n) for n in _quoted(names)])
-    clean = clean.toDF(*names)
+    parts = [
+        spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).option("columnPruning", False).csv(
+            paths, header=True, mode="FAILFAST")
+        for names, paths in _by_header(spark, path)]
+    raw = parts[0]
+    for part in parts[1:]:
+        raw = raw.unionByName(part)
+    names = schema.fieldNames() if schema else raw.columns
+    clean = raw.select([F.when(~F.trim(n).isin(MISSING_TOKENS), F.col(n)).alias(m) for n, m in zip(_quoted(names), names)])
     if schema is None:
         schema = _infer(clean)
-    return clean.select(
-        [F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema.fields]
-    )
+    return clean.select([_typed(f, rejects).alias(f.name) for f in schema.fields])
+
+
+def _typed(f: T.StructField, rejects: str) -> Column:
+    text = F.col(f"`{f.name}`")
+    value = F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})")
+    if rejects == "null":
+        return value
+    message = F.concat(F.lit(f"column {f.name} takes no "), text)
+    return F.when(text.isNotNull() & value.isNull(), F.raise_error(message).cast(f.dataType)).otherwise(value)
+
+
+def _by_header(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """Files grouped by their header line, which is the first line of the file's first split."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").withColumn(
+        "place", F.monotonically_increasing_id())
+    first = lines.where("file_block_start = 0").groupBy("file_path").agg(
+        F.min_by("value", "place").alias("header")).collect()  # one row per file
+    files: dict[str, list[str]] = {}
+    for r in sorted(first, key=lambda r: r.file_path):
+        files.setdefault(r.header.rstrip("\r"), []).append(r.file_path)
+    if not files:
+        raise ValueError(f"no file with a header in {path}")
+    return [(next(csv.reader([header])), paths) for header, paths in files.items()]
 
 
 def _quoted(names: list[str]) -> list[str]:
