@@ -85,10 +85,6 @@ def adjusted_r2(r2: str | Column, n: str | Column, p: str | Column | int) -> Col
     return F.when(left > 0, 1 - (1 - col(r2)) * (col(n) - 1) / left)
 
 
-def clip_score(c: str | Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(col(c), F.lit(lo)), F.lit(hi))
-
-
 def safe_div(a: Column, b: Column, otherwise: float = 0.0) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(otherwise))
 

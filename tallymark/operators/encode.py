@@ -17,8 +17,6 @@ from pyspark.sql import DataFrame, functions as F
 from tallymark.functions.columns import split_by_type
 from tallymark.session import stage
 
-MAX_FEATURES = 4096  # limit of MLlib's normal-equation solver, so also of the level lists held by the driver
-
 
 @dataclass(frozen=True)
 class Recipe:
@@ -118,17 +116,14 @@ def fit_encoders(
 
 
 def _levels(df: DataFrame, categorical: tuple[str, ...], fold: str) -> dict[str, dict[str, set]]:
-    """Level -> folds it occurs in, per column; refuses lists too long for a model."""
+    """Level -> folds it occurs in, per column. The driver holds the lists, as the fitted MLlib model does."""
     found: dict[str, dict[str, set]] = {c: {} for c in categorical}
     if not categorical:
         return found
     long = df.select(fold, *[F.col(c).cast("string").alias(c) for c in categorical]).unpivot(
         [fold], list(categorical), "column", "level")
     table = long.where(F.col("level").isNotNull()).groupBy("column", "level").agg(F.collect_set(fold).alias("folds"))
-    rows = table.limit(MAX_FEATURES + 1).collect()
-    if len(rows) > MAX_FEATURES:
-        raise ValueError(f"more than {MAX_FEATURES} category levels; group rare levels before modelling")
-    for r in rows:
+    for r in table.toLocalIterator():
         found[r["column"]][r["level"]] = set(r["folds"])
     return found
 

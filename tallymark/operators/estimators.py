@@ -17,7 +17,7 @@ from pyspark.ml.regression import (
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
-from tallymark.operators.encode import MAX_FEATURES, Encoder, Recipe, fit_encoder
+from tallymark.operators.encode import Encoder, Recipe, fit_encoder
 from tallymark.operators.mlp import fit_mlp
 from tallymark.operators.splits import validation_slice
 from tallymark.session import cache_spread
@@ -26,7 +26,7 @@ PROBABILITY_CUT = 0.4  # class 1 from this probability on
 SEED = 42
 # Keeps the normal equations of full one-hot sets solvable; picks the smallest coefficients.
 TINY_RIDGE = 1e-9
-UNPENALISED = 1e-6  # Poisson penalties below this count as none
+NORMAL_EQUATIONS = 4096  # fixed value: columns up to which MLlib solves least squares in one step
 
 
 @dataclass(frozen=True)
@@ -40,13 +40,16 @@ class Spec:
     params: dict = field(default_factory=dict, hash=False)
     log_label: bool = False
     key: str | None = None  # row key; needed where training keeps rows aside
+    levels: str | None = None  # "all" or "drop_first"; by default all, but for a network and a Poisson model without penalty
 
     def recipe(self, df: DataFrame) -> Recipe:
         options = {"levels": "all"}
         if self.family == "polynomial":
             options["degree"] = self.params.get("degree", 2)
-        unpenalised = self.family == "poisson" and self.params.get("alpha", 1.0) < UNPENALISED
-        if self.family == "mlp" or unpenalised:
+        unpenalised = self.family == "poisson" and self.params.get("alpha", 1.0) == 0
+        if self.levels:
+            options["levels"] = self.levels
+        elif self.family == "mlp" or unpenalised:
             # Without a penalty a full set of levels is singular; predictions are the same.
             options["levels"] = "drop_first"
         return Recipe.of(df, list(self.predictors), **options)
@@ -121,19 +124,18 @@ def make_estimator(spec: Spec, encoder: Encoder):
     q, n = spec.params, encoder.n
     # MLlib divides its penalty by the label's deviation: that of the population in the
     # normal-equation solver, that of the sample in the iterative one for wider vectors.
-    spread = encoder.label_std or 1.0
-    if encoder.width > MAX_FEATURES:
-        spread *= (n / max(n - 1, 1)) ** 0.5
+    solver = "normal" if encoder.width <= NORMAL_EQUATIONS else "l-bfgs"
+    spread = (encoder.label_std or 1.0) * (1.0 if solver == "normal" else (n / max(n - 1, 1)) ** 0.5)
     if spec.family == "poisson":
         return GeneralizedLinearRegression(
             family="poisson", link="log", labelCol="__y", maxIter=q.get("max_iter", 50), tol=1e-8,
             regParam=q.get("alpha", 1.0) / max(encoder.label_mean, 1e-12))
     if spec.family in ("ols", "polynomial"):
         return LinearRegression(
-            labelCol="__y", standardization=False, regParam=q.get("ridge", TINY_RIDGE) * spread)
+            labelCol="__y", standardization=False, solver=solver, regParam=q.get("ridge", TINY_RIDGE) * spread)
     if spec.family == "ridge":
         return LinearRegression(
-            labelCol="__y", standardization=False, regParam=q.get("alpha", 1.0) / n * spread)
+            labelCol="__y", standardization=False, solver=solver, regParam=q.get("alpha", 1.0) / n * spread)
     if spec.family == "elastic_net":
         l1 = q.get("alpha", 0.001) * q.get("l1_ratio", 0.8)
         l2 = q.get("alpha", 0.001) * (1 - q.get("l1_ratio", 0.8)) * spread

@@ -6,7 +6,7 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallymark.functions.columns import above, at_least, col
+from tallymark.functions.columns import above, col
 from tallymark.operators.ordering import exact_quantiles, running_totals
 
 
@@ -55,7 +55,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def mode(df: DataFrame, column: str) -> DataFrame:
     """Most frequent value, the smallest one on ties."""
-    return value_counts(df, column).orderBy(F.desc("n"), column).limit(1)
+    return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(1)
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -76,7 +76,8 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 def integer_histogram(df: DataFrame, column: str) -> DataFrame:
     """Unit-width bins over the whole numbers from min to max, empty ones included."""
     counted = df.groupBy(F.floor(column).alias("bin")).agg(F.count("*").alias("n"))
-    frame = counted.agg(F.sequence(F.min("bin"), F.max("bin")).alias("bins")).select(F.explode("bins").alias("bin"))
+    ends = counted.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).first()
+    frame = df.sparkSession.range(0 if ends.lo is None else ends.lo, 0 if ends.lo is None else ends.hi + 1).select(F.col("id").alias("bin"))
     return frame.join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -175,7 +176,3 @@ def split_shares(df: DataFrame, split: str = "split") -> DataFrame:
     counts = df.groupBy(split).agg(F.count("*").alias("n"))
     whole = Window.partitionBy(F.lit(1))  # one row per side
     return counts.withColumn("share", F.col("n") / F.sum("n").over(whole))
-
-
-def share_at_least(df: DataFrame, column: str, threshold: float) -> Column:
-    return F.avg(at_least(column, threshold))

@@ -44,8 +44,8 @@ def grid_search(
     Only metric rows (grid points x folds) reach the driver.
     """
     points = expand(grid)
-    folded = with_contiguous_folds(df, key, k) if contiguous else with_folds(df, key, k)
-    base = cache_spread(needed_columns(folded, [spec], [key, "fold"]))
+    narrow = needed_columns(df, [spec], [key])  # before the folds, which stage what they number
+    base = cache_spread(with_contiguous_folds(narrow, key, k) if contiguous else with_folds(narrow, key, k))
     rows = []
     try:
         encoders = fit_encoders(base, spec.recipe(base), "fold", spec.label)

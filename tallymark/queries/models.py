@@ -44,7 +44,7 @@ FROM t, b"""
 def flagship_poisson_holdout(spark, d):
     """Null drop, key-hash split, one-hot Poisson fit on the train side, hold-out metrics."""
     df = drop_incomplete(_sides(spark, d), ["avg_qty", "avg_disc"]).select(KEY, "split", COUNT, "o_month")
-    fitted = fit(df.where("split = 'train'"), Spec("flagship", "poisson", COUNT, ("o_month",), {"alpha": 1e-9}))
+    fitted = fit(df.where("split = 'train'"), Spec("flagship", "poisson", COUNT, ("o_month",), {"alpha": 1e-9}, levels="drop_first"))
     scored = fitted.predict(df.where("split = 'test'")).withColumn("y", F.col(COUNT).cast("double"))
     return rounded(M.evaluate(scored, M.COUNT), 4)
 
@@ -53,7 +53,7 @@ def flagship_poisson_holdout(spark, d):
 SELECT o_orderpriority, round(avg(n_lines), 4) AS yhat, count(*) AS n FROM sides WHERE split = 'train' GROUP BY 1"""))
 def g1_poisson_group_means(spark, d):
     train = _train(spark, d)
-    fitted = fit(train, Spec("m", "poisson", COUNT, ("o_orderpriority",), {"alpha": 1e-9}))
+    fitted = fit(train, Spec("m", "poisson", COUNT, ("o_orderpriority",), {"alpha": 1e-9}, levels="drop_first"))
     return rounded(fitted.predict(train.select(KEY, "o_orderpriority")).groupBy("o_orderpriority").agg(
         F.avg("yhat").alias("yhat"), F.count("*").alias("n")), 4)
 

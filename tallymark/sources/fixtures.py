@@ -81,9 +81,11 @@ def doc_label(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def emb_label(spark: SparkSession, folder: str, width: int = 64) -> DataFrame:
-    """One row per vector: its entries as numeric columns and ``label = 0`` as the binary target."""
-    return table(spark, folder, "embeddings").select(
+def emb_label(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per vector: all its entries as numeric columns and ``label = 0`` as the binary target."""
+    vectors = table(spark, folder, "embeddings")
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return vectors.select(
         "vec_id", (F.col("label") == 0).cast("int").alias("is_zero"),
         *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)],
     )

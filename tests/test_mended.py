@@ -74,3 +74,11 @@ def test_network_scores_its_last_epoch(network_rows):
     model, log = fit_mlp(network_rows, {"hidden": [6], "max_iter": 3, "batch_size": 50, "learning_rate": 0.05}, 3)
     assert all(score is not None for _, _, score in log)
     assert model.valid_r2 == max(score for _, _, score in log)
+
+
+def test_encoder_takes_any_number_of_levels(spark):
+    df = spark.range(6000).select(F.concat(F.lit("level"), "id").alias("c"))
+    encoder = fit_encoder(df, Recipe(categorical=("c",)))
+    assert encoder.width == 6000
+    row = encoder.transform(df.where("c = 'level4321'")).first()
+    assert [encoder.names[i] for i in row["features"].indices] == ["c_level4321"]
