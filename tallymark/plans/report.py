@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymark.operators.estimators import Spec
+from tallymark.operators.metrics import improvement
 
 # Label and metric of each line per family, in report order.
 _LINES = {
@@ -58,6 +59,15 @@ def report_lines(
         sections.append(("cross-validation, original scale", [
             _line(t, _value("cv", f"{m}_original")) for t, m in (("MSE", "mse"), ("RMSE", "rmse"), ("MAE", "mae"))]))
     sections.append(("test set", [_line(t, _value("test", m)) for t, m in _LINES[kind]]))
+    if kind == "logistic":
+        base = lambda m: _value("baseline", m)
+        gain = lambda m: F.when(base(m) != 0, improvement(_value("test", m), base(m)))
+        shown = [("Accuracy", "accuracy"), ("F1 Score", "f1"), ("ROC-AUC", "roc_auc")]
+        sections.append(("majority baseline", [
+            F.when(base("majority_class").isNotNull(), F.format_string("  Always class %d", base("majority_class").cast("int"))),
+            *[_line(t, base(m)) for t, m in shown],
+            *[F.when(gain(m).isNotNull(), F.format_string(f"  {t + ' gain:':<20}%+.2f%%", gain(m))).when(
+                base(m) == 0, F.lit(f"  {t + ' gain:':<20}N/A")) for t, m in shown]]))
     ratio = lambda m: F.when(_value("cv", m) != 0, _value("test", m) / _value("cv", m))
     sections.append(("generalisation (test / cv)", [_line(t, ratio(m)) for t, m in _RATIOS[kind]]))
     if spec.log_label:

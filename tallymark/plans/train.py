@@ -142,6 +142,12 @@ def test_metrics(scored: DataFrame, spec: Spec, p: int | None = None) -> DataFra
     return out
 
 
+def baseline_metrics(train: DataFrame, test: DataFrame, spec: Spec) -> DataFrame:
+    """Tidy hold-out metrics, split "baseline", of always predicting the majority class of the train side."""
+    wide = M.majority_baseline(train, test, spec.label)
+    return tidy(wide, ["majority_class", "accuracy", "f1", "roc_auc"], spec.name, "baseline")
+
+
 @dataclass
 class Result:
     """Everything one training run hands on; row data stays in Spark."""
@@ -178,10 +184,12 @@ def train_and_score(
         oof, encoder = _out_of_fold(train, spec, key, k, contiguous, with_train, cached=True)
         fitted = fit(train, spec, encoder, cached=True)
         predictions = stage(score(fitted, test, key))
+        baseline = stage(baseline_metrics(train, test, spec)) if spec.family == "logistic" else None
     finally:
         if not cached:
             base.unpersist()
-    metrics = stage(cv_metrics(oof, spec).unionByName(test_metrics(predictions, spec)))
+    metrics = cv_metrics(oof, spec).unionByName(test_metrics(predictions, spec))
+    metrics = stage(metrics if baseline is None else metrics.unionByName(baseline))
     return Result(spec, fitted, oof, predictions, metrics)
 
 

@@ -82,3 +82,25 @@ def test_encoder_takes_any_number_of_levels(spark):
     assert encoder.width == 6000
     row = encoder.transform(df.where("c = 'level4321'")).first()
     assert [encoder.names[i] for i in row["features"].indices] == ["c_level4321"]
+
+
+def test_report_compares_with_the_majority_class(spark):
+    from tallymark.operators.estimators import Spec
+    from tallymark.plans.report import report_lines
+
+    values = {"test": {"accuracy": 0.9, "f1": 0.5, "roc_auc": 0.75}, "baseline": {"majority_class": 0.0, "accuracy": 0.8, "f1": 0.0, "roc_auc": 0.5}}
+    rows = [("m", split, None, metric, v) for split, own in values.items() for metric, v in own.items()]
+    metrics = spark.createDataFrame(rows, "model string, split string, fold int, metric string, value double")
+    lines = [r.text for r in report_lines(metrics, Spec("m", "logistic", "y", ("x",)), "now").collect() if r.section == "majority baseline"]
+    assert [" ".join(t.split()) for t in lines] == [
+        "Always class 0", "Accuracy: 0.8000", "F1 Score: 0.0000", "ROC-AUC: 0.5000", "Accuracy gain: +12.50%", "F1 Score gain: N/A", "ROC-AUC gain: +50.00%"]
+
+
+def test_training_puts_the_baseline_among_the_metrics(spark):
+    from tallymark.operators.estimators import Spec
+    from tallymark.plans.train import train_and_score
+
+    df = spark.range(600).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 > 4).cast("int").alias("y"))
+    metrics = train_and_score(df, Spec("m", "logistic", "y", ("x",)), "id", k=3).metrics
+    own = {r.metric: r.value for r in metrics.where("split = 'baseline'").collect()}
+    assert own["majority_class"] == 0.0 and own["f1"] == 0.0 and own["roc_auc"] == 0.5 and 0.6 < own["accuracy"] < 0.8
