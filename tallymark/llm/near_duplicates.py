@@ -27,7 +27,7 @@ SMALL = 64  # classes in a node that is compared exhaustively
 DEPTH = 12
 ALIKE = 0.5  # mean agreement with a member from which a large node is a cluster
 PIVOTS = 4
-BLOCK = 1024  # members of a split cluster that one task holds
+BLOCK = 512  # members of a split cluster that one task holds
 CHUNK = 2_000_000
 HOPEFUL = 34  # of 64 values agree: a pair at the threshold stays below it about once in 25,000
 THRESHOLD = (75, 100)
@@ -196,19 +196,21 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     sets = stage(_sets(df, ends))
     links, labels, tested = None, None, None
     for turn in range(4):
-        cross = candidates
         if turn == 3:
-            cross = _between_parts(clusters, labels)
-        if labels is not None:
-            cross = _across(cross, labels)
-            cross = cross.join(tested, ["a", "b"], "left_anti")
-        if turn < 2:  # the best partner of each class only: most other pairs are connected after that
-            cross = cross.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
-        cross = stage(cross.select("a", "b"))
-        if cross.isEmpty():
+            good = _between_parts(clusters, labels, sets)
+        else:
+            cross = candidates
+            if labels is not None:
+                cross = _across(cross, labels).join(tested, ["a", "b"], "left_anti")
+            if turn < 2:  # the best partner of each class only: most other pairs are connected after that
+                cross = cross.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
+            cross = stage(cross.select("a", "b"))
+            if cross.isEmpty():
+                continue
+            tested = cross if tested is None else tested.union(cross)
+            good = _confirmed(cross, sets)
+        if good.isEmpty():
             continue
-        tested = cross if tested is None else tested.union(cross)
-        good = _confirmed(cross, sets)
         links = good if links is None else stage(links.union(good))
         labels = components(links)
     out = rows.join(classes.select("key", "rep"), "key", "left")
@@ -228,43 +230,61 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "agree")
 
 
-def _between_parts(clusters: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Hopeful pairs of a cluster's members outside its largest part with all its members of other parts.
+def _between_parts(clusters: DataFrame, labels: DataFrame | None, sets: DataFrame) -> DataFrame:
+    """Links of a cluster's members outside its largest part with members of its other parts, one a part and block.
 
-    Members are dealt into blocks of bounded size; those outside go to every block of their node.
+    Members are dealt into blocks of bounded size; those outside go to every block of their node, where an index
+    of the block's shingles gives their intersections with all its members. Full sets travel, so what comes out are
+    links, not candidates: their number does not grow with the square of a cluster.
     """
     labels = clusters.sparkSession.createDataFrame([], "x long, component long") if labels is None else labels
     members = stage(clusters.join(labels.withColumnRenamed("x", "rep"), "rep", "left").select(
-        "node", "rep", "n", "sketch", F.coalesce("component", "rep").alias("part")))
+        "node", "rep", F.coalesce("component", "rep").alias("part")))
     parts = members.groupBy("node", "part").agg(F.count("*").alias("held")).groupBy("node").agg(
         F.max_by("part", "held").alias("main"), F.count("*").alias("parts"), F.sum("held").alias("members")).filter("parts > 1")
-    split = members.join(parts, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
-    own = split.select("node", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(0).alias("outside"), "rep", "n", "part", "sketch")
+    split = members.join(parts, "node").join(sets, "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
+    own = split.select("node", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(0).alias("outside"), "rep", "part", "set")
     sent = split.filter(F.col("part") != F.col("main")).select(
-        "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("outside"), "rep", "n", "part", "sketch")
+        "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("outside"), "rep", "part", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, block = None, [], None
         for batch in batches:
-            columns = _columns(batch, "node", "block", "outside", "rep", "n", "part", "sketch")
-            if not columns[0].size:
-                continue
-            change = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0) | (np.diff(columns[2]) != 0)) + 1
-            for start, end in zip([0, *change.tolist()], [*change.tolist(), columns[0].size]):
-                node, block, outside, rep, n, part, sketch = (c[start:end] for c in columns)
-                if (node[0], block[0]) != at:
-                    at, held = (node[0], block[0]), []
-                if not outside[0]:
-                    held.append((rep.copy(), n.copy(), part.copy(), sketch.copy()))
-                    continue
-                if not held:
-                    continue
-                r, m, q, k = (np.concatenate(x) for x in zip(*held))
-                for i in range(rep.size):
-                    agree = (k == sketch[i]).sum(axis=1)
-                    good = np.flatnonzero(_hopeful(agree, m, n[i]) & (q != part[i]))
-                    if good.size:
-                        yield _pairs(np.full(good.size, rep[i]), r[good], agree[good])
+            a, b = [], []
+            for node, number, outside, rep, part, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if (node, number) != at:
+                    at, held, block = (node, number), [], None
+                shingles = np.frombuffer(own, dtype=np.uint64)
+                if not outside:
+                    held.append((rep, part, shingles))
+                elif held:
+                    block = block or _Block(held)
+                    found = block.linked(part, shingles)
+                    a += [max(rep, r) for r in found]
+                    b += [min(rep, r) for r in found]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     rows = own.unionByName(sent).repartition("node", "block").sortWithinPartitions("node", "block", "outside")
-    return rows.mapInArrow(run, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return stage(rows.mapInArrow(run, "a long, b long").distinct())
+
+
+class _Block:
+    """Members of a cluster with an index of their shingles."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray]]):
+        self.reps = np.array([m[0] for m in members])
+        self.parts = np.array([m[1] for m in members])
+        self.sizes = np.array([m[2].size for m in members])
+        values = np.concatenate([m[2] for m in members])
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], np.repeat(np.arange(len(members)), self.sizes)[order]
+
+    def linked(self, part: int, shingles: np.ndarray) -> list[int]:
+        """A member similar enough of each other part."""
+        low, high = (np.searchsorted(self.values, shingles, side=side) for side in ("left", "right"))
+        count = high - low
+        place = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        both = np.bincount(self.owner[place], minlength=self.reps.size)
+        good = np.flatnonzero((THRESHOLD[1] * both >= THRESHOLD[0] * (self.sizes + shingles.size - both)) & (self.parts != part))
+        return self.reps[good[np.unique(self.parts[good], return_index=True)[1]]].tolist()
