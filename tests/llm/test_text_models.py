@@ -251,3 +251,21 @@ def test_leak_edges(spark, table_of):
     assert leak.leaks(table_of([]), bench).count() == 0
     assert leak.leaks(table_of(EDGES), bench.limit(0)).count() == 0
     assert leak.common_subsequence(np.array([1, 2, 3, 4]), np.array([9, 1, 3, 2, 4])) == 3
+
+
+def test_leaks_diluted_by_other_benchmark_words(spark, table_of):
+    rng = np.random.default_rng(12)
+    chosen = lambda n, low, high: [f"w{x}" for x in rng.integers(low, high, n)]
+    items = [(k, " ".join(chosen(15, 0, 300) if k % 2 else chosen(40, 300, 4000))) for k in range(2000)]
+    docs = [(i, " ".join(chosen(80 + i % 37, 300, 4000) + items[i * 20 + 1][1].split() + chosen(90, 300, 4000))) for i in range(100)]
+    docs += [(i, " ".join(chosen(200, 0, 300))) for i in range(100, 200)]  # they make the words of the short items light
+    got = {(r.doc_id, r.item_id) for r in leak.leaks(table_of(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    known = leak.Items.of(items)
+    texts = [np.array([known.vocabulary.get(w, 0) for w in text.split()], dtype=np.int32) for _, text in docs]
+    frequency = np.zeros(len(known.vocabulary) + 1)
+    for own in texts:
+        frequency[np.unique(own)] += 1
+    weights = leak.word_weights(frequency, len(docs))
+    want = {(i, k) for i, own in enumerate(texts) for k in range(1, 2000, 20) if any(
+        leak.judged(known.words[k], own[max(0, b - 15):b + 2 * leak.BLOCK + 15], weights) is not None for b in range(0, own.size, leak.BLOCK))}
+    assert {(i, i * 20 + 1) for i in range(100)} <= want <= got
