@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Strict patterns give the seed entities. Every identifier-like token of the corpus is linked to the lexical
-patterns around it (the word before, the word after, both); seeds give those patterns a confidence for each
+Strict patterns give the seed entities, each an instance whatever its digits and spaces. Every identifier-like
+token of the corpus is linked to the lexical patterns around it (the word before, the word after, both; one
+alone where the other side has no word); seeds give those patterns a confidence for each
 kind, patterns pass it on to the tokens they surround, and so on for a few rounds. Tokens that patterns of high
 confidence agree on become further spans; seeds always stay.
 """
@@ -16,7 +17,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 SUPPORT = 3  # distinct seed instances that a pattern needs
 CONFIDENCE = 0.8
-PATTERNS_TO_AGREE = 2
+PATTERNS_TO_AGREE = 2  # all, of an instance that has fewer
 CONTEXT = 60  # characters on either side that hold the neighbouring word
 
 # The seed patterns, each with what is checked of a match. They are written so that the regular
@@ -30,7 +31,8 @@ _FIND = {
     "card": r"[0-9][0-9 -]++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-_TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+_TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+_GROUPS = (r"(?<=[0-9)]) (?=\(?[0-9])", "_")  # makes one token of groups of digits
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -81,8 +83,29 @@ def _word(text: Column, last: bool) -> Column:
     return F.lower(F.regexp_replace(F.regexp_extract(near, r"(\S+)\s*$" if last else r"^\s*(\S+)", 1), r"[^\p{L}=:#]", ""))
 
 
+def _instances(text: Column, spans: Column) -> Column:
+    """Seed spans as (start, end, instance, before, after, kind), with the words around them."""
+
+    def one(s: Column) -> Column:
+        begin = F.greatest(s["start"] - CONTEXT, F.lit(0))
+        before = F.regexp_replace(F.substring(text, begin + 1, s["start"] - begin), r"[^\p{L}0-9\s=:#]+$", "")
+        after = F.regexp_replace(F.substring(text, s["end"] + 1, F.lit(CONTEXT)), r"^[^\p{L}0-9\s]+", "")
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("instance"),
+                        _word(before, True).alias("before"), _word(after, False).alias("after"), s["kind"].alias("kind"))
+
+    return F.transform(spans, one)
+
+
+def _identifier(core: Column) -> Column:
+    return core.contains("@") | (F.length(_digits(core)) >= 4) | core.rlike(r"[0-9]\.[0-9]++\.[0-9]")
+
+
 def tokens(text: Column) -> Column:
-    """Identifier-like tokens: (start, end, instance, before, after), trimmed of punctuation, with four digits or more."""
+    """Identifier-like tokens: (start, end, instance, before, after), trimmed of punctuation.
+
+    They have four digits or more, groups of digits between spaces taken together, or an ``@``, or three numbers with dots between.
+    """
+    text = F.regexp_replace(text, *_GROUPS)
     kind = "array<struct<start:int,end:int,instance:string,before:string,after:string>>"
 
     def step(acc: Column, x: Column) -> Column:
@@ -98,7 +121,7 @@ def tokens(text: Column) -> Column:
             F.get(acc["out"], last)["start"].alias("start"), F.get(acc["out"], last)["end"].alias("end"),
             F.get(acc["out"], last)["instance"].alias("instance"), F.get(acc["out"], last)["before"].alias("before"),
             after.alias("after"))))).otherwise(acc["out"])
-        keep = x["m"].isNotNull() & (F.length(_digits(core)) >= 4)
+        keep = x["m"].isNotNull() & _identifier(core)
         return F.struct(
             (acc["pos"] + F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("pos"),
             F.coalesce(keep, F.lit(False)).alias("open"),
@@ -106,7 +129,7 @@ def tokens(text: Column) -> Column:
 
     none = F.array().cast(kind)
     first = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("open"), none.alias("out"))
-    return F.when(text.rlike("[0-9]"), F.aggregate(_found(text, _TOKEN), first, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(text.rlike("[0-9@]"), F.aggregate(_found(text, _TOKEN), first, step, lambda acc: acc["out"])).otherwise(none)
 
 
 def scored_instances(seen: DataFrame) -> DataFrame:
@@ -116,9 +139,11 @@ def scored_instances(seen: DataFrame) -> DataFrame:
     Edges are counted once for each pattern and instance before any join, and scores move along them by joins
     and sums alone, so neither a common pattern nor a common token gathers its rows in one place.
     """
-    pattern = F.explode(F.array(F.concat(F.lit("< "), "before"), F.concat(F.lit("> "), "after"),
-                                F.concat(F.lit("<> "), F.concat_ws(" ", "before", "after"))))
-    edges = stage(seen.filter((F.col("before") != "") & (F.col("after") != ""))
+    before, after = F.col("before") != "", F.col("after") != ""
+    pattern = F.explode(F.array_compact(F.array(
+        F.when(before, F.concat(F.lit("< "), "before")), F.when(after, F.concat(F.lit("> "), "after")),
+        F.when(before & after, F.concat(F.lit("<> "), F.concat_ws(" ", "before", "after"))))))
+    edges = stage(seen.filter(before | after)
                   .select("instance", "kind", pattern.alias("pattern"))
                   .groupBy("pattern", "instance").agg(F.max("kind").alias("seed")))
     kinds = F.explode(F.array(*map(F.lit, KINDS)))
@@ -128,6 +153,7 @@ def scored_instances(seen: DataFrame) -> DataFrame:
     patterns = stage(supported.join(size, "pattern").select("pattern", "kind", "seeds", "n"))
     confidence = patterns.select("pattern", "kind", (F.col("seeds") / (F.col("n") + 1)).alias("score"))
     open_edges = edges.filter(F.col("seed").isNull()).select("pattern", "instance")
+    patterns_of = open_edges.groupBy("instance").agg(F.count("*").alias("edges"))
     instances = None
     for _ in range(ROUNDS):
         instances = stage(open_edges.join(confidence, "pattern").groupBy("instance", "kind").agg(
@@ -135,7 +161,8 @@ def scored_instances(seen: DataFrame) -> DataFrame:
         gained = open_edges.join(instances, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
         confidence = patterns.join(gained, ["pattern", "kind"], "left").select(
             "pattern", "kind", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("n") + 1)).alias("score"))
-    return instances.filter((F.col("score") >= CONFIDENCE) & (F.col("agree") >= PATTERNS_TO_AGREE)).groupBy("instance").agg(
+    confident = instances.filter((F.col("score") >= CONFIDENCE) & (F.col("agree") >= 1)).join(patterns_of, "instance")
+    return confident.filter(F.col("agree") >= F.least(F.lit(PATTERNS_TO_AGREE), "edges")).groupBy("instance").agg(
         F.max_by("kind", F.struct("score", "kind")).alias("kind"))
 
 
@@ -148,12 +175,14 @@ def find(df: DataFrame, keep: list[str]) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = stage(df.select(
-        *keep, F.concat(*[seed_spans(text, k) for k in KINDS]).alias("base"), tokens(text).alias("tokens"),
+        *keep, F.concat(*[seed_spans(text, k) for k in KINDS]).alias("base"), text.alias("__text"),
+    ).select(
+        *keep, "base", _instances(F.col("__text"), F.col("base")).alias("seeds"), tokens(F.col("__text")).alias("tokens"),
     ).withColumn("__row", F.monotonically_increasing_id()))
-    seen = rows.select("__row", "base", F.explode("tokens").alias("t")).select(
-        "__row", "t.*", F.get(F.filter("base", lambda s: (s["start"] < F.col("t.end")) & (F.col("t.start") < s["end"])), F.lit(0))["kind"].alias("kind"))
-    new = scored_instances(seen)
-    more = (seen.filter(F.col("kind").isNull()).drop("kind").join(new, "instance")
+    seen = rows.select("__row", "base", F.explode("tokens").alias("t")).filter(
+        ~F.exists("base", lambda s: (s["start"] < F.col("t.end")) & (F.col("t.start") < s["end"]))).select("__row", "t.*", F.lit(None).cast("string").alias("kind"))
+    new = scored_instances(seen.unionByName(rows.select("__row", F.inline("seeds"))))
+    more = (seen.drop("kind").join(new, "instance")
             .groupBy("__row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more")))
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     return rows.join(more, "__row", "left").select(*keep, "base", F.array_sort(

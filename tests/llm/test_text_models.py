@@ -126,6 +126,15 @@ def test_confident_contexts_find_more(table_of):
     assert spans[10] == "card:12:28" and spans[11] == "" and spans[12] == ""
 
 
+def test_contexts_of_emails_and_spaced_numbers(table_of):
+    rows = [(i, f"e-mail: {n}@x.org") for i, n in enumerate("abcdefgh")]
+    rows += [(10 + i, f"phone +1 (017) 555-77{i}3") for i in range(10)]
+    rows += [(20 + i, f"card no {n} | 12") for i, n in enumerate(["4111 1111 1111 1111", "5500 0055 5555 5559", "4012 8888 8888 1881", "6011 1111 1111 1117", "5105 1051 0510 5100"])]
+    rows += [(30, "e-mail: bob@localhost"), (31, "phone (017) 555 7713"), (32, "card no 4111 1111 1111 1112 |"), (33, "word bob@localmost"), (34, "year 1945 1946")]
+    spans = {r.doc_id: r.spans for r in found_spans(table_of(rows))}
+    assert [spans[i] for i in range(30, 35)] == ["email:8:21", "phone:7:20", "card:8:27", "", ""]
+
+
 def test_private_edges(table_of):
     rows = found_spans(table_of(EDGES))
     assert len(rows) == len(EDGES) and all(r.spans == "" for r in rows)
