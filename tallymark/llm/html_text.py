@@ -35,6 +35,7 @@ NAMES = {
     "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "widget", "footer", "masthead", "cookie", "cookies", "consent", "notice", "notices",
     "gdpr", "newsletter", "subscribe", "subscription", "popup", "modal", "overlay", "comment", "comments", "disqus", "replies", "respond", "share", "sharing",
     "social", "related", "recommended", "pagination", "pager", "toolbar", "login", "signup", "search"}
+HEAD = {"head", "base", "link", "meta", "title", "style", "script", "noscript", "template"}  # what a head may hold
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 # Which open elements a start tag closes, and how far up it looks.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -49,12 +50,13 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "links", "density", "total")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "links", "density", "total", "cut")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.total = 0.0
+        self.cut = False
 
 
 def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
@@ -75,11 +77,12 @@ class _Open:
     """The open elements, with counts by tag so that closing never searches in vain."""
 
     def __init__(self, root: Node):
-        self.nodes, self.count = [root], Counter()
+        self.nodes, self.count, self.cut = [root], Counter(), Counter()
 
     def push(self, node: Node) -> None:
         self.nodes.append(node)
         self.count[node.tag] += 1
+        self.cut[node.tag] += bool(node.cut)
 
     def close(self, tags: set[str], barriers: frozenset[str] | set[str]) -> None:
         """Close the innermost open element of ``tags`` and all within it, unless a barrier lies between."""
@@ -90,6 +93,7 @@ class _Open:
             if tag in tags:
                 for node in self.nodes[at:]:
                     self.count[node.tag] -= 1
+                    self.cut[node.tag] -= bool(node.cut)
                 del self.nodes[at:]
                 return
             if tag in barriers:
@@ -97,46 +101,59 @@ class _Open:
 
 
 def parse(page: str) -> Node:
-    """The body of a page as a tree without furniture; text leaves are strings. Unclosed and misnested tags are tolerated."""
+    """The body of a page as a tree without furniture; text leaves are strings. Unclosed and misnested tags are tolerated.
+
+    Furniture is opened and closed as any other element and left out at the end.
+    """
     root = Node("body", None)
-    open_, place, skipping, depth = _Open(root), 0, "", 0
+    open_, place = _Open(root), 0
     while True:
         m = _TOKEN.search(page, place)
         text = page[place:m.start() if m else len(page)]
-        if text and not skipping:
+        if text:
+            if open_.count["head"] and text.strip():
+                open_.close({"head"}, set())
             open_.nodes[-1].children.append(html.unescape(text) if "&" in text else text)
         if m is None:
-            return root
+            return _without_furniture(root)
         place, tag, ends = m.end(), (m[2] or "").lower(), bool(m[1])
+        if tag == "body" and not ends:
+            open_.close({"head"}, set())
         if not tag or tag in ("html", "body"):
             continue
         if tag in RAW and not ends:  # text up to its end tag, whatever it holds
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, place)
             place = end.end() if end else len(page)
             continue
-        if skipping:
-            if tag == skipping and not (m[3] or "").endswith("/"):
-                depth += -1 if ends else 1
-                skipping = skipping if depth else ""
-            continue
         if ends:
-            open_.close({tag}, {"td", "th", "table"} - {tag} if tag in BLOCKS else BLOCKS)
+            open_.close({tag}, {"td", "th", "table"} - {tag} if tag in BLOCKS or open_.cut[tag] else BLOCKS)
             continue
+        if open_.count["head"] and tag not in HEAD:
+            open_.close({"head"}, set())
         if tag in CLOSES:
             open_.close(CLOSES[tag], SCOPES[tag])
         if tag in BLOCKS:
             open_.close({"p"}, {"td", "th", "table", "caption"})
         empty = tag in VOID or m[3].endswith("/")
-        if _furniture(tag, m[3], bool(open_.count["article"] or open_.count["main"])):
-            if not empty:
-                skipping, depth = tag, 1
+        cut = _furniture(tag, m[3], bool(open_.count["article"] or open_.count["main"]))
+        if cut and empty:
             continue
         node = Node(tag, open_.nodes[-1])
+        node.cut = cut
         open_.nodes[-1].children.append(node)
         if tag not in VOID:
             open_.push(node)
 
 
+def _without_furniture(root: Node) -> Node:
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or not c.cut]
+        stack += [c for c in node.children if isinstance(c, Node)]
+    return root
+
+
 def _postorder(root: Node) -> list[Node]:
     order, stack = [], [root]
     while stack:

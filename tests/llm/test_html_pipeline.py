@@ -48,6 +48,16 @@ def test_page_forms(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("page", [
+    f'<p class="notice">Cookies<p>{TEXT}', f'<ul><li class="share">Share</ul><div>{BODY}</div>', f'<table><tr><td class="sidebar">x<td>{BODY}</table>',
+    f"<html><head><title>x</title><meta charset=a><div>{BODY}</div>", f"<head><link href=a><body><div>{BODY}</div>", f"<div><form>Name</div><div>{BODY}</div>",
+    f"<nav><ul><li>a<li>b</nav><div>{BODY}</div>", f"<head><noscript><link href=a></noscript><title>x</title></head><div>{BODY}</div>",
+    f"<div><button><div>x</button>{BODY}</div>",
+])
+def test_furniture_without_end_tags(page):
+    assert main_text(page) == TEXT
+
+
 def test_page_edges(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "<p>x</p>"), (3, "<p>" + "word " * 100_000)]
     df = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
