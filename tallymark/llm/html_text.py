@@ -3,7 +3,8 @@
 Every node of the page's tree gets its characters per tag, lowered where they are mostly link text. A node's
 density sum is that of its children. The least density on the path from the node of greatest sum up to the
 body is the threshold: nodes at or above it are content, and of each the subtree of greatest sum is taken whole.
-Parts that are page furniture by their element, role or class are cut out before densities are taken.
+Parts that are page furniture by their element, role or class are cut out before densities are taken; a form, or
+an element furniture by its class or id, is not cut where it holds the page's main part or most of its text.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?-->|.*)|<[!?][^>]*>?|</[^a-zA-Z][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>?", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|$)""", re.I)
-_PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _SPACE = re.compile(r"\s+")
 
 
@@ -56,21 +57,23 @@ class Node:
         self.tag, self.parent, self.children = tag, parent, []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.total = 0.0
-        self.cut = False
+        self.cut = ""
 
 
-def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in FURNITURE or (tag == "header" and not in_article):
-        return True
+def _furniture(tag: str, attributes: str, in_article: bool) -> str:
+    """``always`` or ``named`` (which may turn out to be a wrapper) for furniture, else empty."""
+    named = "named" if tag == "form" else ""
+    if not named and (tag in FURNITURE or (tag == "header" and not in_article)):
+        return "always"
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return named
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ROLES):
-            return True
+            return "always"
         if name in ("class", "id") and any(part.lower() in NAMES for part in _PARTS.split(value)):
-            return True
-    return False
+            named = "named"
+    return named
 
 
 class _Open:
@@ -146,11 +149,30 @@ def parse(page: str) -> Node:
 
 
 def _without_furniture(root: Node) -> Node:
-    stack = [root]
-    while stack:
-        node = stack.pop()
+    """The tree without what is cut. Of named elements stay those around the page's article or main, else one with most of the text."""
+    size: dict[int, int] = {}
+    holds: dict[int, int] = {}  # articles and mains within
+    for node in _postorder(root):
+        node.children = [c for c in node.children if isinstance(c, str) or c.cut != "always"]
+        size[id(node)] = sum(len(c.strip()) if isinstance(c, str) else size[id(c)] for c in node.children)
+        holds[id(node)] = sum((c.tag in ("article", "main")) + holds[id(c)] for c in node.children if isinstance(c, Node))
+    scopes = [root]
+    while scopes:
+        named, stack = [], [scopes.pop()]
+        free = stack[0].tag in ("article", "main")
+        while stack:
+            node = stack.pop()
+            for c in node.children:
+                if isinstance(c, Node):
+                    free = free or c.tag in ("article", "main")
+                    (named if c.cut else stack).append(c)
+        most = [n for n in named if 2 * size[id(n)] > size[id(root)]]
+        around = most or [n for n in named if holds[id(n)] == 1]  # several articles may be comments
+        for node in [] if free else around:
+            node.cut = ""
+            scopes.append(node)
+    for node in _postorder(root):
         node.children = [c for c in node.children if isinstance(c, str) or not c.cut]
-        stack += [c for c in node.children if isinstance(c, Node)]
     return root
 
 

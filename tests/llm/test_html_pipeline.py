@@ -58,6 +58,15 @@ def test_furniture_without_end_tags(page):
     assert main_text(page) == TEXT
 
 
+@pytest.mark.parametrize("page", [
+    *[f'<div class="{name}"><article>{BODY}</article><div class="ads">x</div></div>' for name in ("content has-sidebar", "layout-with-nav", "no-comments", "search-result-page")],
+    f'<div id="page-with-nav"><div class="Sidebar">{BODY[:90]}</div><div>{BODY}</div></div>', f"<form action=x><div>{BODY}</div></form>",
+    *[f'<div>{BODY}</div><div class="{name}"><p>Some words of readers stand here, too, and are enough to be kept.</p></div>' for name in ("Sidebar", "pageFooter", "Comments", "userCOMMENTS", "ADBanner")],
+])
+def test_wrappers_and_capitals_in_names(page):
+    assert main_text(page) == TEXT
+
+
 def test_page_edges(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "<p>x</p>"), (3, "<p>" + "word " * 100_000)]
     df = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
