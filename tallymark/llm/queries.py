@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymark.llm import private_data, quality
-from tallymark.llm.common import documents, id_bucket, table
+from tallymark.llm.common import documents, id_bucket, stage, table
 from tallymark.llm.decontamination import leaks
 from tallymark.llm.fingerprints import fingerprints
 from tallymark.llm.html_text import extract
@@ -16,6 +16,7 @@ from tallymark.llm.near_duplicates import near_duplicates
 from tallymark.llm.packing import pack_documents
 from tallymark.llm.substrings import without_repeats
 from tallymark.llm.tokens import count_tokens
+from tallymark.llm.warc import read_archives, resolved, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +106,21 @@ def op9_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(documents(spark, folder, "doc_id", "text"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op13_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END::BIGINT AS refers_to FROM f"""
+
+
+@_query
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = write_archives(table(spark, folder, "pages"))
+    read = stage(read_archives(archives, payloads=False))
+    sound = F.when(F.col("error").isNull(), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("archive record: "), "error")))
+    return resolved(read).select(
+        F.col("id").cast("long").alias("page_id"), "payload_bytes", sound.alias("payload_digest"),
+        F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
