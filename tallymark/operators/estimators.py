@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
@@ -17,6 +19,7 @@ from pyspark.ml.regression import (
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
+from tallymark.operators import gram
 from tallymark.operators.encode import Encoder, Recipe, fit_encoder
 from tallymark.operators.mlp import fit_mlp
 from tallymark.operators.splits import validation_slice
@@ -114,8 +117,8 @@ def training_rows(df: DataFrame, spec: Spec, encoder: Encoder) -> DataFrame:
     if spec.family == "mlp":
         if not spec.key:
             raise ValueError("a network keeps validation rows aside by key: set Spec.key")
-        data = data.withColumn("__valid", validation_slice(spec.key))
-        columns.append("__valid")
+        data = data.withColumn("__valid", validation_slice(spec.key)).withColumn("__place", F.xxhash64(spec.key))
+        columns += ["__valid", "__place"]
     return encoder.transform(data).select(*columns)
 
 
@@ -166,10 +169,15 @@ def make_estimator(spec: Spec, encoder: Encoder):
 # --- coefficients and importances ------------------------------------------
 
 def coefficient_table(fitted: Fitted, spark) -> DataFrame:
-    """Named coefficients (one row per encoded feature, bounded by the feature limit)."""
-    rows = [(n, s, float(c)) for n, s, c in zip(fitted.encoder.names, fitted.encoder.sources, fitted.model.coefficients)]
-    rows.append(("(intercept)", "(intercept)", float(fitted.model.intercept)))
-    return spark.createDataFrame(rows, "feature string, source string, coefficient double")
+    """Named coefficients, one row per encoded feature and one for the intercept."""
+    last = spark.createDataFrame([("(intercept)", "(intercept)", float(fitted.model.intercept))], "feature string, source string, coefficient double")
+    return _named(fitted.encoder, fitted.model.coefficients.toArray(), "coefficient", spark).unionByName(last)
+
+
+def _named(encoder: Encoder, values, name: str, spark) -> DataFrame:
+    """``(feature, source, name)`` of one value per slot; only the values pass the driver."""
+    slots = spark.createDataFrame(pd.DataFrame({"slot": np.arange(len(values), dtype=np.int32), name: np.asarray(values, float)}))
+    return encoder.names_table(spark).join(slots, "slot").select("feature", "source", name)
 
 
 def top_coefficients(table: DataFrame, k: int = 20) -> DataFrame:
@@ -178,9 +186,7 @@ def top_coefficients(table: DataFrame, k: int = 20) -> DataFrame:
 
 
 def importance_table(fitted: Fitted, spark) -> DataFrame:
-    values = fitted.model.featureImportances.toArray()
-    rows = [(n, s, float(v)) for n, s, v in zip(fitted.encoder.names, fitted.encoder.sources, values)]
-    return spark.createDataFrame(rows, "feature string, source string, importance double")
+    return _named(fitted.encoder, fitted.model.featureImportances.toArray(), "importance", spark)
 
 
 def top_importances(table: DataFrame, k: int = 20) -> DataFrame:
@@ -231,17 +237,22 @@ def alpha_grid(count: int = 50, lo: float = 1e-3, hi: float = 10.0) -> list[floa
 def coefficient_paths(df: DataFrame, spec: Spec, alphas: list[float], l1_ratios: list[float]) -> DataFrame:
     """Coefficients of an elastic net for every alpha and ratio: ``(l1_ratio, alpha, feature, coefficient)``.
 
-    The data is encoded and cached once; only coefficients reach the driver.
+    All come from the cross-products of one pass over the rows. Beyond ``gram.GRAM_COLUMNS`` encoded columns the
+    encoded rows are cached and every point is a distributed fit. Only coefficients reach the driver.
     """
     encoder = fit_encoder(df, spec.recipe(df), spec.label)
+    points = [(ratio, alpha) for ratio in l1_ratios for alpha in alphas]
+    if encoder.width <= gram.GRAM_COLUMNS:
+        sums = gram.cross_products(gram.encoded(df, encoder, spec.label), encoder, None)
+        models = gram.solve(sums, "elastic_net", [{"alpha": a, "l1_ratio": r} for r, a in points], TINY_RIDGE, whole=True)
+        rows = [(*p, n, float(c)) for p, b in zip(points, models.standardised[0]) for n, c in zip(encoder.names, b)]
+        return df.sparkSession.createDataFrame(rows, "l1_ratio double, alpha double, feature string, coefficient double")
     data = cache_spread(encoder.transform(df.withColumn("__y", F.col(spec.label).cast("double"))).select("features", "__y"))
     rows = []
     try:
-        for ratio in l1_ratios:
-            for alpha in alphas:
-                model = make_estimator(replace(spec, family="elastic_net", params={"alpha": alpha, "l1_ratio": ratio}),
-                                       encoder).fit(data)
-                rows += [(ratio, alpha, n, float(c)) for n, c in zip(encoder.names, model.coefficients)]
+        for ratio, alpha in points:
+            model = make_estimator(replace(spec, family="elastic_net", params={"alpha": alpha, "l1_ratio": ratio}), encoder).fit(data)
+            rows += [(ratio, alpha, n, float(c)) for n, c in zip(encoder.names, model.coefficients)]
     finally:
         data.unpersist()
     return df.sparkSession.createDataFrame(rows, "l1_ratio double, alpha double, feature string, coefficient double")

@@ -1,9 +1,11 @@
 """Multi-layer perceptron regressor, trained data-parallel.
 
 MLlib has a perceptron classifier only. Each epoch is one Spark job over the cached rows:
-every partition starts from the broadcast weights, runs Adam over its own mini-batches and
-returns its weights; Spark averages them, weighted by rows, one aggregate per parameter.
-Per-task memory is one Arrow batch, and what the driver holds depends on the network alone.
+every shard starts from the same weights, runs Adam over its own mini-batches and hands on its
+weights, which are averaged by rows in two levels. The number of shards follows the number of rows
+(``shards_for``), and rows fall into shards by the hash of their key. Several networks (the points of
+a grid) go through the same jobs, each batch of rows being read once for all of them.
+Per-task memory is one Arrow batch and the networks; what the driver holds depends on the networks alone.
 ``sync="step"`` instead sums the exact full-batch gradient and takes one Adam step per job.
 """
 
@@ -12,14 +14,16 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from tallymark.operators.errors import SUMS, ErrorSums, metric_rows
+
 # The functions below run in Python workers: send them with the tasks, so that executors
 # need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,7 +31,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Adam's usual constants and the stopping rule.
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 PATIENCE, TOLERANCE = 20, 1e-4
-SHARDS = 8  # the default number of shards that train side by side in an epoch; part of what defines the result
+SHARDS, SHARD_ROWS = 8, 500_000  # part of what defines the result, see ``shards_for``
+ADDED_TOGETHER = 64              # shards whose weights one task of the first level adds up
+PARAMETERS_TOGETHER = 2_000_000  # parameters of the networks that are trained in the same jobs
 SEED = 42
 
 
@@ -132,47 +138,112 @@ class MlpModel:
         return df.withColumn("prediction", predict(vector_to_array("features")))
 
 
+def shards_for(rows: int) -> int:
+    """Shards that train side by side in an epoch: ``SHARDS``, and more where these would hold over ``SHARD_ROWS`` rows each."""
+    return max(SHARDS, -(-rows // SHARD_ROWS))
+
+
+@dataclass
+class _Run:
+    """One network in training."""
+
+    q: dict
+    shapes: list
+    flat: np.ndarray
+    adam: Adam
+    best: np.ndarray
+    best_score: float = -math.inf
+    stale: int = 0
+    log: list = field(default_factory=list)
+    running: bool = True
+
+    @staticmethod
+    def of(params: dict, width: int) -> "_Run":
+        q = {"hidden": [100], "learning_rate": 0.001, "alpha": 0.0001, "batch_size": "auto", "max_iter": 200,
+             "patience": PATIENCE, "tol": TOLERANCE, "sync": "epoch", "early_stopping": True, **params}
+        shapes = layer_shapes(width, list(q["hidden"]))
+        flat, size = initial_weights(shapes), parameter_count(shapes)
+        return _Run(q, shapes, flat, Adam(np.zeros(size), np.zeros(size)), flat.copy(), running=q["max_iter"] > 0)
+
+    def scored(self, weights: np.ndarray, score: float | None) -> None:
+        """Note the validation R2 of the weights that the last epoch left."""
+        self.log[-1] = (*self.log[-1][:2], score)
+        self.stale = 0 if score > self.best_score + self.q["tol"] else self.stale + 1
+        if score > self.best_score:
+            self.best, self.best_score = weights, score
+
+    def after(self, epoch: int, sums: dict) -> None:
+        """Take over what the shards have summed in an epoch."""
+        before, score = self.flat, _r2(sums) if sums["s0"] else None
+        if self.q["early_stopping"] and score is not None and epoch > 1:  # the score belongs to the weights before this epoch
+            self.scored(before, score)
+            if self.stale >= self.q["patience"]:
+                self.running = False
+                return
+        n, w, m, v = sums["n"], *(np.array(sums[c]) for c in ("w", "m", "v"))
+        if self.q["sync"] == "epoch":
+            self.flat, self.adam, loss = w / n, Adam(m / n, v / n, int(sums["t"])), sums["loss"] / n
+        else:
+            mask, self.flat = weight_mask(self.shapes), before.copy()
+            loss = (sums["loss"] + 0.5 * self.q["alpha"] * float((mask * before**2).sum())) / n
+            self.adam.step(self.flat, (w + self.q["alpha"] * mask * before) / n, self.q["learning_rate"])
+        self.log.append((epoch, loss, None))
+        self.running = epoch < self.q["max_iter"]
+
+    def model(self) -> MlpModel:
+        best = self.flat if self.best_score == -math.inf else self.best
+        return MlpModel(best, self.shapes, len(self.log), self.log[-1][1] if self.log else float("nan"), self.best_score)
+
+
 def fit_mlp(rows: DataFrame, params: dict, width: int) -> tuple[MlpModel, list]:
-    """Train on ``features, __y, __valid``; returns the model and one log row per epoch.
+    """Train on ``features, __y, __valid[, __place]``; returns the model and one log row per epoch.
 
     Stops when the validation R2 has not risen by the tolerance for ``patience`` epochs and
     keeps the weights of the best epoch.
     """
-    q = {"hidden": [100], "learning_rate": 0.001, "alpha": 0.0001, "batch_size": "auto", "max_iter": 200,
-         "patience": PATIENCE, "tol": TOLERANCE, "sync": "epoch", "early_stopping": True, "shards": SHARDS, **params}
-    shapes = layer_shapes(width, list(q["hidden"]))
-    flat, size = initial_weights(shapes), parameter_count(shapes)
-    adam = Adam(np.zeros(size), np.zeros(size))
-    data = rows.select(vector_to_array("features").alias("x"), F.col("__y").alias("y"), F.col("__valid").alias("v"))
-    place = F.xxhash64("x", "y", "v")  # rows fall into shards, and lie in order there, by what they hold: never by the layout
-    data = data.repartition(q["shards"], place).sortWithinPartitions(place, "y").persist()
-    best, best_score, stale, log = flat.copy(), -math.inf, 0, []
+    return fit_mlps(rows, [params], width)[0]
+
+
+def fit_mlps(rows: DataFrame, settings: list[dict], width: int) -> list[tuple[MlpModel, list]]:
+    """Train a network for each setting, in the same jobs as long as their parameters are ``PARAMETERS_TOGETHER`` at most.
+
+    ``__place``, a hash of the row key, deals rows to shards and orders them there; without it the row's values do.
+    Either way the layout of the table changes nothing.
+    """
+    place = F.col("__place") if "__place" in rows.columns else F.xxhash64("x", "y", "v")
+    kept = ["__place"] if "__place" in rows.columns else []
+    data = rows.select(vector_to_array("features").alias("x"), F.col("__y").alias("y"), F.col("__valid").alias("v"), *kept)
+    shards = max([q["shards"] for q in settings if "shards" in q] or [shards_for(rows.count())])
+    data = data.withColumn("place", place).repartition(shards, "place").sortWithinPartitions("place", "y")
+    data = data.select("x", "y", "v").persist()
+    runs = [_Run.of(q, width) for q in settings]
     try:
-        for epoch in range(1, q["max_iter"] + 1):
-            before = flat.copy()
-            worker = _epoch_worker if q["sync"] == "epoch" else _gradient_worker
-            flat, adam, loss, score = _run(data, worker(before, adam, shapes, q, epoch), before, adam, shapes, q)
-            if q["early_stopping"] and score is not None:  # the score belongs to the weights before this epoch
-                if epoch > 1:
-                    log[-1] = (*log[-1][:2], score)
-                    stale = 0 if score > best_score + q["tol"] else stale + 1
-                    if score > best_score:
-                        best, best_score = before, score
-                    if stale >= q["patience"]:
-                        break
-            log.append((epoch, loss, None))
-        else:
-            score = _validation_score(data, flat, shapes) if q["early_stopping"] and log else None
-            if score is not None:  # the weights after the last epoch
-                log[-1] = (*log[-1][:2], score)
-                if score > best_score:
-                    best, best_score = flat, score
-            elif best_score == -math.inf:
-                best = flat
+        for together in _groups(runs):
+            epoch = 0
+            while any(r.running for r in together):
+                epoch += 1
+                live = [r for r in together if r.running]
+                for at, sums in enumerate(_epoch(data, live, epoch, shards)):
+                    live[at].after(epoch, sums)
+            for r in together:
+                if r.q["early_stopping"] and r.log and len(r.log) == r.q["max_iter"]:
+                    score = _validation_score(data, r.flat, r.shapes)  # the weights after the last epoch
+                    if score is not None:
+                        r.scored(r.flat, score)
     finally:
         data.unpersist()
-    model = MlpModel(best, shapes, len(log), log[-1][1] if log else float("nan"), best_score)
-    return model, log
+    return [(r.model(), r.log) for r in runs]
+
+
+def _groups(runs: list[_Run]) -> list[list[_Run]]:
+    out, held = [], 0
+    for r in runs:
+        if not out or held + len(r.flat) > PARAMETERS_TOGETHER:
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += len(r.flat)
+    return out
 
 
 def _validation_score(data: DataFrame, flat: np.ndarray, shapes) -> float | None:
@@ -180,8 +251,9 @@ def _validation_score(data: DataFrame, flat: np.ndarray, shapes) -> float | None
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = np.zeros(4)
-        for _ in _batches(frames, flat, shapes, totals):
-            pass
+        for x, y, _ in _batches(frames):
+            e = forward(flat, shapes, x)[-1][:, 0] - y
+            totals += [len(y), (e**2).sum(), y.sum(), (y**2).sum()]
         yield pd.DataFrame({f"s{i}": [totals[i]] for i in range(4)})
 
     sums = data.where("v").mapInPandas(work, "s0 double, s1 double, s2 double, s3 double").agg(
@@ -194,82 +266,98 @@ def _r2(t) -> float:
     return 1 - t["s1"] / spread if spread > 0 else 0.0
 
 
-# One output row per partition: w, m, v hold row-weighted sums (or w the gradient sum).
-_OUT = "w array<double>, m array<double>, v array<double>, n double, t int, loss double, s0 double, s1 double, s2 double, s3 double"
+# One output row per shard and network: w, m, v hold row-weighted sums (or w the gradient sum).
+_SUMS = ("n", "loss", "s0", "s1", "s2", "s3")
+_OUT = "run int, shard int, w array<double>, m array<double>, v array<double>, t int, " + ", ".join(f"{c} double" for c in _SUMS)
 
 
-def _batches(frames: Iterator[pd.DataFrame], flat, shapes, totals: np.ndarray) -> Iterator[tuple]:
-    """Training rows of each Arrow batch; validation rows are scored with the starting weights."""
+def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for frame in frames:
-        if not len(frame):
-            continue
-        x, y, v = _matrix(frame["x"]), frame["y"].to_numpy(float), frame["v"].to_numpy(bool)
-        if v.any():
-            e = forward(flat, shapes, x[v])[-1][:, 0] - y[v]
-            totals += [v.sum(), (e**2).sum(), y[v].sum(), (y[v] ** 2).sum()]
-        if (~v).any():
-            yield x[~v], y[~v]
-
-
-def _epoch_worker(start: np.ndarray, adam: Adam, shapes, q: dict, epoch: int):
-    batch = 200 if q["batch_size"] == "auto" else int(q["batch_size"])
-    rate, alpha = q["learning_rate"], q["alpha"]
-    m0, v0, t0 = adam.m, adam.v, adam.t
+        if len(frame):
+            yield _matrix(frame["x"]), frame["y"].to_numpy(float), frame["v"].to_numpy(bool)
+
+
+class _Shard:
+    """A shard's share of an epoch of one network."""
+
+    def __init__(self, run: _Run, epoch: int):
+        self.run, self.start = run, run.flat
+        self.flat, self.state = run.flat.copy(), Adam(run.adam.m.copy(), run.adam.v.copy(), run.adam.t)
+        self.mask, self.rng = weight_mask(run.shapes), np.random.default_rng(SEED + epoch)
+        self.total, self.totals, self.n, self.loss = np.zeros(len(run.flat)), np.zeros(4), 0, 0.0
+
+    def validate(self, x: np.ndarray, y: np.ndarray) -> None:
+        e = forward(self.start, self.run.shapes, x)[-1][:, 0] - y
+        self.totals += [len(y), (e**2).sum(), y.sum(), (y**2).sum()]
+
+    def train(self, x: np.ndarray, y: np.ndarray) -> None:
+        q, shapes = self.run.q, self.run.shapes
+        if q["sync"] != "epoch":
+            grad, part = gradient_sum(self.start, shapes, x, y)
+            self.total, self.loss, self.n = self.total + grad, self.loss + part, self.n + len(y)
+            return
+        order, alpha = self.rng.permutation(len(y)), q["alpha"]
+        batch = 200 if q["batch_size"] == "auto" else int(q["batch_size"])
+        for at in range(0, len(y), batch):
+            pick = order[at : at + batch]
+            grad, part = gradient_sum(self.flat, shapes, x[pick], y[pick])
+            self.loss += part + 0.5 * alpha * float((self.mask * self.flat**2).sum())
+            self.state.step(self.flat, (grad + alpha * self.mask * self.flat) / len(pick), q["learning_rate"])
+            self.n += len(pick)
+
+    def row(self, run: int, shard: int) -> dict:
+        epoch = self.run.q["sync"] == "epoch"
+        w, m, v = (self.flat * self.n, self.state.m * self.n, self.state.v * self.n) if epoch else (self.total, np.zeros(0), np.zeros(0))
+        sums = dict(zip(_SUMS, (float(self.n), float(self.loss), *map(float, self.totals))))
+        return {"run": run, "shard": shard, "w": w, "m": m, "v": v, "t": self.state.t if epoch else 0, **sums}
+
+
+def _epoch(data: DataFrame, runs: list[_Run], epoch: int, shards: int) -> list[dict]:
+    """One job: every shard trains every network from where it stands; sums over all shards, a dict for each network."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flat, state, mask = start.copy(), Adam(m0.copy(), v0.copy(), t0), weight_mask(shapes)
-        rng, totals, n, loss = np.random.default_rng(SEED + epoch), np.zeros(4), 0, 0.0
-        for x, y in _batches(frames, start, shapes, totals):
-            order = rng.permutation(len(y))
-            for at in range(0, len(y), batch):
-                pick = order[at : at + batch]
-                grad, part = gradient_sum(flat, shapes, x[pick], y[pick])
-                loss += part + 0.5 * alpha * float((mask * flat**2).sum())
-                state.step(flat, (grad + alpha * mask * flat) / len(pick), rate)
-                n += len(pick)
-        yield pd.DataFrame({"w": [flat * n], "m": [state.m * n], "v": [state.v * n], "n": [float(n)], "t": [state.t],
-                            "loss": [loss], **{f"s{i}": [totals[i]] for i in range(4)}})
-
-    return work
-
-
-def _gradient_worker(start: np.ndarray, adam: Adam, shapes, q: dict, epoch: int):
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, totals, n, loss = np.zeros(len(start)), np.zeros(4), 0, 0.0
-        for x, y in _batches(frames, start, shapes, totals):
-            grad, part = gradient_sum(start, shapes, x, y)
-            total, loss, n = total + grad, loss + part, n + len(y)
-        empty = np.zeros(0)
-        yield pd.DataFrame({"w": [total], "m": [empty], "v": [empty], "n": [float(n)], "t": [0], "loss": [loss],
-                            **{f"s{i}": [totals[i]] for i in range(4)}})
-
-    return work
-
+        parts = [_Shard(r, epoch) for r in runs]
+        for x, y, v in _batches(frames):
+            for p in parts:
+                if v.any():
+                    p.validate(x[v], y[v])
+                if (~v).any():
+                    p.train(x[~v], y[~v])
+        for i, p in enumerate(parts):
+            yield pd.DataFrame([p.row(i, TaskContext.get().partitionId())])
+
+    found = data.mapInPandas(work, _OUT)
+    if shards > ADDED_TOGETHER:
+        found = found.groupBy("run", F.floor(F.col("shard") / ADDED_TOGETHER).alias("slot")).applyInPandas(_added, _OUT)
+    sums = {r["run"]: r.asDict() for r in found.groupBy("run").applyInPandas(_added, _OUT).collect()}  # a row per network
+    if any(not sums[i]["n"] for i in range(len(runs))):
+        raise ValueError("no training rows")
+    return [sums[i] for i in range(len(runs))]
+
+
+def _added(parts: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one network added up, in the order of their shards."""
+    parts = parts.sort_values("shard")
+    out = {c: [parts[c].iloc[0]] for c in ("run", "shard")} | {c: [np.sum(np.stack(parts[c].to_numpy()), axis=0)] for c in ("w", "m", "v")}
+    return pd.DataFrame(out | {"t": [parts["t"].max()]} | {c: [parts[c].sum()] for c in _SUMS})
+
+
+def network_scores(
+    rows: DataFrame, models: list[MlpModel], fold: int, side: str, centre: float, deviance: bool = True,
+) -> list[tuple]:
+    """Metrics of all networks over ``features, y`` in one pass: ``(side, fold, index, n, mse, mae, r2, deviance)``."""
+    networks = [(m.flat, m.shapes) for m in models]
 
-def _run(data: DataFrame, worker, before: np.ndarray, adam: Adam, shapes, q: dict):
-    """One job: combine the partitions' arrays parameter by parameter on the executors."""
-    parts = data.mapInPandas(worker, _OUT).persist()  # one row per partition
-    try:
-        t = parts.agg(*[F.sum(c).alias(c) for c in ("n", "loss", "s0", "s1", "s2", "s3")], F.max("t").alias("t")).first()
-        n = t["n"] or 0.0
-        if not n:
-            raise ValueError("no training rows")
-        zipped = parts.select(F.posexplode(F.arrays_zip("w", "m", "v")).alias("i", "e"))
-        summed = zipped.groupBy("i").agg(*[F.sum(f"e.{c}").alias(c) for c in ("w", "m", "v")]).toPandas()
-    finally:
-        parts.unpersist()
-    summed = summed.sort_values("i")  # one row per network parameter
-    w = summed["w"].to_numpy(float)
-    score = None
-    if t["s0"]:
-        score = _r2(t)
-    if q["sync"] == "epoch":
-        state = Adam(summed["m"].to_numpy(float) / n, summed["v"].to_numpy(float) / n, int(t["t"]))
-        return w / n, state, t["loss"] / n, score
-    mask, flat = weight_mask(shapes), before.copy()
-    adam.step(flat, (w + q["alpha"] * mask * before) / n, q["learning_rate"])
-    loss = (t["loss"] + 0.5 * q["alpha"] * float((mask * before**2).sum())) / n
-    return flat, adam, loss, score
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = ErrorSums(centre, deviance)
+        for frame in frames:
+            if len(frame):
+                x = _matrix(frame["x"])
+                sums.add(side, fold, frame["y"].to_numpy(float), np.column_stack([forward(f, s, x)[-1][:, 0] for f, s in networks]))
+        for batch in sums.batches():
+            yield batch.to_pandas()
+
+    return metric_rows(rows.select(vector_to_array("features").alias("x"), F.col("y").cast("double").alias("y")).mapInPandas(work, SUMS), deviance)
 
 
 def training_log(spark, log: list) -> DataFrame:

@@ -8,9 +8,11 @@ from itertools import product
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallymark.operators.encode import fit_encoders
-from tallymark.operators.estimators import Spec, fit_rows, needed_columns, training_rows
-from tallymark.operators import metrics as M
+from tallymark.operators import gram, metrics as M
+from tallymark.operators.encode import Encoder, fit_encoder, fit_encoders
+from tallymark.operators.ensembles import prefix_scores
+from tallymark.operators.estimators import TINY_RIDGE, Spec, fit_rows, needed_columns, training_rows
+from tallymark.operators.mlp import fit_mlps, network_scores
 from tallymark.operators.splits import with_contiguous_folds, with_folds
 from tallymark.session import cache_spread, stage
 from tallymark.plans.train import PARALLEL_FITS, Result, run_parallel, train_all
@@ -28,6 +30,8 @@ GRIDS = {
     "poisson": {"alpha": [0.01, 0.1, 1.0, 10.0]},
 }
 
+SCORES = ("grid_index int, params string, side string, fold int, n long, mse double, mae double, r2 double, "
+          "poisson_deviance double")
 SCORED_TOGETHER = 40  # prediction columns added in one pass
 
 
@@ -41,32 +45,83 @@ def grid_search(
 ) -> DataFrame:
     """Metrics of every grid point and fold: ``grid_index, params, side, fold, n, mse, mae, r2[, deviance]``.
 
-    Only metric rows (grid points x folds) reach the driver.
+    Squared-error models come from cross-products by fold: one pass for all points and folds, and one to score them.
+    Boosted ensembles that differ in length alone are fitted once, at the largest, and scored at every length in
+    one pass. Networks of all points are trained side by side, one job an epoch, and scored in one pass. Only
+    metric rows (grid points x folds) reach the driver.
     """
     points = expand(grid)
     narrow = needed_columns(df, [spec], [key])  # before the folds, which stage what they number
     base = cache_spread(with_contiguous_folds(narrow, key, k) if contiguous else with_folds(narrow, key, k))
     rows = []
     try:
+        if spec.family in gram.LINEAR:
+            encoder = fit_encoder(base, spec.recipe(base), spec.label)
+            if encoder.width <= gram.GRAM_COLUMNS:
+                return df.sparkSession.createDataFrame(_linear_scores(base, spec, encoder, points, with_train), SCORES)
         encoders = fit_encoders(base, spec.recipe(base), "fold", spec.label)
         for i in sorted(f for f in encoders if f >= 0):
             train = training_rows(base.where(F.col("fold") != i), spec, encoders[i]).persist()
             valid = encoders[i].transform(base.where(F.col("fold") == i)).select(
                 "features", F.col(spec.label).cast("double").alias("y"))
             try:
+                if spec.family == "gbt":
+                    rows += _boosted_scores(train, valid, spec, encoders[i], points, i, with_train, workers)
+                    continue
+                if spec.family == "mlp":
+                    rows += _network_scores(train, valid, spec, encoders[i], points, i, with_train)
+                    continue
                 models = run_parallel(
                     df.sparkSession, [lambda q=q: fit_rows(train, spec.with_params(**q), encoders[i]).model for q in points],
                     workers)
                 rows += _score(valid, models, points, "valid", i, spec)
                 if with_train:
-                    rows += _score(train.select("features", F.col("__y").alias("y")), models, points, "train", i, spec)
+                    rows += _score(_labelled(train), models, points, "train", i, spec)
             finally:
                 train.unpersist()
     finally:
         base.unpersist()
-    return df.sparkSession.createDataFrame(
-        rows, "grid_index int, params string, side string, fold int, n long, mse double, mae double, r2 double, "
-              "poisson_deviance double")
+    return df.sparkSession.createDataFrame(rows, SCORES)
+
+
+def _labelled(train: DataFrame) -> DataFrame:
+    return train.select("features", F.col("__y").alias("y"))
+
+
+def _network_scores(
+    train: DataFrame, valid: DataFrame, spec: Spec, encoder: Encoder, points: list[dict], fold: int, with_train: bool,
+) -> list[tuple]:
+    models = [model for model, _ in fit_mlps(train, [{**spec.params, **q} for q in points], encoder.width)]
+    sides = [("valid", valid), *([("train", _labelled(train))] if with_train else [])]
+    return [(g, json.dumps(points[g]), side, fold, *values) for side, rows in sides
+            for _, _, g, *values in network_scores(rows, models, fold, side, encoder.label_mean or 0.0, not spec.log_label)]
+
+
+def _boosted_scores(
+    train: DataFrame, valid: DataFrame, spec: Spec, encoder: Encoder, points: list[dict], fold: int, with_train: bool, workers: int,
+) -> list[tuple]:
+    """One fit for all points that differ in ``n_estimators`` alone."""
+    alike: dict[str, list[int]] = {}
+    for g, q in enumerate(points):
+        alike.setdefault(json.dumps({k: v for k, v in q.items() if k != "n_estimators"}), []).append(g)
+
+    def one(members: list[int]) -> list[tuple]:
+        settings = [{**spec.params, **points[g]} for g in members]
+        lengths = [q.get("n_estimators", 100) for q in settings]
+        model = fit_rows(train, spec.with_params(**{**points[members[0]], "n_estimators": max(lengths)}), encoder).model
+        sides = [("valid", valid), *([("train", _labelled(train))] if with_train else [])]
+        return [(members[at], json.dumps(points[members[at]]), side, fold, *values) for side, rows in sides
+                for _, _, at, *values in prefix_scores(rows, model, lengths, fold, side, encoder.label_mean or 0.0, not spec.log_label)]
+
+    return sum(run_parallel(train.sparkSession, [lambda m=m: one(m) for m in alike.values()], workers), [])
+
+
+def _linear_scores(base: DataFrame, spec: Spec, encoder: Encoder, points: list[dict], with_train: bool) -> list[tuple]:
+    rows = gram.encoded(base, encoder, spec.label, "fold")
+    settings = [{**spec.params, **q} for q in points]
+    models = gram.solve(gram.cross_products(rows, encoder), spec.family, settings, TINY_RIDGE)
+    found = gram.scores(rows, models, with_train, deviance=not spec.log_label)
+    return [(g, json.dumps(points[g]), side, fold, *values) for side, fold, g, *values in found]
 
 
 def _score(rows: DataFrame, models: list, points: list[dict], side: str, fold: int, spec: Spec) -> list[tuple]:

@@ -1,7 +1,7 @@
 """Cross-validation, training and scoring of one model or a list of models.
 
-The needed columns are cached once, every fold is fitted once, and all CV metrics come from
-one staged table of out-of-fold predictions.
+The needed columns are cached once, every fold is fitted once (squared-error models all from one pass over the
+rows, see ``operators.gram``), and all CV metrics come from one staged table of out-of-fold predictions.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from functools import reduce
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymark.operators import metrics as M
-from tallymark.operators.encode import Encoder, fit_encoders
-from tallymark.operators.estimators import Fitted, Spec, fit, fit_rows, needed_columns, training_rows
+from tallymark.operators import gram, metrics as M
+from tallymark.operators.encode import Encoder, fit_encoder, fit_encoders
+from tallymark.operators.estimators import TINY_RIDGE, Fitted, Spec, fit, fit_rows, needed_columns, training_rows
 from tallymark.operators.splits import with_contiguous_folds, with_folds, with_split
 from tallymark.session import cache_spread, stage
 
@@ -52,6 +52,12 @@ def _out_of_fold(df, spec, key, k, contiguous, with_train, cached, workers=PARAL
     if keep:
         base = cache_spread(base)
     try:
+        if spec.family in gram.LINEAR:
+            encoder = fit_encoder(base, spec.recipe(narrow), spec.label)
+            if encoder.width <= gram.GRAM_COLUMNS:
+                rows = gram.encoded(base, encoder, spec.label, key, "fold")
+                models = gram.solve(gram.cross_products(rows, encoder), spec.family, [spec.params], TINY_RIDGE)
+                return stage(gram.predictions(rows, models, key, with_train)), encoder
         encoders = fit_encoders(base, spec.recipe(narrow), "fold", spec.label)
         folds = sorted(i for i in encoders if i >= 0)
 

@@ -2,13 +2,16 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tallymark.operators import estimators as E
 from tallymark.operators.encode import Recipe, fit_encoder, fit_encoders, monomials
 from tallymark.operators.estimators import Spec, fit
+from tallymark.operators import mlp
 from tallymark.operators.mlp import (
-    Adam, fit_mlp, forward, gradient_sum, initial_weights, layer_shapes, parameter_count, weight_mask,
+    Adam, fit_mlp, fit_mlps, forward, gradient_sum, initial_weights, layer_shapes, network_scores, parameter_count, shards_for,
+    weight_mask,
 )
 from tallymark.operators.selection import backward_selection, drop_redundant
 from tallymark.operators.splits import with_folds
@@ -146,8 +149,11 @@ def test_encoder_edges(spark, data):
     strict = fit_encoder(df.where("g <> 'a'"), Recipe(categorical=("g",), unknown="error"))
     with pytest.raises(Exception, match="unseen level"):
         strict.transform(df).select("features").collect()
-    with pytest.raises(ValueError, match="category levels"):
-        fit_encoder(spark.range(5000).select(F.col("id").cast("string").alias("c")), Recipe(categorical=("c",)))
+    many = spark.range(5000).select(F.col("id").cast("string").alias("c"))
+    wide = fit_encoder(many, Recipe(categorical=("c",)))
+    assert wide.width == 5000 and wide.names[:2] == ["c_0", "c_1"]
+    ones = wide.transform(many).select(vector_to_array("features").alias("v"), "c").select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("s"), F.array_position("v", 1.0).alias("at"), "c")
+    assert {(r["s"], wide.names[r["at"] - 1] == f"c_{r['c']}") for r in ones.collect()} == {(1.0, True)}
     assert monomials(3, 2)[:3] == [{0: 1}, {0: 2}, {1: 1}] and len(monomials(13, 4)) == 2379
 
 
@@ -220,3 +226,44 @@ def test_mlp_learns_and_stops(data):
     assert fitted.model.valid_r2 == max(s for *_, s in fitted.log if s is not None)
     with pytest.raises(ValueError, match="Spec.key"):
         fit(df, Spec("m", "mlp", "y", PREDICTORS))
+
+
+def test_mlp_shards_follow_the_rows_not_the_layout(data, monkeypatch):
+    df, *_ = data
+    spec = Spec("m", "mlp", "y", PREDICTORS, {"hidden": [6], "max_iter": 3, "batch_size": 16}, key="key")
+    assert (shards_for(10), shards_for(4_000_000), shards_for(4_000_001)) == (8, 8, 9)
+    two, forty = (fit(df.repartition(n), spec).model.flat for n in (2, 40))
+    assert np.allclose(two, forty, rtol=1e-12, atol=0)
+    monkeypatch.setattr(mlp, "SHARD_ROWS", 5)  # 80 shards: two levels of sums
+    many = fit(df, spec).model.flat
+    monkeypatch.setattr(mlp, "ADDED_TOGETHER", 1000)
+    assert np.allclose(many, fit(df, spec).model.flat, atol=1e-9) and not np.allclose(many, two, atol=1e-6)
+
+
+def test_repeated_rows_spread_over_shards(spark):
+    """Rows that are alike in all but their key do not pile up in one shard."""
+    df = spark.range(400).select(F.col("id").alias("key"), F.lit(1.0).alias("a"), F.lit(2.0).alias("y"))
+    spec = Spec("m", "mlp", "y", ("a",), {"hidden": [2], "max_iter": 2}, key="key")
+    e = fit_encoder(df, spec.recipe(df), "y")
+    rows = E.training_rows(df, spec, e)
+    sizes = rows.repartition(8, "__place").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 100
+    assert fit_mlp(rows, spec.params, e.width)[0].n_iter == 2
+
+
+def test_networks_trained_together_equal_separate_ones(data, monkeypatch):
+    df, *_ = data
+    spec = Spec("m", "mlp", "y", PREDICTORS, key="key")
+    e = fit_encoder(df, spec.recipe(df), "y")
+    rows = E.training_rows(df, spec, e).cache()
+    settings = [{"hidden": [4], "max_iter": 5, "learning_rate": 0.05}, {"hidden": [3, 2], "max_iter": 2, "batch_size": 16},
+                {"hidden": [4], "max_iter": 30, "patience": 1, "tol": 1.0}, {"hidden": [4], "max_iter": 3, "sync": "step"}]
+    together = fit_mlps(rows, settings, e.width)
+    monkeypatch.setattr(mlp, "PARAMETERS_TOGETHER", 1)
+    for (model, log), (alone, own) in zip(together, fit_mlps(rows, settings, e.width)):
+        assert np.allclose(model.flat, alone.flat, atol=1e-12) and log == own
+    assert [len(log) for _, log in together] == [5, 2, len(together[2][1]), 3] and len(together[2][1]) < 30
+    labelled = rows.select("features", F.col("__y").alias("y"))
+    for _, _, at, n, mse, *_ in network_scores(labelled, [m for m, _ in together], 0, "valid", 1.0):
+        direct = together[at][0].transform(labelled).agg(F.count("*").alias("n"), F.avg((F.col("prediction") - F.col("y")) ** 2).alias("mse")).first()
+        assert n == direct["n"] and abs(mse - direct["mse"]) < 1e-9
