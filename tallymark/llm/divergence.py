@@ -11,6 +11,7 @@ Further columns are not read. Texts are never cut; shares are exact integers at
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,18 +19,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallymark.llm.common import stage
-from tallymark.llm.transducer import Transducer, Vocabulary, build
+from tallymark.llm.transducer import FOLD, WINDOW, Transducer, Vocabulary, build
 from tallymark.operators.ordering import ranked
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCUMENTS = 30
 SMOOTHING = 5
 SCALE = 1_000_000_000
 TOP = 50
 SHARD_TERMS = 100_000        # terms of one transducer: what one task builds
 BROADCAST_BYTES = 64_000_000  # transducers sent out at a time; a larger vocabulary takes several passes over the text
-COUNTS_HELD = 500_000        # counts a task holds before it hands them on
+COUNTS_HELD = 500_000        # counts, or distinct terms, a task holds before it hands them on
+ROWS_TOGETHER = 1000
 PAIR_TERMS, PAIR_SOURCES = 2048, 256  # a task compares so many terms of two times so many sources
 
 
@@ -47,14 +47,45 @@ def divergence(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, smoothing: i
 
 def kept_terms(docs: DataFrame, min_documents: int) -> DataFrame:
     """Staged ``(lang, term, ordinal)``: terms in at least so many of the language's documents, numbered from 0 in byte order."""
-    found = F.array_distinct(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)))
-    terms = docs.select("lang", F.explode(found).alias("term")).groupBy("lang", "term").count()
+    held = docs.select("lang", "text").mapInArrow(_document_terms, "lang string, term string, n long")
+    terms = held.groupBy("lang", "term").agg(F.sum("n").alias("count"))
     terms = ranked(terms.filter(F.col("count") >= min_documents).select("lang", "term"), ["lang", "term"], "place")
     terms = stage(terms)
     first = stage(terms.groupBy("lang").agg(F.min("place").alias("first")))
     return stage(terms.join(first, "lang").select("lang", "term", (F.col("place") - F.col("first")).alias("ordinal")))
 
 
+def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(lang, term, n)``: how many documents of the task hold a term."""
+    spaced = bytes(b or 32 for b in FOLD)  # folded, and a space for every byte that is not of a term
+    counts: dict[str, Counter] = {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_TOGETHER):
+            part = batch.slice(at, ROWS_TOGETHER)
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist()):
+                counts.setdefault(lang, Counter()).update(_distinct(text.translate(spaced)))
+            if sum(map(len, counts.values())) > COUNTS_HELD:
+                yield _terms_batch(counts)
+                counts = {}
+    yield _terms_batch(counts)
+
+
+def _distinct(text: bytes) -> set[bytes]:
+    found, at = set(), 0
+    while at < len(text):  # a window at a time, each up to a space
+        end = text.find(b" ", at + WINDOW) if at + WINDOW < len(text) else -1
+        end = len(text) if end < 0 else end
+        found.update(text[at:end].split())
+        at = end
+    return found
+
+
+def _terms_batch(counts: dict[str, Counter]) -> pa.RecordBatch:
+    lang = pa.array([lang for lang, c in counts.items() for _ in range(len(c))], pa.string())
+    term = pa.array([t for c in counts.values() for t in c], pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([lang, term, pa.array([n for c in counts.values() for n in c.values()], pa.int64())], names=["lang", "term", "n"])
+
+
 def transducers(terms: DataFrame) -> DataFrame:
     """Staged transducers, each of at most ``SHARD_TERMS`` successive terms of a language."""
     shard = F.floor(F.col("ordinal") / SHARD_TERMS).cast("int").alias("shard")
