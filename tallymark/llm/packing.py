@@ -31,17 +31,23 @@ def token_pieces(df: DataFrame, capacity: int = CAPACITY, path: str | None = Non
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, lambda ids: ids.astype("<u4").tobytes(), b"".join)
+        encoder = Encoder(path)
         for doc_ids, texts in chunks(batches):
-            out: list[tuple] = []
-            for doc_id, words in zip(doc_ids, encoder.texts(texts)):
-                ids = memoryview(b"".join(words) + bytes(4))
-                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[start:start + 4 * capacity]
-                    out.append((doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)))
+            ids, counts = encoder.encode(texts)
+            ends = np.cumsum(counts)
+            closed = np.insert(ids, ends, 0).astype("<u4")  # every document is followed by id 0
+            lengths = counts + 1
+            firsts = np.cumsum(lengths) - lengths
+            pieces = -(-lengths // capacity)
+            doc = np.repeat(np.arange(len(doc_ids)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(lengths[doc] - start, capacity)
+            data, at = memoryview(closed.tobytes()), 4 * (firsts[doc] + start)
+            sums = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
-                ["doc_id", "piece", "start", "length", "ids_crc32"])
+                [pa.array(doc_ids, pa.int64()).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
+                 pa.array(sums, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECES)
 

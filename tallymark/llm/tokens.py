@@ -2,15 +2,16 @@
 
 A byte-pair merge with the lowest rank can be applied to all sequences of a batch at once:
 every round finds each sequence's lowest-ranked adjacent pair and merges all its places, until
-no sequence has a mergeable pair. Normaliser and pre-tokeniser are those of the vocabulary file;
-texts are cut at white space first, which the pre-tokeniser never crosses, and each distinct word
-is split and merged once per task as long as a bounded cache holds it.
+no sequence has a mergeable pair. Texts of Latin letters are cut into pre-tokens by one pattern, other texts by
+the normaliser and pre-tokeniser of the vocabulary file, word by word. Each distinct pre-token is merged
+once per task as long as a bounded store holds it; the ids of a batch of texts are then gathered in one array.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,12 +22,19 @@ from pyspark.sql import DataFrame, functions as F
 from tallymark.llm.common import chunks
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 400_000
-CACHED_LENGTH = 64
+CACHED_WORDS = 400_000      # distinct pre-tokens a task remembers
+SEGMENT_CHARS = 4_000_000   # longer texts are encoded in segments, cut at white space
 # Unicode white space as the pre-tokeniser's \s has it; str.split() also cuts at \x1c-\x1f.
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 NOT_WHITE = re.compile("[\x1c-\x1f]")
 NO_RANK = np.iinfo(np.int32).max
+# Characters below U+0250, whose classes and lower case are the same in every Unicode version. They have no
+# other normal form; only the capital I with a dot becomes two characters in lower case.
+LATIN_END, DOTTED_I = 0x250, "\u0130"
+OTHER = re.compile(f"[^\x00-{chr(LATIN_END - 1)}]|{DOTTED_I}")
+_LETTERS, _NUMBERS = ("".join(chr(c) for c in range(LATIN_END) if unicodedata.category(chr(c))[0] == k) for k in "LN")
+# Fixed value: the pre-tokeniser's pattern, for such texts in lower case.
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}\t-\r \x85\xa0]+")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -104,33 +112,20 @@ class Merges:
         out[inside] = self.rank(symbols[at[inside]], symbols[at[inside] + 1])
         return out
 
-    def normalised(self, words: list[str]) -> list[str]:
-        """Words without white space in the normaliser's form; one call for all."""
+    def pieces(self, words: list[str]) -> list[str]:
+        """Pre-tokens of words without white space, in order, by the vocabulary file's own rules."""
         out = self.normalise("\n".join(words)).split(" ") if words else []
-        return out if len(out) == len(words) else [self.normalise(w) for w in words]
-
-    def pieces(self, word: str) -> list[bytes]:
-        """Pre-tokens of a normalised word."""
-        if word.isascii():
-            return [p.encode() for p in _ASCII_PIECES.findall(word)]
-        if word.isalpha() and max(word) < "\u0250":  # letters in every Unicode version: one pre-token
-            return [word.encode()]
-        return [bytes(map(self.byte_of.__getitem__, p)) for p, _ in self.pre_tokenise(word)]
-
-    def ids(self, pieces: list[bytes]) -> Iterator[np.ndarray]:
-        """Ids of each pre-token."""
-        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        out = out if len(out) == len(words) else [self.normalise(w) for w in words]
+        return [bytes(map(self.byte_of.__getitem__, p)).decode() for w in out for p, _ in self.pre_tokenise(w)]
+
+    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens in a row, and how many each has."""
+        encoded = [p.encode() for p in pieces]
+        lengths = np.fromiter(map(len, encoded), dtype=np.int64, count=len(pieces))
+        data = np.frombuffer(b"".join(encoded), dtype=np.uint8)
         symbols, last = self.inner[data], np.cumsum(lengths) - 1
         symbols[last] = self.final[data[last]]
-        ids, counts = self.merge(symbols, lengths)
-        ends = np.cumsum(counts)
-        for start, end in zip((ends - counts).tolist(), ends.tolist()):
-            yield ids[start:end]
-
-
-# Fixed value: the pre-tokeniser's pattern, for ASCII words without white space.
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
+        return self.merge(symbols, lengths)
 
 
 def byte_letters() -> list[str]:
@@ -150,49 +145,77 @@ def _every_other(hit: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Per-task encoder: ``value`` turns a pre-token's ids into what is kept, ``join`` adds those of a word."""
+    """Per-task encoder with a store of the pre-tokens met so far: place, start and number of ids of each.
+
+    For ``texts``, ``value`` turns a segment's ids into what is kept of them, ``join`` adds up a text's segments.
+    """
 
-    def __init__(self, path: str, value, join):
+    def __init__(self, path: str, value=len, join=sum):
         self.merges, self.value, self.join = Merges(path), value, join
-        self.words: dict[str, object] = {}
-        self.pieces: dict[bytes, object] = {}
+        self._forget()
 
-    def cut(self, text: str) -> list[str]:
-        """White-space words of one text, with special strings as words of their own."""
-        if "<|" not in text or not self.merges.cut.search(text):
-            return _words(text)
-        out: list[str] = []
-        for part in self.merges.cut.split(text):
-            out += [part] if part in self.merges.special else _words(part)
-        return out
+    def _forget(self) -> None:
+        special = self.merges.special  # each its own id
+        self.known: dict[str, int] = {p: i for i, p in enumerate(special)}
+        self.ids = np.array(list(special.values()), np.int32)
+        self.starts, self.counts = np.arange(len(special)), np.ones(len(special), np.int64)
 
     def texts(self, texts: list[str]) -> list[list]:
-        """The kept values of each text's words, in order."""
-        cut = [self.cut(t) for t in texts]
-        wanted = set().union(*cut)
-        if len(self.words) + len(wanted) > CACHED_WORDS:
-            self.words = {w: self.words[w] for w in wanted & self.words.keys()}
-        new = list(wanted - self.words.keys())
-        self._learn(new)
-        out = [list(map(self.words.__getitem__, words)) for words in cut]
-        for w in new:
-            if len(w) > CACHED_LENGTH:
-                del self.words[w]
+        """The kept value of each text, as a list of one."""
+        return [[self.join([self.value(self.encode([s])[0]) for s in segments(t)])] for t in texts]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        parts = [self._pieces(s) for t in texts for s in segments(t)]
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        met = pa.array(chain.from_iterable(parts), pa.string()).dictionary_encode()
+        place = self._learned(met.dictionary.to_pylist())[met.indices.to_numpy()]
+        counts, starts = self.counts[place], self.starts[place]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(starts - (ends - counts), counts) + np.arange(total)]
+        edges = np.concatenate([[0], ends])
+        of_part = np.diff(edges[np.cumsum([0, *map(len, parts)])])
+        if len(parts) == len(texts):
+            return ids, of_part
+        return ids, np.add.reduceat(of_part, np.cumsum([0, *(len(segments(t)) for t in texts)])[:-1])
+
+    def _learned(self, pieces: list[str]) -> np.ndarray:
+        """Places of pre-tokens in the store, after those not in it have been merged."""
+        if len(self.known) + len(pieces) > CACHED_WORDS:
+            self._forget()
+        new = [p for p in pieces if p not in self.known]
+        for at in range(0, len(new), 50_000):
+            part = new[at:at + 50_000]
+            ids, counts = self.merges.ids(part)
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
+    def _pieces(self, text: str) -> list[str]:
+        """Pre-tokens of a text; special strings as they stand, which no pre-token equals."""
+        special = "<|" in text and self.merges.cut.search(text)
+        if not special and not OTHER.search(text):
+            return PIECES.findall(text.lower())
+        out: list[str] = []
+        for part in self.merges.cut.split(text) if special else [text]:
+            out += [part] if part in self.merges.special else self.merges.pieces(_words(part))
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        special, join = self.merges.special, self.join
-        self.words.update((w, self.value(np.array([special[w]], dtype=np.int32))) for w in new if w in special)
-        plain = [w for w in new if w not in special]
-        split = list(map(self.merges.pieces, self.merges.normalised(plain)))
-        if len(self.pieces) > CACHED_WORDS:
-            self.pieces = {}
-        known = self.pieces
-        missing = list(set(chain.from_iterable(split)) - known.keys())
-        for at in range(0, len(missing), 50_000):
-            part = missing[at:at + 50_000]
-            known.update(zip(part, map(self.value, self.merges.ids(part))))
-        self.words.update((w, known[p[0]] if len(p) == 1 else join(map(known.__getitem__, p))) for w, p in zip(plain, split))
+
+def segments(text: str) -> list[str]:
+    """A text in stretches of about ``SEGMENT_CHARS``, cut at white space."""
+    if len(text) <= SEGMENT_CHARS:
+        return [text]
+    out, at = [], 0
+    while at < len(text):
+        gap = WHITE.search(text, at + SEGMENT_CHARS)
+        end = gap.end() if gap else len(text)
+        out.append(text[at:end])
+        at = end
+    return out
 
 
 def _words(text: str) -> list[str]:
@@ -209,11 +232,10 @@ def count_tokens(df: DataFrame, id_column: str = "doc_id", text: str = "text", p
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, len, sum)
+        encoder = Encoder(path)
         for ids, texts, sizes in chunks(batches):
-            counts = [sum(x) for x in encoder.texts(texts)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(encoder.encode(texts)[1], pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"])
 
     source = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"),
