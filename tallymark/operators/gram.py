@@ -9,6 +9,7 @@ fitted without its fold. The driver holds a matrix per fold, ``GRAM_COLUMNS`` wi
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -286,3 +287,77 @@ def _predicted(batches, width, folds, coefficients, intercepts, key, with_train)
                     yield pa.RecordBatch.from_arrays([
                         keys.take(pa.array(mine)), pa.array(np.full(len(mine), f), pa.int32()), pa.array([side] * len(mine)), pa.array(y[mine]),
                         pa.array(design[mine] @ coefficients[i] + intercepts[i])], names=[key, "fold", "side", "y", "yhat"])
+
+
+class Elimination:
+    """Least squares with an intercept on a shrinking set of columns, by the sweep operator on their cross-products.
+
+    Swept columns are in the model: their block holds the inverse, their label entries the coefficients, the label's
+    corner the residual sum of squares. Sweeping a column once more takes it out.
+    """
+
+    def __init__(self, total: np.ndarray):
+        """``total``: cross-products of ``[1, features, label]``; raises ``ValueError`` if the columns depend on each other."""
+        self.table, self.n = total.copy(), total[0, 0]
+        size = np.diag(total).copy()
+        centred = size - total[0] ** 2 / max(self.n, 1.0)
+        for i in range(len(total) - 1):
+            if self.table[i, i] <= 1e-10 * (size[i] if i == 0 else max(centred[i], 1e-300)):
+                raise ValueError("no p-values: the columns depend on each other")
+            self._sweep(i)
+        self.columns = list(range(1, len(total) - 1))
+
+    def _sweep(self, k: int) -> None:
+        t, pivot = self.table, self.table[k, k]
+        column = t[:, k].copy()
+        t[k] = t[k] / pivot
+        others = np.arange(len(t)) != k
+        t[others] -= np.outer(column[others], t[k])
+        t[others, k] = -column[others] / pivot
+        t[k, k] = 1 / pivot
+
+    def drop(self, column: int) -> None:
+        """Take out a feature, counted from 0."""
+        self._sweep(column + 1)
+        self.columns.remove(column + 1)
+
+    def p_values(self) -> dict[int, float]:
+        """Two-sided p-value of each feature that is left, by Student's t."""
+        free = self.n - len(self.columns) - 1
+        if free <= 0:
+            raise ValueError("no p-values: no degrees of freedom")
+        variance = max(self.table[-1, -1], 0.0) / free
+        out = {}
+        for c in self.columns:
+            error = (variance * self.table[c, c]) ** 0.5
+            out[c - 1] = student_p(self.table[c, -1] / error, free) if error > 0 else 0.0
+        return out
+
+
+def student_p(t: float, free: float) -> float:
+    """Two-sided tail of Student's t: the regularised incomplete beta function of ``free / 2`` and a half at ``free / (free + t^2)``."""
+    square, a, b = t * t / free, free / 2, 0.5
+    if square == 0.0:
+        return 1.0
+    x, rest = 1 / (1 + square), square / (1 + square)
+    # Log of the ratio of gamma functions at a + 1/2 and a; for large a by its series, since their logarithms cancel.
+    ratio = math.lgamma(a + b) - math.lgamma(a) if a < 1000 else 0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a**3)
+    front = math.exp(ratio - math.lgamma(b) - a * math.log1p(square) + b * math.log(rest))
+    if x >= (a + 1) / (a + b + 2):  # the fraction converges fast on the other side
+        return max(0.0, 1.0 - front * _beta_fraction(b, a, rest) / b)
+    return front * _beta_fraction(a, b, x) / a
+
+
+def _beta_fraction(a: float, b: float, x: float, rounds: int = 10_000) -> float:
+    """Continued fraction of the incomplete beta function, by the modified method of Lentz."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1.0) or tiny)
+    value = d
+    for m in range(1, rounds):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / (1.0 + term * d or tiny)
+            c = 1.0 + term / c or tiny
+            value *= d * c
+        if abs(d * c - 1.0) < 1e-15:
+            break
+    return value

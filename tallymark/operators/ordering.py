@@ -89,22 +89,28 @@ def running_totals(
 ACCURACY = 10_000  # relative rank error 1/ACCURACY of the approximate bounds
 
 
+def quantile_bounds(value: str | Column, probs: list[float]) -> Column:
+    """Aggregate of a mergeable sketch: values that lie below and above each wanted place, for ``exact_quantiles``."""
+    margin = 3.0 / ACCURACY
+    ends = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+    return F.percentile_approx(value, ends, ACCURACY)
+
+
 def exact_quantiles(
-    df: DataFrame, value: str, probs: list[float], by: list[str] = ()
+    df: DataFrame, value: str, probs: list[float], by: list[str] = (), bounds: DataFrame | None = None
 ) -> DataFrame:
     """Linear-interpolation quantiles per group, exact, as columns ``by.., n, q0, q1, ..``.
 
-    A first pass finds approximate bounds around each wanted place. The second pass orders only the values within the bounds; all others are merely
+    A first pass finds approximate bounds around each wanted place, unless ``bounds`` brings them from a pass made for
+    other aggregates too (staged ``by.., __e``, see ``quantile_bounds``). The second pass orders only the values within the bounds; all others are merely
     counted, which the map side does. Values are counted before they are shuffled, so copies
     cost nothing, and running counts are distributed: no group is held by one task.
     Should a bound ever miss its place, the whole group is ordered after all.
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
-    margin = 3.0 / ACCURACY
-    ends = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    bounds = stage(rows.groupBy(*by).agg(
-        F.percentile_approx("__v", ends, ACCURACY).alias("__e")))
+    if bounds is None:
+        bounds = stage(rows.groupBy(*by).agg(quantile_bounds("__v", probs).alias("__e")))
     if by:
         bounded = rows.join(bounds, by)  # one staged row per group: broadcast if small
     else:

@@ -7,7 +7,8 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallymark.functions.columns import above, col
-from tallymark.operators.ordering import exact_quantiles, running_totals
+from tallymark.operators.ordering import exact_quantiles, quantile_bounds, running_totals
+from tallymark.session import stage
 
 
 def skewness(c: str | Column) -> Column:
@@ -35,16 +36,28 @@ def long_form(df: DataFrame, columns: list[str], names: str = "column", values:
     return df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, names, values)
 
 
+QUARTILES = [0.25, 0.5, 0.75]
+
+
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Moments, quartiles and shape of every column, one row per column."""
+    """Moments, quartiles and shape of every column, one row per column.
+
+    Two passes: one for the moments and the bounds of the quartiles, one that orders the values between these.
+    """
     long = long_form(df, columns)
-    shape = long.groupBy("column").agg(*moments("value"), skewness("value").alias("skew"),
-                                       kurtosis("value").alias("kurtosis"))
-    return shape.join(quartiles(df, columns).drop("n"), "column", "left")
+    shape = stage(long.groupBy("column").agg(
+        *moments("value"), skewness("value").alias("skew"), kurtosis("value").alias("kurtosis"),
+        quantile_bounds("value", QUARTILES).alias("__e")))
+    found = _quartiles(long, shape.select("column", "__e")).drop("n")
+    return shape.drop("__e").join(found, "column", "left")
 
 
 def quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
-    q = exact_quantiles(long_form(df, columns), "value", [0.25, 0.5, 0.75], by=["column"])
+    return _quartiles(long_form(df, columns))
+
+
+def _quartiles(long: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    q = exact_quantiles(long, "value", QUARTILES, by=["column"], bounds=bounds)
     return q.select("column", "n", F.col("q0").alias("q25"), F.col("q1").alias("median"), F.col("q2").alias("q75"),
                     (F.col("q2") - F.col("q0")).alias("iqr"))
 

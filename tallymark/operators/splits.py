@@ -24,15 +24,24 @@ def with_folds(df: DataFrame, key: str, k: int = 10, seed: int = SEED) -> DataFr
 
 
 def with_contiguous_folds(df: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """Unshuffled folds of consecutive rows in key order; the first ``n mod k`` hold one row more."""
-    n = df.agg(F.count("*").alias("n")).scalar()
-    numbered = ranked(df, [key], "__rank").withColumn("__n", n)
-    size, extra, at = F.floor(F.col("__n") / k), F.col("__n") % k, F.col("__rank") - 1
-    long_rows = extra * (size + 1)
-    fold = F.when(at < long_rows, F.floor(at / (size + 1))).otherwise(
-        extra + F.floor((at - long_rows) / F.greatest(size, F.lit(1)))
-    )
-    return numbered.withColumn("fold", fold.cast("int")).drop("__rank", "__n")
+    """Unshuffled folds of consecutive rows in key order; the first ``n mod k`` hold one row more.
+
+    Only the keys are ordered, to find those at which the folds begin; the rows are then merely compared with
+    these. Rows that share a key stay in one fold; rows without a key are in the first.
+    """
+    keys = ranked(df.select(key), [key], "__rank")
+    n = keys.count()
+    size, extra = divmod(n, k)
+    starts = [i * size + min(i, extra) + 1 for i in range(1, k)]
+    found = {r["__rank"]: r[key] for r in keys.where(F.col("__rank").isin(starts)).collect()}  # a key per fold
+    fold = F.lit(0)
+    for start in starts:
+        if start > n:
+            break  # fewer rows than folds
+        at = found[start]
+        reached = F.col(f"`{key}`").isNotNull() if at is None else F.col(f"`{key}`") >= F.lit(at)
+        fold = fold + F.coalesce(reached, F.lit(False)).cast("int")
+    return df.withColumn("fold", fold.cast("int"))
 
 
 def validation_slice(key: str, percent: int = 10, seed: int = SEED) -> Column:

@@ -143,6 +143,17 @@ def g7_boosted_trees(spark, d):
     return rounded(fitted.predict(sides.where("split = 'test'").select(KEY, COUNT, *EVERYTHING)).select(KEY, COUNT, "yhat"))
 
 
+@query("g7_boosted_stumps", """
+WITH s AS (SELECT (l_returnflag = 'A')::INT AS is_a, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1)
+SELECT is_a, round(m, 4) AS yhat, count(*) AS n FROM lineitem JOIN s ON is_a = (l_returnflag = 'A')::INT GROUP BY ALL""")
+def g7_boosted_stumps(spark, d):
+    """Three stumps on one indicator, no subsampling: the first gives the group means and leaves nothing to the others."""
+    df = line_value(spark, d).withColumn("is_a", (F.col("l_returnflag") == "A").cast("int"))
+    fitted = fit(df, Spec("m", "gbt", "l_extendedprice", ("is_a",), {
+        "n_estimators": 3, "max_depth": 1, "subsample": 1.0, "max_features": "all"}))
+    return rounded(fitted.predict(df.select("is_a")).groupBy("is_a").agg(F.avg("yhat").alias("yhat"), F.count("*").alias("n")), 4)
+
+
 @query("g8_random_forest")
 def g8_random_forest(spark, d):
     sides = _sides(spark, d)
@@ -328,6 +339,21 @@ def g17_feature_importances(spark, d):
     return rounded(E.top_importances(E.importance_table(fitted, spark)))
 
 
+@query("g17_importance_shares", """
+WITH g AS (SELECT (l_returnflag = 'A')::INT AS a, (l_returnflag = 'R')::INT AS r, l_extendedprice AS y FROM lineitem),
+v AS (SELECT var_pop(y) AS whole,
+  (SELECT sum(c * w) / sum(c) FROM (SELECT count(*) AS c, var_pop(y) AS w FROM g GROUP BY a)) AS by_a,
+  (SELECT sum(c * w) / sum(c) FROM (SELECT count(*) AS c, var_pop(y) AS w FROM g GROUP BY r)) AS by_r FROM g)
+SELECT 'is_a' AS feature, (by_a <= by_r)::INT::DOUBLE AS importance FROM v UNION ALL SELECT 'is_r', (by_a > by_r)::INT::DOUBLE FROM v""")
+def g17_importance_shares(spark, d):
+    """One stump over two indicators: all importance goes to the split that leaves less variance."""
+    flag = lambda v: (F.col("l_returnflag") == v).cast("int")
+    df = line_value(spark, d).withColumn("is_a", flag("A")).withColumn("is_r", flag("R"))
+    fitted = fit(df, Spec("m", "forest", "l_extendedprice", ("is_a", "is_r"), {
+        "n_estimators": 1, "max_depth": 1, "bootstrap": False, "max_features": "all"}))
+    return rounded(E.importance_table(fitted, spark).select("feature", "importance"))
+
+
 @query("g19_null_model", with_tables(SIDES_SQL, """
 , m AS (SELECT avg(n_lines) AS mu FROM sides WHERE split = 'train'), t AS (SELECT n_lines AS y FROM sides WHERE split = 'test')
 SELECT count(*) AS n, round(avg((y - mu) ^ 2), 6) AS mse, round(avg(abs(y - mu)), 6) AS mae,

@@ -185,6 +185,30 @@ def h11_backward_linear(spark, d):
     return selection_table(spark, s).select("feature", F.col("eliminated").cast("int").alias("eliminated"))
 
 
+@query("h11_backward_pair", """
+WITH s AS (SELECT count(*) AS n, var_pop(l_quantity) AS s11, var_pop(l_discount) AS s22, covar_pop(l_quantity, l_discount) AS s12,
+  covar_pop(l_extendedprice, l_quantity) AS t1, covar_pop(l_extendedprice, l_discount) AS t2, var_pop(l_extendedprice) AS syy FROM lineitem),
+b AS (SELECT *, s11 * s22 - s12 * s12 AS det, (t1 * s22 - t2 * s12) / (s11 * s22 - s12 * s12) AS b1, (t2 * s11 - t1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM s),
+fits AS (SELECT *, abs(b1) / sqrt((syy - b1 * t1 - b2 * t2) / (n - 3) * s22 / det) AS z1, abs(b2) / sqrt((syy - b1 * t1 - b2 * t2) / (n - 3) * s11 / det) AS z2 FROM b),
+worst AS (SELECT *, z1 < z2 AS one, least(z1, z2) < 1.6449 AS gone FROM fits),
+alone AS (SELECT one, CASE WHEN one THEN abs(t2) / sqrt(s22) / sqrt((syy - t2 * t2 / s22) / (n - 2))
+                          ELSE abs(t1) / sqrt(s11) / sqrt((syy - t1 * t1 / s11) / (n - 2)) END AS z FROM worst WHERE gone)
+SELECT 1 AS step, CASE WHEN one THEN 'l_quantity' ELSE 'l_discount' END AS feature, gone::INT AS eliminated FROM worst UNION ALL
+SELECT 2, CASE WHEN one THEN 'l_discount' ELSE 'l_quantity' END, (z < 1.6449)::INT FROM alone""")
+def h11_backward_pair(spark, d):
+    """Two predictors: the trace follows from their covariances."""
+    s = backward_selection(line_value(spark, d), ["l_quantity", "l_discount"], "l_extendedprice", "linear", 0.1)
+    return selection_table(spark, s).select("step", "feature", F.col("eliminated").cast("int").alias("eliminated"))
+
+
+@query("h11_backward_many")
+def h11_backward_many(spark, d):
+    """A linear trace over numbers and levels from one pass; compared with distributed fits in the tests."""
+    predictors = ["o_totalprice", "c_acctbal", "avg_disc", "o_orderpriority", "o_orderstatus", "c_mktsegment", "r_name", "o_month"]
+    train = _train(spark, d).where("avg_disc IS NOT NULL")
+    return rounded(selection_table(spark, backward_selection(train, predictors, COUNT, "linear", 0.1, REDUNDANT_PAIRS)))
+
+
 @query("h12_compare_selection")
 def h12_compare_selection(spark, d):
     """CV score with all and with selected predictors, and the difference."""
@@ -226,6 +250,22 @@ def h14_degree_comparison(spark, d):
     return rounded(T.side_by_side(table, ["mse", "rmse"]))
 
 
+@query("h14_degree_errors", with_tables(SIDES_SQL, """
+, st AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM sides WHERE split = 'train'),
+z AS (SELECT split, n_lines AS y, (o_totalprice - m) / s AS z FROM sides, st),
+c AS (SELECT var_pop(z) AS s11, var_pop(z * z) AS s22, covar_pop(z, z * z) AS s12, covar_pop(y, z) AS t1, covar_pop(y, z * z) AS t2,
+             avg(y) AS my, avg(z) AS mz, avg(z * z) AS mzz FROM z WHERE split = 'train'),
+b AS (SELECT *, (t1 * s22 - t2 * s12) / (s11 * s22 - s12 * s12) AS b1, (t2 * s11 - t1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM c),
+e AS (SELECT y - my - t1 / s11 * (z - mz) AS one, y - my - b1 * (z - mz) - b2 * (z * z - mzz) AS two FROM z, b WHERE split = 'test')
+SELECT 'poly_deg_1' AS model, round(avg(one ^ 2), 4) AS test_mse, round(avg(abs(one)), 4) AS test_mae FROM e UNION ALL
+SELECT 'poly_deg_2', round(avg(two ^ 2), 4), round(avg(abs(two)), 4) FROM e"""))
+def h14_degree_errors(spark, d):
+    """One predictor at degrees one and two, on the test side: closed forms."""
+    results = G.compare_degrees(_sides(spark, d), Spec("poly", "polynomial", COUNT, ("o_totalprice",)), [1, 2], KEY, k=2)
+    table = reduce(DataFrame.unionByName, [r.metrics for r in results])
+    return rounded(T.side_by_side(table, ["mse", "mae"]).select("model", "test_mse", "test_mae"), 4)
+
+
 @query("h15_side_by_side")
 def h15_side_by_side(spark, d):
     """Two predictor sets of each of the three families next to each other."""

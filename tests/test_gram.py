@@ -10,6 +10,7 @@ from tallymark.operators import estimators as E, gram
 from tallymark.operators.encode import fit_encoder
 from tallymark.operators.ensembles import prefix_scores
 from tallymark.operators.estimators import Spec, fit
+from tallymark.operators.selection import backward_selection
 from tallymark.operators.splits import with_folds
 from tallymark.plans import grid as G, train as T
 
@@ -149,3 +150,41 @@ def test_boosting_grid_covers_all_points(data):
     assert all(json.loads(r["params"]) == points[r["grid_index"]] for r in found)
     train = {(json.loads(r["params"])["n_estimators"], r["grid_index"] % 2, r["fold"]): r["mse"] for r in found if r["side"] == "train"}
     assert all(train[4, i, f] < train[1, i, f] for i in (0, 1) for f in (0, 1))
+
+
+def test_elimination_equals_distributed_fits(spark, data, monkeypatch):
+    df, *_ = data
+    noisy = df.drop("flat").select("*", *[F.sin(F.col("key") * (7.1 + i)).alias(f"n{i}") for i in range(7)])
+    names = ["x1", "x2", "g", *[f"n{i}" for i in range(7)]]
+    ours = backward_selection(noisy, names, "y", "linear", 0.05)
+    monkeypatch.setattr(gram, "GRAM_COLUMNS", 0)
+    theirs = backward_selection(noisy, names, "y", "linear", 0.05)
+    assert ours.selected == theirs.selected and ours.outcome == theirs.outcome and len(ours.trace) >= 5
+    assert [t[:3] + t[4:] for t in ours.trace] == [t[:3] + t[4:] for t in theirs.trace]
+    assert np.allclose([t[3] for t in ours.trace], [t[3] for t in theirs.trace], rtol=1e-6, atol=1e-12)
+
+
+def test_sweeping_twice_takes_a_column_out():
+    rng = np.random.default_rng(2)
+    a = np.column_stack([np.ones(50), rng.normal(size=(50, 4)), rng.normal(size=50)])
+    model = gram.Elimination(a.T @ a)
+    model.drop(2)
+    kept = [0, 1, 2, 4]
+    b = np.linalg.lstsq(a[:, kept], a[:, -1], rcond=None)[0]
+    assert np.allclose(model.table[kept, -1], b) and abs(model.table[-1, -1] - ((a[:, -1] - a[:, kept] @ b) ** 2).sum()) < 1e-9
+    with pytest.raises(ValueError, match="depend"):
+        twin = np.column_stack([a[:, :2], 3 * a[:, 1] + 1, a[:, -1]])
+        gram.Elimination(twin.T @ twin)
+    with pytest.raises(ValueError, match="freedom"):
+        gram.Elimination(a[:6].T @ a[:6] + np.diag([0] + [1e-6] * 5)).__class__(a[:5].T @ a[:5] + np.diag([0] + [1e-3] * 5)).p_values()
+
+
+def test_student_tails():
+    """Against closed forms: one, two and very many degrees of freedom."""
+    from math import atan, pi, sqrt
+    from statistics import NormalDist
+
+    for t in (0.0, 0.3, 1.0, 2.5, 12.0):
+        assert abs(gram.student_p(t, 1) - (1 - 2 * atan(t) / pi)) < 1e-12
+        assert abs(gram.student_p(-t, 2) - (1 - t / sqrt(2 + t * t))) < 1e-12
+        assert abs(gram.student_p(t, 1e9) - 2 * (1 - NormalDist().cdf(t))) < 1e-7

@@ -97,3 +97,42 @@ def test_smallest_hashes(spark):
     assert smallest_hashes(df, "key", F.lit(10**6), ["c"], "s").count() == 20000
     balanced = undersample(df, "key", "c").groupBy("c").count().toPandas()
     assert balanced["count"].tolist() == [5000, 5000]
+
+
+def plan(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+@pytest.mark.parametrize("n,k", [(23, 5), (20, 4), (3, 7), (0, 3), (1, 1)])
+def test_contiguous_folds_order_keys_only(spark, n, k):
+    rows = [(f"k{(i * 37) % 101:03d}", i, "wide " * 50) for i in range(n)]
+    df = spark.createDataFrame(rows, "key string, i int, wide string").repartition(3)
+    folded = with_contiguous_folds(df, "key", k)
+    got = [r["fold"] for r in folded.orderBy("key").collect()]
+    size, extra = divmod(n, k)
+    assert got == [f for f in range(k) for _ in range(size + (f < extra))]
+    assert "rangepartitioning" not in plan(folded) and folded.columns == ["key", "i", "wide", "fold"]
+
+
+def test_contiguous_folds_with_equal_and_missing_keys(spark):
+    df = spark.createDataFrame([(None, i) for i in range(6)] + [(1, 10), (2, 11), (2, 12), (2, 13), (3, 14), (4, 15)], "key long, i int")
+    got = {r["i"]: r["fold"] for r in with_contiguous_folds(df, "key", 4).collect()}
+    assert {got[i] for i in range(6)} == {0} and len({got[11], got[12], got[13]}) == 1
+    assert got[10] <= got[11] <= got[14] <= got[15] == 3
+
+
+def test_summary_reads_its_source_twice(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5000).select((F.col("id") * F.col("id") % 977).cast("double").alias("a"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("b")).write.parquet(path)
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        reads.add(1)
+        return x
+
+    df = spark.read.parquet(path).withColumn("a", counted("a"))
+    got = {r["column"]: r for r in summary(df, ["a", "b"]).collect()}
+    values = sorted(i * i % 977 for i in range(5000))
+    assert got["a"]["median"] == (values[2499] + values[2500]) / 2 and got["b"]["n"] == 3333 and got["a"]["max"] == 976
+    assert reads.value <= 2 * 5000
