@@ -16,7 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallymark.llm.common import stage
 from tallymark.llm.transducer import FOLD, WINDOW, Transducer, Vocabulary, build
@@ -28,9 +29,15 @@ SCALE = 1_000_000_000
 TOP = 50
 SHARD_TERMS = 100_000        # terms of one transducer: what one task builds
 BROADCAST_BYTES = 64_000_000  # transducers sent out at a time; a larger vocabulary takes several passes over the text
-COUNTS_HELD = 500_000        # counts, or distinct terms, a task holds before it hands them on
+TERMS_HELD = 500_000         # distinct terms a task holds before it hands them on
+COUNTS_HELD = 2_000_000      # counts a task holds before it hands them on
 ROWS_TOGETHER = 1000
-PAIR_TERMS, PAIR_SOURCES = 2048, 256  # a task compares so many terms of two times so many sources
+BLOCK_TERMS, PAIR_SOURCES = 2048, 256  # a task compares so many terms of two times so many sources
+ADDED_TOGETHER = 64          # tasks whose counts are added up first
+
+# Counts of a group (a source of a language) travel as sparse arrays, one row for a block of terms: places in the block
+# (32-bit) and counts (64-bit).
+_BLOCK = "lang string, source string, block int, slot int, total long, places binary, counts binary"
 
 
 def divergence(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, smoothing: int = SMOOTHING, top: int = TOP) -> DataFrame:
@@ -38,11 +45,12 @@ def divergence(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, smoothing: i
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     terms = kept_terms(docs, min_documents)
     langs = stage(terms.groupBy("lang").agg(F.count("*").alias("v")))
-    groups = ranked(docs.select("lang", "source").distinct(), ["lang", "source"], "gid")
+    groups = stage(ranked(docs.select("lang", "source").distinct(), ["lang", "source"], "gid"))
     counts = recounted(docs, transducers(terms)).join(groups, ["lang", "source"])
-    counts = stage(counts.select("lang", "gid", "ordinal", "n"))
-    shares = _shares(counts, stage(groups), langs, smoothing)
-    return _pairs(*shares).unionByName(_terms(*shares, terms, top))
+    counts = stage(counts.select("lang", "gid", "block", "total", "places", "counts"))
+    groups, of_lang = _totals(counts, groups, langs, smoothing)
+    counts = stage(counts.join(groups.select("gid", "v", F.col("total").alias("in_group"), F.col("lang_total")), "gid"))
+    return _pairs(counts, groups, of_lang, smoothing).unionByName(_terms(counts, groups, terms, smoothing, top))
 
 
 def kept_terms(docs: DataFrame, min_documents: int) -> DataFrame:
@@ -64,7 +72,7 @@ def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             part = batch.slice(at, ROWS_TOGETHER)
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist()):
                 counts.setdefault(lang, Counter()).update(_distinct(text.translate(spaced)))
-            if sum(map(len, counts.values())) > COUNTS_HELD:
+            if sum(map(len, counts.values())) > TERMS_HELD:
                 yield _terms_batch(counts)
                 counts = {}
     yield _terms_batch(counts)
@@ -104,7 +112,7 @@ def transducers(terms: DataFrame) -> DataFrame:
 
 
 def recounted(docs: DataFrame, shards: DataFrame) -> DataFrame:
-    """``(lang, source, ordinal, n)``: occurrences of every kept term, from all text run through the transducers.
+    """``(lang, source, block, total, places, counts)``: occurrences of every kept term, from all text run through the transducers.
 
     Transducers reach the tasks by broadcast, ``BROADCAST_BYTES`` at a time; the counts of each pass are staged.
     """
@@ -116,7 +124,7 @@ def recounted(docs: DataFrame, shards: DataFrame) -> DataFrame:
             held = 0
         passes[-1].append(row)
         held += row.size
-    counts = None
+    counts, tasks = None, docs.rdd.getNumPartitions()
     for rows in passes:
         wanted = F.lit(False)
         if rows:
@@ -126,11 +134,15 @@ def recounted(docs: DataFrame, shards: DataFrame) -> DataFrame:
             (r.lang, bytes(r.first), r.start, Transducer(r.root, *(np.frombuffer(t, d) for t, d in zip(r.tables, (np.int32, np.int32, np.int32, np.uint8)))))
             for r in shards.filter(wanted).orderBy("lang", "shard").collect()]  # at most BROADCAST_BYTES, or one transducer
         sent = sc.broadcast(Vocabulary(loaded))
-        part = docs.select("lang", "source", "text").mapInArrow(
-            lambda batches, sent=sent: _counted(batches, sent.value), "lang string, source string, ordinal long, n long")
-        part = stage(part.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n")))
+        part = docs.select("lang", "source", "text").mapInArrow(lambda batches, sent=sent: _counted(batches, sent.value), _BLOCK)
+        part = part.groupBy("lang", "source", "block", "slot").applyInArrow(_added, _BLOCK)
+        if tasks > ADDED_TOGETHER:
+            part = part.groupBy("lang", "source", "block", F.lit(0).alias("none")).applyInArrow(_added, _BLOCK)
+        part = stage(part)
         sent.destroy()
-        counts = part if counts is None else counts.unionByName(part)  # a term is in one pass only
+        counts = part if counts is None else counts.unionByName(part)
+    if len(passes) > 1:  # a term is in one pass only, but a block of terms may be in two
+        counts = counts.groupBy("lang", "source", "block", F.lit(0).alias("none")).applyInArrow(_added, _BLOCK)
     return counts
 
 
@@ -147,6 +159,8 @@ def _counted(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Itera
             continue
         for text, ordinal in vocabulary.ordinals(data, offsets, [lang for lang, _ in names]):
             key, n = np.unique((group[text] << 40) | ordinal, return_counts=True)
+            if not len(key):
+                continue
             keys.append(key)
             counts.append(n)
             held += len(key)
@@ -170,87 +184,149 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _batch(groups: dict[tuple[str, str], int], keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-    group, names = pa.array(keys[0] >> 40), list(groups)
-    lang, source = (pa.array([n[i] for n in names], pa.string()).take(group) for i in (0, 1))
-    return pa.RecordBatch.from_arrays(
-        [lang, source, pa.array(keys[0] & ((1 << 40) - 1)), pa.array(counts[0])], names=["lang", "source", "ordinal", "n"])
-
-
-def share(count: Column, total: Column, v: Column, smoothing: int) -> Column:
-    """``1 + floor(SCALE * (count + smoothing) / (total + smoothing * v))``, exact; null where the divisor is 0."""
-    above = (count + smoothing).cast("decimal(19,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    below = (total + v * smoothing).cast("decimal(19,0)")
-    return F.call_function("div", above, F.nullif(below, F.lit(0).cast("decimal(19,0)"))) + 1
-
-
-def _shares(counts: DataFrame, groups: DataFrame, langs: DataFrame, smoothing: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Staged shares of terms by group, groups with their share of an absent term, and languages with their totals."""
-    totals = counts.groupBy("gid").agg(F.sum("n").alias("total"))
-    known = groups.join(totals, "gid", "left").join(langs, "lang", "left")
-    known = known.select("lang", "source", "gid", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"))
-    known = stage(known.withColumn("p0", share(F.lit(0).cast("long"), F.col("total"), F.col("v"), smoothing)))
-    of_lang = stage(known.groupBy("lang", "v").agg(
-        F.sum("total").alias("lang_total"), F.min("gid").alias("first_gid"), F.count("*").alias("sources")))
-    p = share(F.col("n"), F.col("total"), F.col("v"), smoothing)
-    shares = counts.join(known.select("gid", "total", "v", "p0"), "gid").select("lang", "gid", "ordinal", "n", p.alias("p"), "p0")
-    in_lang = counts.groupBy("lang", "ordinal").agg(F.sum("n").alias("n")).join(of_lang, "lang")
-    q = in_lang.select("lang", "ordinal", share(F.col("n"), F.col("lang_total"), F.col("v"), smoothing).alias("q"))
-    return stage(shares.join(q, ["lang", "ordinal"])), known, of_lang
-
-
-def _terms(shares: DataFrame, groups: DataFrame, of_lang: DataFrame, terms: DataFrame, top: int) -> DataFrame:
-    over = shares.filter("p > q").select("lang", "gid", "ordinal", (F.col("p") - F.col("q")).alias("value"))
+    """A row for each group and block of terms."""
+    group, ordinal = keys[0] >> 40, keys[0] & ((1 << 40) - 1)
+    block, names = ordinal // BLOCK_TERMS, list(groups)
+    first = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (block[1:] != block[:-1]))))
+    edges = np.append(first, len(group))
+    lang, source = (pa.array([n[i] for n in names], pa.string()).take(pa.array(group[first])) for i in (0, 1))
+    slot = TaskContext.get().partitionId() // ADDED_TOGETHER
+    return pa.RecordBatch.from_arrays([
+        lang, source, pa.array(block[first], pa.int32()), pa.array(np.full(len(first), slot), pa.int32()),
+        pa.array(np.add.reduceat(counts[0], first)), _slices((ordinal - block * BLOCK_TERMS).astype(np.int32), edges), _slices(counts[0], edges),
+    ], names=[c.split()[0] for c in _BLOCK.split(", ")])
+
+
+def _slices(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Stretches of an array as binary values."""
+    offsets = pa.py_buffer((edges * values.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row["places"], np.int32), np.frombuffer(row["counts"], np.int64)
+
+
+def _added(key: tuple, rows: pa.Table) -> pa.Table:
+    """Rows of one group and block added up."""
+    total = _summed(rows)
+    places = np.flatnonzero(total)
+    return pa.table({
+        "lang": [key[0].as_py()], "source": [key[1].as_py()], "block": pa.array([key[2].as_py()], pa.int32()),
+        "slot": pa.array([0], pa.int32()), "total": pa.array([int(total.sum())], pa.int64()),
+        "places": pa.array([places.astype(np.int32).tobytes()], pa.binary()), "counts": pa.array([total[places].tobytes()], pa.binary())})
+
+
+def _summed(rows: pa.Table) -> np.ndarray:
+    total = np.zeros(BLOCK_TERMS, np.int64)
+    for row in rows.select(["places", "counts"]).to_pylist():
+        places, counts = _arrays(row)
+        total[places] += counts
+    return total
+
+
+def shares(counts: np.ndarray, total: int, v: int, smoothing: int) -> np.ndarray:
+    """``1 + floor(SCALE * (count + smoothing) / (total + smoothing * v))``, exact: long division, three digits at a time."""
+    below = total + smoothing * v
+    if below >= 1 << 53:
+        return np.array([1 + SCALE * (int(c) + smoothing) // below for c in counts], np.int64)
+    out, rest = np.divmod(counts + smoothing, below)
+    for _ in range(3):
+        more, rest = np.divmod(rest * 1000, below)
+        out = out * 1000 + more
+    return out + 1
+
+
+def _totals(counts: DataFrame, groups: DataFrame, langs: DataFrame, smoothing: int) -> tuple[DataFrame, DataFrame]:
+    """Staged groups with their sums and kept terms, and languages with theirs."""
+    totals = counts.groupBy("gid").agg(F.sum("total").alias("total"))
+    known = groups.join(totals, "gid", "left").join(langs, "lang", "left").select(
+        "lang", "source", "gid", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"))
+    of_lang = stage(known.groupBy("lang").agg(
+        F.max("v").alias("v"), F.sum("total").alias("lang_total"), F.min("gid").alias("first_gid"), F.count("*").alias("sources")))
+    return stage(known.join(of_lang.select("lang", "lang_total"), "lang")), of_lang
+
+
+def _terms(counts: DataFrame, groups: DataFrame, terms: DataFrame, smoothing: int, top: int) -> DataFrame:
+    """Terms of each group that its language holds a smaller share of. A task takes a block of terms of some sources."""
+    whole = counts.select("lang", "block", F.floor(F.col("gid") / PAIR_SOURCES).alias("slot"), "places", "counts")
+    schema = "lang string, block int, places binary, counts binary"
+
+    def added(key: tuple, rows: pa.Table) -> pa.Table:
+        total = _summed(rows)
+        places = np.flatnonzero(total)
+        return pa.table({
+            "lang": [key[0].as_py()], "block": pa.array([key[1].as_py()], pa.int32()),
+            "places": pa.array([places.astype(np.int32).tobytes()], pa.binary()), "counts": pa.array([total[places].tobytes()], pa.binary())})
+
+    whole = whole.groupBy("lang", "block", "slot").applyInArrow(added, schema).groupBy("lang", "block").applyInArrow(added, schema)
+    both = counts.join(stage(whole).toDF("lang", "block", "in_lang", "lang_counts"), ["lang", "block"])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                places, own = _arrays(row)
+                everywhere, n = np.frombuffer(row["in_lang"], np.int32), np.frombuffer(row["lang_counts"], np.int64)
+                q = shares(n[np.searchsorted(everywhere, places)], row["lang_total"], row["v"], smoothing)
+                value = shares(own, row["in_group"], row["v"], smoothing) - q
+                best = np.lexsort((places, -value))[:top]
+                best = best[value[best] > 0]
+                ordinal = places[best].astype(np.int64) + row["block"] * BLOCK_TERMS
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row["lang"]] * len(best), pa.string()), pa.array(np.full(len(best), row["gid"]), pa.int64()), pa.array(ordinal),
+                    pa.array(value[best])], names=["lang", "gid", "ordinal", "value"])
+
+    found = both.mapInArrow(over, "lang string, gid long, ordinal long, value long")  # at most ``top`` for each group and block
     place = F.row_number().over(Window.partitionBy("gid").orderBy(F.col("value").desc(), "ordinal"))
-    best = over.withColumn("rank", place).filter(F.col("rank") <= top)
+    best = stage(found.withColumn("rank", place).filter(F.col("rank") <= top))
     named = best.join(terms, ["lang", "ordinal"]).join(groups.select("gid", "source"), "gid")
     return named.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
 
 
-def _pairs(shares: DataFrame, groups: DataFrame, of_lang: DataFrame) -> DataFrame:
+def _pairs(counts: DataFrame, groups: DataFrame, of_lang: DataFrame, smoothing: int) -> DataFrame:
     """Sums of share differences of all pairs of sources of a language, block of terms by block of terms.
 
     A language's terms and sources are cut into blocks; a task takes one block of terms for two blocks of sources and
-    gives one sum per pair. Terms that neither of a pair holds add the same difference each.
+    gives one sum per pair.
     """
-    block = F.floor((F.col("gid") - F.col("first_gid")) / PAIR_SOURCES).cast("int")
-    last_block = F.floor((F.col("sources") - 1) / PAIR_SOURCES).cast("int")
-    last_terms = F.floor(F.greatest(F.col("v") - 1, F.lit(0)) / PAIR_TERMS).cast("int")
-    placed = groups.join(of_lang.select("lang", "first_gid", "sources"), "lang").select(
-        "lang", "gid", "p0", "v", block.alias("block"), last_block.alias("last_block"), last_terms.alias("last_terms"))
-    placed = stage(placed)
-    present = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("last_terms"))).alias("terms")).select(
-        "lang", "gid", "terms", "block", "last_block", F.lit(-1).cast("long").alias("ordinal"), "p0", "v")
-    held = shares.join(placed.select("gid", "block", "last_block", "v"), "gid").select(
-        "lang", "gid", F.floor(F.col("ordinal") / PAIR_TERMS).cast("int").alias("terms"), "block", "last_block", "ordinal", F.col("p").alias("p0"), "v")
-    rows = present.unionByName(held).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last_block"))))
-    rows = rows.select("lang", "terms", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "gid", "ordinal", "p0", "v")
-    sums = rows.groupBy("lang", "terms", "a", "b").applyInArrow(_differences, "gid long, other long, value long")
-    sums = sums.groupBy("gid", "other").agg(F.sum("value").alias("value"))
+    part = F.floor((F.col("gid") - F.col("first_gid")) / PAIR_SOURCES).cast("int")
+    last_part = F.floor((F.col("sources") - 1) / PAIR_SOURCES).cast("int")
+    last_block = F.floor(F.greatest(F.col("v") - 1, F.lit(0)) / BLOCK_TERMS).cast("int")
+    placed = stage(groups.join(of_lang.select("lang", "first_gid", "sources"), "lang").select(
+        "lang", "gid", "v", F.col("total").alias("in_group"), part.alias("part"), last_part.alias("last_part"), last_block.alias("last_block")))
+    present = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("last_block"))).alias("block"))
+    rows = present.join(counts.select("gid", "block", "places", "counts"), ["gid", "block"], "left").withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("last_part"))))
+    rows = rows.select("lang", "block", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "gid", "v", "in_group", "places", "counts")
+    sums = rows.groupBy("lang", "block", "a", "b").applyInArrow(
+        lambda key, rows: _differences(key, rows, smoothing), "gid long, other long, value long")
+    sums = stage(sums.groupBy("gid", "other").agg(F.sum("value").alias("value")))
     named = sums.join(groups.select("gid", "lang", "source"), "gid").join(
         groups.select(F.col("gid").alias("other"), F.col("source").alias("item")), "other")
     place = F.row_number().over(Window.partitionBy("gid").orderBy(F.col("value").desc(), "other"))
     return named.select("lang", "source", F.lit("pair").alias("part"), "item", "value", place.alias("rank"))
 
 
-def _differences(key: tuple, rows: pa.Table) -> pa.Table:
-    a, b = key[2].as_py(), key[3].as_py()
-    block, gid, ordinal, p, v = (rows.column(c).to_numpy() for c in ("block", "gid", "ordinal", "p0", "v"))
-    base = ordinal < 0
-    terms, column = np.unique(ordinal[~base], return_inverse=True)
-    absent = max(0, min(PAIR_TERMS, int(v[0]) - key[1].as_py() * PAIR_TERMS) - len(terms)) if len(v) else 0
+def _differences(key: tuple, rows: pa.Table, smoothing: int) -> pa.Table:
+    block, a, b = (k.as_py() for k in key[1:])
+    rows = rows.sort_by("gid").select(["part", "gid", "v", "in_group", "places", "counts"]).to_pylist()
+    v = rows[0]["v"]
+    width = max(0, min(BLOCK_TERMS, v - block * BLOCK_TERMS))
     sides = []
     for side in (a, b):
-        mine = base & (block == side)
-        ids, order = np.unique(gid[mine], return_index=True)
-        p0 = np.nan_to_num(p[mine][order]).astype(np.int64)
-        table = np.repeat(p0[:, None], len(terms), 1)
-        here = block[~base] == side
-        table[np.searchsorted(ids, gid[~base][here]), column[here]] = p[~base][here].astype(np.int64)
-        sides.append((ids, p0, table))
-    (ids, p0, table), (others, q0, against) = sides
+        mine = [r for r in rows if r["part"] == side]
+        table = np.zeros((len(mine), width), np.int64)
+        for i, r in enumerate(mine):
+            if r["places"] is not None:
+                places, counts = _arrays(r)
+                table[i, places] = counts
+            if width:
+                table[i] = shares(table[i], r["in_group"], v, smoothing)
+        sides.append((np.array([r["gid"] for r in mine], np.int64), table))
+    (ids, table), (others, against) = sides
     first, second, value = [], [], []
     for i in range(len(ids)):
-        sums = np.abs(against - table[i]).sum(axis=1) + absent * np.abs(q0 - p0[i])
+        sums = np.abs(against - table[i]).sum(axis=1)
         keep = others != ids[i]
         first.append(np.full(keep.sum(), ids[i]))
         second.append(others[keep])

@@ -72,7 +72,7 @@ def test_equals_brute_force(spark):
 def test_small_shards_passes_and_blocks_change_nothing(spark, monkeypatch):
     rows = made(200, seed=8, sources=9) + EDGES
     whole = brute(rows, 3, top=5)
-    for name, value in dict(SHARD_TERMS=7, BROADCAST_BYTES=9_000, COUNTS_HELD=40, PAIR_TERMS=16, PAIR_SOURCES=3).items():
+    for name, value in dict(SHARD_TERMS=7, BROADCAST_BYTES=9_000, COUNTS_HELD=40, TERMS_HELD=50, BLOCK_TERMS=16, PAIR_SOURCES=3, ADDED_TOGETHER=2).items():
         monkeypatch.setattr(module, name, value)
     monkeypatch.setattr(transducer, "WINDOW", 500)
     assert run(spark, rows, min_documents=3, top=5) == whole
@@ -116,6 +116,13 @@ def test_automaton_is_minimal(terms):
     assert len(minimal(sorted(w.encode() for w in terms))) == len(futures(terms))
 
 
+def test_shares_are_exact_at_any_count():
+    for total, v in [(0, 1), (7, 3), (10**9, 50_000), (10**15, 10**7), (10**17, 10**8)]:
+        counts = np.array([0, 1, 2, total // 3, total], np.int64)
+        want = [1 + (10**9 * (int(c) + 5)) // (total + 5 * v) for c in counts]
+        assert module.shares(counts, total, v, 5).tolist() == want
+
+
 def test_terms_must_ascend():
     with pytest.raises(ValueError):
         build([b"b", b"a"])
