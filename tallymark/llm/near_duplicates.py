@@ -1,11 +1,11 @@
 """Near-duplicate documents by chosen-path set similarity join.
 
-Equal shingle sets form classes. In several independent trees every class follows minwise values of its sketch:
-a node holds the classes that agree in all values chosen on the way to it. Small nodes are compared
+Equal shingle sets form classes. In several trees every class follows minwise values of its sketch: a node
+holds the classes that agree in all values chosen on the way to it, two at the root. Small nodes are compared
 exhaustively by their sketches. A large node whose members are alike is a cluster, and its members are compared
 with a few pivots; any other large node branches on two more values. Candidates are confirmed on the full sets,
-the best ones first: a pair whose ends are connected by then needs no confirming. Clusters that are still
-in several parts after that compare the parts with all members.
+the best ones first: a pair whose ends are connected by then needs no confirming. Members of clusters that are still
+in several parts after that meet by the rarest shingles of their full sets, which loses no link.
 """
 
 from __future__ import annotations
@@ -21,13 +21,12 @@ from tallymark.llm.common import chunks, stage
 from tallymark.llm.components import components
 from tallymark.llm.shingles import shingle_sets, sketches
 
-WIDTH = 64  # minwise values of a sketch
-TREES = 10  # a pair at the threshold is missed by all trees less than once in 10,000
+WIDTH = 64  # minwise values of a sketch, one byte of each
+TREES = 16  # all of one sketch; a pair at the threshold is missed by all of them about once in 30,000
 SMALL = 64  # classes in a node that is compared exhaustively
 DEPTH = 12
 ALIKE = 0.5  # mean agreement with a member from which a large node is a cluster
 PIVOTS = 4
-BLOCK = 512  # members of a split cluster that one task holds
 CHUNK = 2_000_000
 HOPEFUL = 34  # of 64 values agree: a pair at the threshold stays below it about once in 25,000
 THRESHOLD = (75, 100)
@@ -40,23 +39,23 @@ def sketched(df: DataFrame) -> DataFrame:
         for ids, texts in chunks(batches, limit=CHUNK):
             sets = shingle_sets(texts)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size else None for s in sets]
-            values = pa.array(sketches(sets, WIDTH).ravel(), pa.int32())
+            values = pa.array((sketches(sets, WIDTH) & 255).astype(np.uint8).view(np.int8).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * WIDTH, pa.int32()), values)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([s.size for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists],
                 ["doc_id", "n_shingles", "key", "sketch"])
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, sketch array<int>")
+    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, sketch array<tinyint>")
 
 
 def _agree(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
 
 
-def _children(rows: DataFrame, ways: int) -> DataFrame:
-    """Each class goes on to ``ways`` nodes, by the sketch values that its node chooses."""
+def _children(rows: DataFrame, ways: int, values: int = 1) -> DataFrame:
+    """Each class goes on to ``ways`` nodes, by the sketch values that its node chooses, ``values`` for each."""
     value = lambda w: F.get("sketch", F.pmod(F.xxhash64("node", F.lit(w)), F.lit(WIDTH)).cast("int"))
-    nodes = F.array(*[F.xxhash64("node", F.lit(w), value(w)) for w in range(ways)])
+    nodes = F.array(*[F.xxhash64("node", F.lit(w), *[value(w + ways * i) for i in range(values)]) for w in range(ways)])
     return rows.select(F.explode(nodes).alias("node"), *[c for c in rows.columns if c != "node"])
 
 
@@ -115,7 +114,7 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     Only rows that share a node get their sketches joined, once; from then on they carry them.
     """
     roots = F.explode(F.array(*[F.xxhash64(F.lit(tree)) for tree in range(TREES)]))
-    first = _children(classes.select(roots.alias("node"), "rep", "sketch"), 1).select("node", "rep")
+    first = _children(classes.select(roots.alias("node"), "rep", "sketch"), 1, 2).select("node", "rep")
     shared = first.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1").select("node")
     nodes = first.join(shared, "node").join(classes, "rep").select("node", "rep", "n", "sketch")
     found, clusters = [], []
@@ -127,8 +126,6 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         if size.filter(F.col("members") > SMALL).isEmpty():
             break
         large = nodes.join(size.filter(F.col("members") > SMALL).select("node"), "node")
-        if depth < DEPTH - 1:
-            large = stage(large)
         pivots = stage(large.groupBy("node").agg(F.array_distinct(F.array(
             F.min(member), *[F.min_by(member, F.xxhash64("rep", F.lit(p))) for p in range(1, PIVOTS)])).alias("pivots")))
         met = large.join(pivots, "node").select("node", "rep", F.transform(
@@ -231,60 +228,46 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _between_parts(clusters: DataFrame, labels: DataFrame | None, sets: DataFrame) -> DataFrame:
-    """Links of a cluster's members outside its largest part with members of its other parts, one a part and block.
+    """Links between members of different parts of clusters that are still split, confirmed on full sets.
 
-    Members are dealt into blocks of bounded size; those outside go to every block of their node, where an index
-    of the block's shingles gives their intersections with all its members. Full sets travel, so what comes out are
-    links, not candidates: their number does not grow with the square of a cluster.
+    Members are in the order of their shingles from the rarest on (among these members). Two sets similar enough share
+    one of the first shingles of both: of the first seventh, of the smaller set, and of the first quarter, of the larger
+    one. What all pages of a template share comes last and makes no candidates; only ids and these shingles travel.
     """
     labels = clusters.sparkSession.createDataFrame([], "x long, component long") if labels is None else labels
     members = stage(clusters.join(labels.withColumnRenamed("x", "rep"), "rep", "left").select(
         "node", "rep", F.coalesce("component", "rep").alias("part")))
-    parts = members.groupBy("node", "part").agg(F.count("*").alias("held")).groupBy("node").agg(
-        F.max_by("part", "held").alias("main"), F.count("*").alias("parts"), F.sum("held").alias("members")).filter("parts > 1")
-    split = members.join(parts, "node").join(sets, "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
-    own = split.select("node", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(0).alias("outside"), "rep", "part", "set")
-    sent = split.filter(F.col("part") != F.col("main")).select(
-        "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("outside"), "rep", "part", "set")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, block = None, [], None
-        for batch in batches:
-            a, b = [], []
-            for node, number, outside, rep, part, own in zip(*(c.to_pylist() for c in batch.columns)):
-                if (node, number) != at:
-                    at, held, block = (node, number), [], None
-                shingles = np.frombuffer(own, dtype=np.uint64)
-                if not outside:
-                    held.append((rep, part, shingles))
-                elif held:
-                    block = block or _Block(held)
-                    found = block.linked(part, shingles)
-                    a += [max(rep, r) for r in found]
-                    b += [min(rep, r) for r in found]
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    rows = own.unionByName(sent).repartition("node", "block").sortWithinPartitions("node", "block", "outside")
-    return stage(rows.mapInArrow(run, "a long, b long").distinct())
-
-
-class _Block:
-    """Members of a cluster with an index of their shingles."""
-
-    def __init__(self, members: list[tuple[int, int, np.ndarray]]):
-        self.reps = np.array([m[0] for m in members])
-        self.parts = np.array([m[1] for m in members])
-        self.sizes = np.array([m[2].size for m in members])
-        values = np.concatenate([m[2] for m in members])
-        order = np.argsort(values, kind="stable")
-        self.values, self.owner = values[order], np.repeat(np.arange(len(members)), self.sizes)[order]
-
-    def linked(self, part: int, shingles: np.ndarray) -> list[int]:
-        """A member similar enough of each other part."""
-        low, high = (np.searchsorted(self.values, shingles, side=side) for side in ("left", "right"))
-        count = high - low
-        place = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-        both = np.bincount(self.owner[place], minlength=self.reps.size)
-        good = np.flatnonzero((THRESHOLD[1] * both >= THRESHOLD[0] * (self.sizes + shingles.size - both)) & (self.parts != part))
-        return self.reps[good[np.unique(self.parts[good], return_index=True)[1]]].tolist()
+    split = members.groupBy("node").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+    own = stage(members.join(split.select("node"), "node", "left_semi").select("rep", "part").distinct())
+    shingles = own.join(sets, "rep").mapInArrow(_exploded, "rep long, part long, size long, shingle long")
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle")))
+    last = F.col("size") - F.ceil(F.col("size") * THRESHOLD[0] / THRESHOLD[1]) + 1
+    first = shingles.join(stage(common), "shingle", "left").groupBy("rep", "part", "size").agg(ranked.alias("order")).select(
+        "rep", "part", "size", F.posexplode(F.slice("order", F.lit(1), last.cast("int"))).alias("place", "of"))
+    first = stage(first.filter("of.n > 1").select("rep", "part", "size", "place", F.col("of.shingle").alias("shingle")))
+    sure = 2 * THRESHOLD[0], THRESHOLD[0] + THRESHOLD[1]  # of the smaller set, what the sets have in common at least
+    shorter = first.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * sure[0] / sure[1]))
+    a, b = (f.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "part", "size")]) for f, side in ((shorter, "a"), (first, "b")))
+    met = a.join(b, "shingle").filter(
+        (F.col("part_a") != F.col("part_b")) & (F.struct("size_a", "rep_a") < F.struct("size_b", "rep_b"))
+        & (THRESHOLD[1] * F.col("size_a") >= THRESHOLD[0] * F.col("size_b")))
+    return _confirmed(stage(met.select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()), sets)
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set, about ``CHUNK`` bytes of sets at a time."""
+    for batch in batches:
+        reps, parts, sets = batch.select(["rep", "part", "set"]).columns
+        ends = np.cumsum([len(s.as_buffer()) // 8 for s in sets], dtype=np.int64)
+        first = 0
+        while first < len(ends):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + CHUNK // 8, "right")))
+            own = [np.frombuffer(s.as_buffer(), dtype=np.int64) for s in sets[first:last]]
+            sizes = np.array([x.size for x in own], np.int64)
+            row = pa.array(first + np.repeat(np.arange(len(own)), sizes))
+            yield pa.RecordBatch.from_arrays(
+                [reps.take(row), parts.take(row), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(own))],
+                names=["rep", "part", "size", "shingle"])
+            first = last

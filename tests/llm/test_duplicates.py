@@ -55,6 +55,36 @@ def check_near(rows, table_of, parts=5):
             assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_template_pages_stay_apart(table_of):
+    """Pages that share a template, alike to 0.6, meet in one cluster and are no links; two real copies among them are."""
+    rng = random.Random(12)
+    template = [rng.choice(WORDS) for _ in range(150)]
+    rows = [(i, " ".join(template + [f"own{i}-{j}" for j in range(46)])) for i in range(1500)]
+    rows += [(5000 + i, rows[i * 100][1] + " one word more") for i in range(5)]
+    x, y = (shingles(t) for _, t in rows[:2])
+    assert 0.55 < len(x & y) / len(x | y) < 0.65
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(table_of(rows, 4)).collect()}
+    assert got == {i: (i - 5000) * 100 if i >= 5000 else i for i, _ in rows}
+
+
+def test_split_clusters_lose_no_link(spark, monkeypatch):
+    """All links between parts, straight from sets of every similarity about the threshold."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 60, 400, dtype=np.uint64)
+    sets = {}
+    for i in range(160):
+        own = base[: rng.integers(40, 400)].copy()
+        at = rng.random(own.size) < rng.choice([0.02, 0.1, 0.14, 0.2, 0.3])
+        own[at] = rng.integers(1, 1 << 60, at.sum(), dtype=np.uint64)
+        sets[i] = np.unique(own)
+    want = {(i, j) for i in sets for j in range(i) if 100 * (both := np.intersect1d(sets[i], sets[j]).size) >= 75 * (sets[i].size + sets[j].size - both)}
+    frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "rep long, set binary")
+    clusters = spark.createDataFrame([(7, i) for i in sets], "node long, rep long")
+    monkeypatch.setattr(near, "CHUNK", 9000)
+    got = {(r.a, r.b) for r in near._between_parts(clusters, None, frame).collect()}
+    assert got == want and len(want) > 100
+
+
 def test_near_duplicates_of_every_degree(table_of):
     rng, rows = random.Random(4), []
     for _ in range(25):
