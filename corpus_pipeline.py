@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallymark.llm import private_data
 from tallymark.llm.common import id_bucket, stage, table
 from tallymark.llm.decontamination import leaks
-from tallymark.llm.language import UNKNOWN, identify, learn
+from tallymark.llm.language import calibrate, identify, learn
 from tallymark.llm.near_duplicates import near_duplicates
 from tallymark.llm.packing import pack_documents
 
@@ -18,15 +18,17 @@ def _packed(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without an n-gram of any learned language, go; a missing language is filled in.
+    """Documents that no learned language would have written go; a missing language is filled in.
 
-    Profiles are learned from four in five of the documents that state a language. With no such document nothing
-    can be told apart, and only texts without a letter go.
+    Profiles are learned from four in five of the documents that state a language. A text goes if it has no letter, or if
+    its score lies well below that of the nearest language's own texts of like length (``language.Floors``). With no
+    document that states a language nothing can be told apart, and only texts without a letter go.
     """
-    profiles = learn(docs.filter(F.coalesce(id_bucket("doc_id", 5) != 0, F.lit(False))))
+    known = docs.filter(F.coalesce(id_bucket("doc_id", 5) != 0, F.lit(False)))
+    profiles = learn(known)
     told = identify(_packed(docs, "text"), profiles, ["__doc"])
     if profiles.languages:
-        told = told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0))
+        told = told.filter(~calibrate(known, profiles).rejected("__doc.text"))
     else:
         told = told.filter(F.col("__doc.text").rlike(r"\p{L}"))
     lang = F.coalesce("__doc.lang", "lang_pred").alias("lang")
@@ -43,9 +45,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that give a benchmark item away go."""
-    bad = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """Documents that give a benchmark item away go; documents without an id are told apart by a hash of their text."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    bad = leaks(docs, benchmark).select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    kept = docs.filter("doc_id IS NOT NULL").join(stage(bad), "doc_id", "left_anti")
+    nameless = docs.filter("doc_id IS NULL").withColumn("__text", F.xxhash64("text"))
+    if nameless.isEmpty():
+        return kept
+    found = leaks(nameless.select(F.col("__text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__text")).distinct()
+    return kept.unionByName(nameless.join(stage(found), "__text", "left_anti").select(*docs.columns))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

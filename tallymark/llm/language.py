@@ -12,13 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallymark.llm.common import chunks
 
 PROFILE = 400
 UNKNOWN = "und"
 EDGE = 32
+CALIBRATION_ROWS = 20_000  # about so many learning rows, chosen by hash, tell which scores a language's own texts have
+TAIL, SLACK, FEW = 0.001, 0.75, 20  # a text is foreign below such a share of that quantile; of fewer rows of a length nothing is told
 _MERGE_AT = 2_000_000
 
 
@@ -162,3 +164,38 @@ def identify(df: DataFrame, profiles: Profiles, columns: list[str], text: str =
     source = df.select(F.col(text).alias("__text"), *[F.col(f"`{c}`") for c in columns])
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return source.mapInArrow(run, schema)
+
+
+def length_class(text: str) -> Column:
+    """Texts of like length: the power of two of their characters."""
+    return F.floor(F.log2(F.length(text) + F.lit(1))).cast("int")
+
+
+@dataclass
+class Floors:
+    """For each language and length class the score below which a text is foreign to it; 0 where too little was seen."""
+
+    least: dict[tuple[str, int], float]
+
+    def rejected(self, text: str = "text") -> Column:
+        """For rows of ``identify`` with their ``text``: is the score lower than that of any text of the language?
+
+        Texts shorter than any class that was seen are not rejected; longer ones are held to the longest class seen.
+        """
+        floor = F.lit(0.0)
+        for lang in sorted({k[0] for k in self.least}):
+            own = F.lit(0.0)
+            for size, least in sorted((size, least) for (name, size), least in self.least.items() if name == lang):
+                own = F.when(length_class(text) >= size, F.lit(least)).otherwise(own)
+            floor = F.when(F.col("lang_pred") == lang, own).otherwise(floor)
+        return (F.col("lang_pred") == UNKNOWN) | (F.col("score") <= 0) | (F.col("score") < floor)
+
+
+def calibrate(df: DataFrame, profiles: Profiles, key: str = "doc_id", rows: int = CALIBRATION_ROWS) -> Floors:
+    """Floors from the scores that learning rows have in their own language, by length."""
+    known = df.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    every = max(1, -(-known.count() // rows))
+    picked = known.filter(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select("text", "lang", length_class("text").alias("size"))
+    scored = identify(picked, profiles, ["lang", "size"]).filter(F.col("lang") == F.col("lang_pred"))
+    tails = scored.groupBy("lang", "size").agg(F.count("*").alias("n"), F.percentile_approx("score", TAIL, 10_000).alias("tail"))
+    return Floors({(r["lang"], r["size"]): SLACK * r["tail"] for r in tails.filter(F.col("n") >= FEW).collect()})  # a row per language and class

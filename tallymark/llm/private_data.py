@@ -170,8 +170,9 @@ def find(df: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns of every row, ``base`` (seed spans) and ``spans`` (all spans), by kind as listed, then start.
 
     Null and empty texts have no spans. Texts are read whole; repeated rows are treated alike; an empty table
-    gives an empty one; other columns are not read. Two kinds may overlap each other. One row of positions for
-    each document is staged; texts are neither staged nor shuffled.
+    gives an empty one; other columns are not read. Two kinds may overlap each other. One row for each document is
+    staged, with its positions and ``keep``. Spans that the method adds are staged as well and joined to it: ``keep`` is
+    shuffled only where these are too many to broadcast.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = stage(df.select(
@@ -182,8 +183,8 @@ def find(df: DataFrame, keep: list[str]) -> DataFrame:
     seen = rows.select("__row", "base", F.explode("tokens").alias("t")).filter(
         ~F.exists("base", lambda s: (s["start"] < F.col("t.end")) & (F.col("t.start") < s["end"]))).select("__row", "t.*", F.lit(None).cast("string").alias("kind"))
     new = scored_instances(seen.unionByName(rows.select("__row", F.inline("seeds"))))
-    more = (seen.drop("kind").join(new, "instance")
-            .groupBy("__row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more")))
+    more = stage(seen.drop("kind").join(new, "instance")
+                 .groupBy("__row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more")))
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     return rows.join(more, "__row", "left").select(*keep, "base", F.array_sort(
         F.concat("base", F.coalesce("more", F.array().cast(_SPAN))),
