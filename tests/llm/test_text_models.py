@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -278,3 +279,47 @@ def test_leaks_diluted_by_other_benchmark_words(spark, table_of):
     want = {(i, k) for i, own in enumerate(texts) for k in range(1, 2000, 20) if any(
         leak.judged(known.words[k], own[max(0, b - 15):b + 2 * leak.BLOCK + 15], weights) is not None for b in range(0, own.size, leak.BLOCK))}
     assert {(i, i * 20 + 1) for i in range(100)} <= want <= got
+
+
+def plain_profile(text, size):
+    """Most frequent n-grams of a text by strings and counters alone, in order."""
+    runs = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    if not runs:
+        return []
+    s = " " + " ".join(runs) + " "
+    grams = [c for c in s if c != " "] + [s[i:i + 2] for i in range(len(s) - 1)] + [s[i:i + 3] for i in range(len(s) - 2) if s[i + 1] != " "]
+    packed = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(g))
+    counts = Counter(grams)
+    return sorted(counts, key=lambda g: (-counts[g], packed(g)))[:size]
+
+
+def test_out_of_place_distances_by_hand(spark, corpus):
+    texts = {"a": list(corpus.values())[:40], "b": ["όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι", "Ünïcode Straße 日本語 x1y"], "c": ["the end of the thing"]}
+    rows = [(t, name) for name, own in texts.items() for t in own]
+    profiles = language.learn(spark.createDataFrame(rows, "text string, lang string").repartition(3), size=50)
+    known = {name: {g: i for i, g in enumerate(plain_profile(" \n ".join(own), 50))} for name, own in texts.items()}
+    asked = list(corpus.values())[40:60] + ["και οι", "x", "thing", "日本 日本", "a b c d"]
+    got = language.identify(spark.createDataFrame([(t,) for t in asked], "text string"), profiles, ["text"]).collect()
+    for r in got:
+        own = plain_profile(r.text, 50)
+        apart = {name: sum(abs(ranks[g] - i) if g in ranks else 50 for i, g in enumerate(own)) for name, ranks in known.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert r.lang_pred == best and abs(r.score - max(0, 1 - apart[best] / (50 * len(own)))) < 1e-12
+
+
+def test_foreign_and_junk_texts_fall_below_the_floors(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    profiles = language.learn(docs)
+    floors = language.calibrate(docs, profiles)
+    kept = language.identify(docs, profiles, ["doc_id", "lang", "text"]).withColumn("gone", floors.rejected())
+    assert kept.filter("gone AND lang = lang_pred").count() <= 2
+    foreign = [
+        "ni vse zlato kar se sveti toda zgodba o zlatu gre naprej skozi vse vasi in mesta brez konca " * 6,
+        "yksi kaksi kolme hyvää päivää kaikille ystäville jotka lukevat tämän tekstin äänettömästi tänään " * 6,
+        "każdy człowiek rodzi się wolny i równy pod względem swej godności oraz swych praw " * 6,
+        "Все люди рождаются свободными и равными a в своем достоинстве и правах " * 6,
+        "人人生而自由在尊严和权利上一律平等 a " * 30, "qzx jjk vvw xqq zzk kkj wvq " * 20, "0101 $$ ## 1e7 x9 " * 40, "aaaaaaaa" * 60,
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    gone = {r.doc_id for r in language.identify(rows, profiles, ["doc_id", "text"]).filter(floors.rejected()).collect()}
+    assert gone >= {3, 4, 5, 7} and len(gone) >= 6, gone
