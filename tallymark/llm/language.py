@@ -20,7 +20,7 @@ PROFILE = 400
 UNKNOWN = "und"
 EDGE = 32
 CALIBRATION_ROWS = 20_000  # about so many learning rows, chosen by hash, tell which scores a language's own texts have
-TAIL, SLACK, FEW = 0.001, 0.75, 20  # a text is foreign below such a share of that quantile; of fewer rows of a length nothing is told
+TAIL, SLACK, FEW = 0.001, 0.85, 20  # a text is foreign below such a share of that quantile; of fewer rows of a length nothing is told
 _MERGE_AT = 2_000_000
 
 
@@ -81,7 +81,8 @@ class Profiles:
         at = np.minimum(np.searchsorted(self.grams, own), self.grams.size - 1)
         found = self.grams[at] == own
         place = np.flatnonzero(found)
-        apart = np.abs(self.ranks[:, at[found]] - place).sum(axis=1) + self.size * (own.size - place.size)
+        ranks = self.ranks[:, at[found]]
+        apart = np.where(ranks < self.size, np.abs(ranks - place), self.size).sum(axis=1) + self.size * (own.size - place.size)
         best = int(np.argmin(apart))
         return self.languages[best], max(0.0, 1.0 - float(apart[best]) / (self.size * own.size))
 
