@@ -323,3 +323,73 @@ def test_foreign_and_junk_texts_fall_below_the_floors(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
     gone = {r.doc_id for r in language.identify(rows, profiles, ["doc_id", "text"]).filter(floors.rejected()).collect()}
     assert gone >= {0, 1, 3, 4, 5}, gone  # what is told by few n-grams or by those of a like language may pass
+
+
+def plain_fingerprint(text):
+    """The fingerprint with one state update a byte, pieces gathered as they end."""
+    data, letters = text.encode(), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    if not data:
+        return "3::"
+
+    def triggers(size):
+        out = []
+        for i in range(len(data)):
+            last, mixed = [data[i - b] if i >= b else 0 for b in range(7)], 0
+            for b in range(6, -1, -1):
+                mixed = mixed << 5 ^ last[b]
+            weighted = sum((8 - b) * last[b] for b in range(7))  # the newest byte counts 8 times, the oldest twice
+            if ((weighted + mixed) & 0xFFFFFFFF) % size == size - 1:
+                out.append(i)
+        return out
+
+    def signature(size, length):
+        out, piece = "", b""
+        stops = set(triggers(size)[: length - 1])
+        for i, c in enumerate(data):
+            piece += bytes([c])
+            if i in stops:
+                out, piece = out + letters[zlib.crc32(piece) & 63], b""
+        return out + (letters[zlib.crc32(piece) & 63] if piece else "")
+
+    size = 3
+    while size * 64 < len(data):
+        size *= 2
+    while size > 3 and len(triggers(size)) + 1 < 32:
+        size //= 2
+    return f"{size}:{signature(size, 64)}:{signature(2 * size, 32)}"
+
+
+def test_fingerprints_byte_by_byte(corpus):
+    texts = ["", "a", "abc" * 50, "ü" * 300, "\x00\xff zero", "x" * 700, *[t[:1500] for t in list(corpus.values())[:25] if t]]
+    assert [marks.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
+
+
+def test_first_step_goes_down_the_non_negative_risk():
+    """Adam's first step moves each weight by the rate, against the sign of the numeric gradient."""
+    rng = np.random.default_rng(6)
+    positive, unlabelled = rng.normal(0.5, 1, (30, 4)), rng.normal(0, 1, (50, 4))
+    seen = set()
+    for prior, shift in ((0.3, 0.0), (0.98, 0.0), (0.98, 3.0), (0.98, -3.0)):
+        start, after = (quality.minimise(positive + shift, unlabelled, prior, steps=n, rate=0.01, seed=3) for n in (0, 1))
+
+        def parts(weights):
+            model = quality.Model(start.centre, start.scale, weights, prior)
+            p, u = model.logits(positive + shift), model.logits(unlabelled)
+            return prior * np.logaddexp(0, -p).mean(), np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
+
+        below = parts(start.weights)[1] < 0
+        seen.add(below)
+
+        def objective(weights):
+            rest, against = parts(weights)
+            return (-against if below else rest + against) + 0.5e-4 * sum((w * w).sum() for w in weights)
+
+        for i, w in enumerate(start.weights):
+            for at in list(np.ndindex(w.shape))[:12]:
+                up, down = ([x.copy() for x in start.weights] for _ in range(2))
+                up[i][at] += 1e-5
+                down[i][at] -= 1e-5
+                slope = (objective(up) - objective(down)) / 2e-5
+                if abs(slope) > 1e-6:
+                    assert abs((after.weights[i][at] - w[at]) + 0.01 * np.sign(slope)) < 1e-4
+    assert seen == {False, True}
