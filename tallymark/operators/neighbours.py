@@ -15,7 +15,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tallymark.functions.columns import hash32
 from tallymark.session import stage
@@ -119,3 +119,29 @@ def nearest(points: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
         called.groupBy(*[f"of_{c}" for c in parts])).applyInPandas(other_block, _FOUND)
     order = Window.partitionBy("pid").orderBy("dist", "nn")
     return local.unionByName(remote).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def nearest_by(points: DataFrame, group: str, k: int, block_rows: int = 4096) -> DataFrame:
+    """``(group, pid, nn, dist, place)``: neighbours within each group, ids being distinct there.
+
+    Groups of up to ``block_rows`` points are searched in one job, a task each. Larger ones, of which a table has
+    one in ``block_rows`` rows at most, are searched block by block.
+    """
+    pts = stage(points.where(F.col(group).isNotNull()).select(group, "pid", "vec"))
+    kind = pts.schema[group].dataType
+    large = [r[group] for r in pts.groupBy(group).count().where(F.col("count") > block_rows).collect()]
+    small = pts.join(F.broadcast(pts.sparkSession.createDataFrame([(v,) for v in large], T.StructType([T.StructField(group, kind)]))),
+                     group, "left_anti")  # one row per large group
+
+    def own_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _search(pdf, pdf, k)
+        found.insert(0, group, [pdf[group].iloc[0]] * len(found))
+        return found
+
+    order = Window.partitionBy(group, "pid").orderBy("dist", "nn")
+    out = small.groupBy(group).applyInPandas(own_group, f"`{group}` {kind.simpleString()}, {_FOUND}").withColumn(
+        "place", F.row_number().over(order))
+    for value in large:
+        found = nearest(pts.where(F.col(group) == F.lit(value)), k, block_rows)
+        out = out.unionByName(found.withColumn(group, F.lit(value).cast(kind)))
+    return out

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.operators.neighbours import nearest
+from tallymark.operators.neighbours import nearest, nearest_by
 from tallymark.operators.smote import smote
 
 
@@ -52,3 +52,29 @@ def test_smote(spark):
     lonely = df.where("c = 0 OR key = 1")
     grown = smote(lonely, "key", "c", ["a", "b"])
     assert grown.where("c = 1").agg(F.countDistinct("a")).first()[0] == 1 and grown.where("c = 1").count() == 200
+
+
+def test_all_classes_grow_in_one_job(spark):
+    """More classes than any limit, of one to four rows, and rows without a label."""
+    rows = [(c * 10 + i, c, float(c + i), float(i)) for c in range(1200) for i in range(1 + c % 4)] + [(90_000, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "key long, c int, a double, b double").repartition(4)
+    out = smote(df, "key", "c", ["a", "b"], k=2)
+    got = {r["c"]: (r["n"], r["low"], r["high"], r["made"]) for r in out.groupBy("c").agg(
+        F.count("*").alias("n"), F.min(F.col("a") - F.col("c")).alias("low"), F.max(F.col("a") - F.col("c")).alias("high"), F.count("step").alias("made")).collect()}
+    assert got.pop(None) == (1, None, None, 0)
+    assert got == {c: (4, 0.0, float(c % 4), 3 - c % 4) for c in range(1200)}
+    assert out.select("key").distinct().count() == 4801
+
+
+@pytest.mark.parametrize("block_rows", [1000, 30])
+def test_neighbours_within_groups(spark, block_rows):
+    rng = np.random.default_rng(8)
+    x, g = rng.normal(size=(150, 3)), rng.choice(["a", "b", "c"], 150, p=[0.6, 0.3, 0.1])
+    points = spark.createDataFrame([(v, f"p{i:03d}", [float(w) for w in r]) for i, (v, r) in enumerate(zip(g, x))], "g string, pid string, vec array<double>")
+    got = nearest_by(points, "g", 4, block_rows).toPandas().sort_values(["pid", "place"])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    d[g[:, None] != g[None]] = np.inf
+    np.fill_diagonal(d, np.inf)
+    for pid, rows in got.groupby("pid"):
+        assert rows["nn"].tolist() == [f"p{j:03d}" for j in np.argsort(d[int(pid[1:])], kind="stable")[:4]]
+    assert len(got) == 600
