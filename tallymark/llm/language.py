@@ -19,7 +19,6 @@ from tallymark.llm.common import chunks
 PROFILE = 400
 UNKNOWN = "und"
 EDGE = 32
-CALIBRATION_ROWS = 20_000  # about so many learning rows, chosen by hash, tell which scores a language's own texts have
 TAIL, SLACK, FEW = 0.001, 0.85, 20  # a text is foreign below such a share of that quantile; of fewer rows of a length nothing is told
 _MERGE_AT = 2_000_000
 
@@ -192,11 +191,9 @@ class Floors:
         return (F.col("lang_pred") == UNKNOWN) | (F.col("score") <= 0) | (F.col("score") < floor)
 
 
-def calibrate(df: DataFrame, profiles: Profiles, key: str = "doc_id", rows: int = CALIBRATION_ROWS) -> Floors:
-    """Floors from the scores that learning rows have in their own language, by length."""
-    known = df.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    every = max(1, -(-known.count() // rows))
-    picked = known.filter(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select("text", "lang", length_class("text").alias("size"))
-    scored = identify(picked, profiles, ["lang", "size"]).filter(F.col("lang") == F.col("lang_pred"))
+def calibrate(df: DataFrame, profiles: Profiles) -> Floors:
+    """Floors from the scores that all learning rows have in their own language, by length."""
+    known = df.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", length_class("text").alias("size"))
+    scored = identify(known, profiles, ["lang", "size"]).filter(F.col("lang") == F.col("lang_pred"))
     tails = scored.groupBy("lang", "size").agg(F.count("*").alias("n"), F.percentile_approx("score", TAIL, 10_000).alias("tail"))
     return Floors({(r["lang"], r["size"]): SLACK * r["tail"] for r in tails.filter(F.col("n") >= FEW).collect()})  # a row per language and class

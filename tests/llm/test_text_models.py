@@ -325,6 +325,14 @@ def test_foreign_and_junk_texts_fall_below_the_floors(spark):
     assert gone >= {0, 1, 3, 4, 5}, gone  # what is told by few n-grams or by those of a like language may pass
 
 
+def test_every_learning_row_counts_for_the_floors(spark):
+    """25 long texts among 45,000 short ones have a length of their own, and a floor."""
+    text = F.when(F.col("doc_id") % 1800 == 0, F.repeat(F.lit("some more words of it "), 20)).otherwise(F.lit("some words"))
+    docs = spark.range(45_000).withColumnRenamed("id", "doc_id").select("doc_id", text.alias("text"), F.lit("en").alias("lang"))
+    floors = language.calibrate(docs, language.learn(docs))
+    assert sorted(size for _, size in floors.least) == [3, 8]
+
+
 def plain_fingerprint(text):
     """The fingerprint with one state update a byte, pieces gathered as they end."""
     data, letters = text.encode(), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
