@@ -7,6 +7,7 @@ from pyspark.sql import functions as F, types as T
 
 from tallymark.operators.diagnostics import metric_bars
 from tallymark.operators.encode import Recipe, fit_encoder, fit_encoders
+from tallymark.operators.estimators import Spec, training_rows
 from tallymark.operators.mlp import fit_mlp
 from tallymark.operators.splits import undersample
 from tallymark.sources.tables import read_csv
@@ -104,3 +105,12 @@ def test_training_puts_the_baseline_among_the_metrics(spark):
     metrics = train_and_score(df, Spec("m", "logistic", "y", ("x",)), "id", k=3).metrics
     own = {r.metric: r.value for r in metrics.where("split = 'baseline'").collect()}
     assert own["majority_class"] == 0.0 and own["f1"] == 0.0 and own["roc_auc"] == 0.5 and 0.6 < own["accuracy"] < 0.8
+
+
+@pytest.mark.parametrize("family", ["gbt", "forest"])
+def test_tasks_of_a_tree_model_hold_no_more_rows_as_the_table_grows(spark, family):
+    df = spark.range(0, 1_000_001, 1, 1).select((F.col("id") % 2).cast("double").alias("x"), F.col("id").cast("double").alias("y"))
+    spec = Spec("m", family, "y", ("x",))
+    rows = training_rows(df, spec, fit_encoder(df, spec.recipe(df), "y"))
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 250_000 and sum(sizes) == 1_000_001
