@@ -251,6 +251,27 @@ def test_repeated_rows_spread_over_shards(spark):
     assert fit_mlp(rows, spec.params, e.width)[0].n_iter == 2
 
 
+def test_networks_step_as_one_stack_and_are_validated_in_one_job(data):
+    """Twelve networks of two shapes take as many jobs as one, and end as each does alone."""
+    df, *_ = data
+    spec = Spec("m", "mlp", "y", PREDICTORS, key="key")
+    e = fit_encoder(df, spec.recipe(df), "y")
+    rows = E.training_rows(df, spec, e).cache()
+    settings = [{"hidden": h, "max_iter": 2, "learning_rate": r, "alpha": a, "batch_size": 16} for h in ([4], [3, 2]) for r in (0.01, 0.05) for a in (0, 0.1, 1)]
+    sc, jobs = df.sparkSession.sparkContext, []
+    rows.count()
+    for own in (settings[:1], settings):
+        sc.setJobGroup(f"stack-{len(own)}", "")
+        found = fit_mlps(rows, own, e.width)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"stack-{len(own)}")))
+    sc.setJobGroup("", "")
+    assert jobs[0] == jobs[1]
+    assert [len(s) for s in mlp._stacks([mlp._Run.of(q, e.width) for q in settings])] == [6, 6]
+    for i in (0, 5, 6, 11):
+        alone = fit_mlps(rows, settings[i:i + 1], e.width)[0][0]
+        assert np.allclose(found[i][0].flat, alone.flat, atol=1e-12) and abs(found[i][0].valid_r2 - alone.valid_r2) < 1e-12
+
+
 def test_networks_trained_together_equal_separate_ones(data, monkeypatch):
     df, *_ = data
     spec = Spec("m", "mlp", "y", PREDICTORS, key="key")
