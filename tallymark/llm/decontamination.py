@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents become word numbers over the benchmark's vocabulary once, with document frequencies counted on the
-way. A randomised singular value decomposition of TF-IDF passages (all items, and a bounded sample of corpus
-passages whose partial products come from Spark tasks) gives the latent space. Every passage of every document
+way. A randomised singular value decomposition of TF-IDF passages (all items, and all passages of the corpus, whose
+partial products come from Spark tasks) gives the latent space. Every passage of every document
 is placed in it; items close by cosine are candidates, and so is, whatever its cosine, every item of which the
 words around a passage can hold the weight that a confirmation asks for. A candidate is confirmed by the longest
 common subsequence of words, and where that is short of a copy, by the item's answer, its last words of weight.
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tallymark.llm.common import chunks, stage
@@ -23,7 +24,8 @@ ITEMS = 10_000  # items searched at once; more are searched in blocks of as many
 BLOCK = 32  # words; a passage is two neighbouring blocks
 RANK = 128
 FEATURES = 8192
-SAMPLE_DOCUMENTS = 2_000  # about so many documents, chosen by id hash, whose passages join the items in the decomposition
+SUMMED = 128  # features whose partial products travel as one row
+DENSE = 256  # most frequent words, by whose counts products are taken; others are gathered
 POWER_STEPS = 2
 COMMON = 64  # words that are counted instead of gathered
 CLOSE = 0.35
@@ -152,14 +154,6 @@ class Space:
         return sums
 
 
-def _passage_rows(words: np.ndarray) -> Iterator[np.ndarray]:
-    last = max(1, -(-words.size // BLOCK) - 1)
-    for b in range(last):
-        own = words[b * BLOCK:(b + 2) * BLOCK]
-        if own.any():
-            yield own[own > 0]
-
-
 def _gram_step(rows: list[np.ndarray], feature: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """``A'(A basis)`` for unit TF-IDF rows ``A`` given as word numbers."""
     out = np.zeros_like(basis)
@@ -178,37 +172,105 @@ def word_weights(frequency: np.ndarray, documents: int) -> np.ndarray:
     return weights
 
 
-def latent_space(items: Items, corpus: DataFrame, frequency: np.ndarray, documents: int, rank: int = RANK,
-                 sample: int = SAMPLE_DOCUMENTS, seed: int = 5) -> Space:
-    """Randomised subspace iteration on the Gram matrix of TF-IDF rows; tasks send partial products of bounded size."""
+def _passage_step(texts: list[np.ndarray], feature: np.ndarray, weights: np.ndarray, basis: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """``A'(A basis)`` for the unit TF-IDF rows ``A`` of all passages of some documents.
+
+    A passage is the sum of two neighbouring blocks, or a document's only one, so products are taken block by block.
+    """
+    known, at, alone, base = [], [], [], 0
+    for words in texts:
+        w, b = passages(words)
+        blocks = max(1, -(-words.size // BLOCK))
+        known.append(feature[w] + (b + base) * FEATURES)
+        at.append(weights[w])
+        alone.append(np.arange(blocks + 1) < max(1, blocks - 1))  # passages begin at these; an empty block keeps documents apart
+        base += blocks + 1
+    begins = np.concatenate(alone)
+    key, where = np.unique(np.concatenate(known), return_inverse=True)
+    value = np.bincount(where, weights=np.concatenate(at), minlength=key.size).astype(np.float32)
+    block, f = np.divmod(key, FEATURES)
+    place = np.full(FEATURES, -1)
+    place[common] = np.arange(common.size)
+    often = place[f] >= 0
+    counts = np.zeros((base, common.size), dtype=np.float32)
+    counts[block[often], place[f[often]]] = value[often]
+    sums = counts @ basis[common]
+    rare_block, rare_f, rare_value = block[~often], f[~often], value[~often, None]
+    if rare_f.size:
+        first = np.flatnonzero(np.concatenate(([True], rare_block[1:] != rare_block[:-1])))
+        sums[rare_block[first]] += np.add.reduceat(basis[rare_f] * rare_value, first, axis=0)
+    square = np.bincount(block, weights=value.astype(np.float64) ** 2, minlength=base + 1)
+    after = np.minimum(np.searchsorted(key, key + FEATURES), max(0, key.size - 1))
+    shared = np.bincount(block, weights=np.where(key[after] == key + FEATURES, value * value[after], 0.0), minlength=base)
+    norm = square[:-1] + square[1:] + 2 * shared
+    norm = np.where(begins & (norm > 0), norm, np.inf)
+    scaled = ((sums + np.concatenate((sums[1:], np.zeros_like(sums[:1])))) / norm[:, None]).astype(np.float32)
+    scaled[1:] += scaled[:-1].copy()  # a block is in the passage that begins with it and in the one before
+    out = np.zeros_like(basis)
+    out[common] = counts.T @ scaled
+    if rare_f.size:
+        order = np.argsort(rare_f, kind="stable")
+        rare_f = rare_f[order]
+        first = np.flatnonzero(np.concatenate(([True], rare_f[1:] != rare_f[:-1])))
+        out[rare_f[first]] += np.add.reduceat(scaled[rare_block[order]] * rare_value[order], first, axis=0)
+    return out
+
+
+def _corpus_step(corpus: DataFrame, feature: np.ndarray, weights: np.ndarray, basis: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """``A'(A basis)`` for all passages of the corpus. Tasks' products travel in pieces; the driver gets their sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size = np.zeros(basis.shape), [], 0
+        for batch in batches:
+            for own in batch.column(0):
+                held.append(np.frombuffer(own.as_buffer(), dtype=np.int32))
+                size += held[-1].size + BLOCK
+                if size > 50_000:
+                    part += _passage_step(held, feature, weights, basis, common)
+                    held, size = [], 0
+        if held:
+            part += _passage_step(held, feature, weights, basis, common)
+        task = TaskContext.get().partitionId()
+        for at in range(0, len(part), SUMMED):
+            piece = part[at:at + SUMMED]
+            if piece.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([task], pa.int32()), pa.array([piece.astype(np.float32).tobytes()], pa.binary())],
+                                                 ["at", "task", "part"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = 0.0
+        for part in rows.sort_by("task").column("part"):  # in one order, so that sums repeat
+            total = total + np.frombuffer(part.as_buffer(), dtype=np.float32).astype(np.float64)
+        return pa.table({"at": rows.column("at")[:1], "part": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(basis.shape)
+    parts = corpus.select("words").mapInArrow(run, "at int, task int, part binary")
+    for r in parts.groupBy("at").applyInArrow(add, "at int, part binary").collect():  # one matrix in pieces
+        piece = np.frombuffer(r.part).reshape(-1, basis.shape[1])
+        out[r["at"]:r["at"] + len(piece)] = piece
+    return out
+
+
+def latent_space(items: Items, corpus: DataFrame, frequency: np.ndarray, documents: int, rank: int = RANK, seed: int = 5) -> Space:
+    """Randomised subspace iteration on the Gram matrix of the TF-IDF rows of all items and all passages of the corpus."""
     weights = word_weights(frequency, documents)
     rng = np.random.default_rng(seed)
     feature = rng.permutation(frequency.size) % FEATURES
     size = min(FEATURES, frequency.size)
     basis = np.linalg.qr(rng.normal(size=(FEATURES, min(rank + 16, size))))[0].astype(np.float32)
-    item_share = max(1.0, sample / len(items.ids))  # items weigh about as much as the sample
-    every = max(1, -(-documents // sample))
-    picked = stage(corpus.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).repartition(8))
+    item_share = max(1.0, documents / len(items.ids))  # items weigh about as much as the documents
+    often = np.argsort(-frequency[1:], kind="stable") + 1
+    common = np.unique(feature[often[:DENSE]])
     for _ in range(POWER_STEPS + 1):
         step = basis
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part = np.zeros_like(step)
-            for batch in batches:
-                for own in batch.column(0):
-                    words = np.frombuffer(own.as_buffer(), dtype=np.int32)
-                    part += _gram_step(list(_passage_rows(words)), feature, weights, step)
-            yield pa.RecordBatch.from_arrays([pa.array([part.astype(np.float32).tobytes()], pa.binary())], ["part"])
-
-        parts = [np.frombuffer(r.part, dtype=np.float32).reshape(step.shape) for r in picked.select("words").mapInArrow(run, "part binary").collect()]
-        total = _gram_step(items.words, feature, weights, step) * item_share + sum(parts)
+        total = _gram_step(items.words, feature, weights, step) * item_share + _corpus_step(corpus, feature, weights, step, common)
         basis = np.linalg.qr(total)[0].astype(np.float32)
     small = step.T @ total
     values, turn = np.linalg.eigh((small + small.T) / 2)
     axes = (step @ turn[:, np.argsort(-values)[:rank]]).astype(np.float32)
     word_vectors = (axes[feature] * weights[:, None]).astype(np.float32)
     item_vectors = np.stack([_unit(word_vectors[w].sum(axis=0)) for w in items.words])
-    return Space(word_vectors, item_vectors, weights, np.argsort(-frequency[1:], kind="stable")[:COMMON] + 1)
+    return Space(word_vectors, item_vectors, weights, often[:COMMON])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

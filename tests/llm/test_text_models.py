@@ -333,6 +333,29 @@ def test_every_learning_row_counts_for_the_floors(spark):
     assert sorted(size for _, size in floors.least) == [3, 8]
 
 
+def test_latent_space_takes_every_passage_of_every_document(spark):
+    """The product of a step over the corpus is that of its passages one by one, unit TF-IDF rows of two blocks."""
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 31, 32, 33, 64, 65, 200, 700, *rng.integers(1, 150, 2500)]
+    texts = [rng.integers(0, 600, n) * (rng.random(n) < 0.5) for n in sizes]
+    frequency, documents = np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=600).astype(float), len(texts)
+    weights, feature = leak.word_weights(frequency, documents), rng.permutation(600) % 500
+    basis = rng.normal(size=(leak.FEATURES, 12)).astype(np.float32)
+    common = np.unique(feature[np.argsort(-frequency[1:])[:50] + 1])
+    wanted = np.zeros(basis.shape)
+    for t in texts:
+        for b in range(max(1, -(-t.size // leak.BLOCK) - 1)):
+            own = t[b * leak.BLOCK:(b + 2) * leak.BLOCK]
+            x = np.bincount(feature[own[own > 0]], weights=weights[own[own > 0]], minlength=leak.FEATURES)
+            if x.any():
+                x /= np.linalg.norm(x)
+                used = np.flatnonzero(x)
+                wanted[used] += np.outer(x[used], x[used] @ basis[used])
+    rows = spark.createDataFrame([(i, bytearray(t.astype(np.int32).tobytes())) for i, t in enumerate(texts)], "doc_id long, words binary").repartition(3)
+    got = leak._corpus_step(rows, feature, weights, basis, common)
+    assert np.abs(got - wanted).max() < 1e-4 * np.abs(wanted).max()
+
+
 def plain_fingerprint(text):
     """The fingerprint with one state update a byte, pieces gathered as they end."""
     data, letters = text.encode(), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
