@@ -26,6 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_PIVOTS = 256
 _FOUND = "pid string, nn string, dist double"
+_HELD = 1_000_000  # distances that a search holds at a time
 _SLACK = 1 + 1e-9  # keeps rounding from ruling out a tie
 
 
@@ -41,13 +42,17 @@ def distances(q: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _search(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest block members of each query, itself left out; ties by id."""
     block = block.sort_values("pid")
-    ids, own = block["pid"].to_numpy(), queries["pid"].to_numpy()
-    d = distances(np.stack(queries["vec"].to_numpy()), np.stack(block["vec"].to_numpy()))
-    d[own[:, None] == ids[None, :]] = np.inf
-    best = np.argsort(d, axis=1, kind="stable")[:, :k]
-    near = np.take_along_axis(d, best, axis=1)
-    keep = np.isfinite(near)
-    return pd.DataFrame({"pid": np.repeat(own, keep.sum(axis=1)), "nn": ids[best][keep], "dist": near[keep]})
+    ids, members = block["pid"].to_numpy(), np.stack(block["vec"].to_numpy())
+    found, rows = [], max(1, _HELD // len(ids))
+    for at in range(0, len(queries), rows):
+        own = queries["pid"].to_numpy()[at : at + rows]
+        d = distances(np.stack(queries["vec"].to_numpy()[at : at + rows]), members)
+        d[own[:, None] == ids[None, :]] = np.inf
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        near = np.take_along_axis(d, best, axis=1)
+        keep = np.isfinite(near)
+        found.append((np.repeat(own, keep.sum(axis=1)), ids[best][keep], near[keep]))
+    return pd.DataFrame(dict(zip(("pid", "nn", "dist"), map(np.concatenate, zip(*found)))))
 
 
 def nearest(points: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
@@ -71,8 +76,8 @@ def nearest(points: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
     placed = pts.withColumn("a", assign("vec")).select("pid", "vec", F.col("a.cell").alias("cell"), F.col("a.reach").alias("reach"))
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("reach").alias("lo"), F.max("reach").alias("hi")).collect()
     blocks_of = {r["cell"]: max(1, math.ceil(r["n"] / block_rows)) for r in cells}  # one entry per pivot
-    cuts = F.create_map(*[F.lit(v) for pair in blocks_of.items() for v in pair])[F.col("cell")]
-    blocked = stage(placed.withColumn("block", (hash32("block", "pid") % cuts).cast("int")))
+    cuts = F.create_map(*[F.lit(v) for pair in blocks_of.items() for v in pair])
+    blocked = stage(placed.withColumn("block", (hash32("block", "pid") % cuts[F.col("cell")]).cast("int")))
 
     def own_block(pdf: pd.DataFrame) -> pd.DataFrame:
         return _search(pdf, pdf, k)
@@ -85,21 +90,18 @@ def nearest(points: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
     ids = np.array([r["cell"] for r in cells])
     lows, highs = np.array([r["lo"] for r in cells]), np.array([r["hi"] for r in cells])
 
-    @F.pandas_udf("array<struct<cell:int,block:int>>")
-    def targets(vec: pd.Series, bound: pd.Series, cell: pd.Series, block: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<int>")
+    def targets(vec: pd.Series, bound: pd.Series) -> pd.Series:
+        """Cells, of which there are ``MAX_PIVOTS`` at most; their blocks, which grow with the rows, are listed by Spark."""
         if not len(vec):
             return pd.Series([], dtype=object)
         d = distances(np.stack(vec.to_numpy()), pivots[ids])
         gap = np.maximum(0.0, np.maximum(d - highs, lows - d))  # least distance to a member of each cell
-        open_cells = gap <= (bound.to_numpy() * _SLACK)[:, None]
-        out = []
-        for row, c, b in zip(open_cells, cell, block):
-            out.append([{"cell": int(t), "block": j} for t in ids[row] for j in range(blocks_of[int(t)])
-                        if (t, j) != (c, b)])
-        return pd.Series(out)
-
-    visits = asking.select("pid", "vec", F.explode(targets("vec", "bound", "cell", "block")).alias("t")).select(
-        "pid", "vec", F.col("t.cell").alias("cell"), F.col("t.block").alias("block"))
+        return pd.Series([ids[row].astype(np.int32) for row in gap <= (bound.to_numpy() * _SLACK)[:, None]])
+
+    to_cells = asking.select("pid", "vec", "cell", "block", F.explode(targets("vec", "bound")).alias("to"))
+    visits = to_cells.withColumn("at", F.explode(F.sequence(F.lit(0), cuts[F.col("to")] - 1))).where(
+        "NOT (to = cell AND at = block)").select("pid", "vec", F.col("to").alias("cell"), F.col("at").alias("block"))
     # Callers of one block are cut into chunks as well, and the block is copied to each chunk.
     per_block = visits.groupBy("cell", "block").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("chunks"))
     callers = visits.join(per_block, ["cell", "block"]).withColumn("chunk", (hash32("chunk", "pid") % F.col("chunks")).cast("int"))

@@ -1,7 +1,11 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallymark.operators import neighbours
 from tallymark.operators.neighbours import nearest, nearest_by
 from tallymark.operators.smote import smote
 
@@ -78,3 +82,16 @@ def test_neighbours_within_groups(spark, block_rows):
     for pid, rows in got.groupby("pid"):
         assert rows["nn"].tolist() == [f"p{j:03d}" for j in np.argsort(d[int(pid[1:])], kind="stable")[:4]]
     assert len(got) == 600
+
+
+def test_a_search_holds_few_distances_at_a_time():
+    """A block of 4,096 points against itself: all distances and their order at once would take 256 MB."""
+    rng = np.random.default_rng(0)
+    block = pd.DataFrame({"pid": [f"{i:04d}" for i in range(4096)], "vec": list(rng.random((4096, 3)))})
+    tracemalloc.start()
+    try:
+        found = neighbours._search(block, block, 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 8192 and peak < 100e6
