@@ -1,6 +1,7 @@
 """Squared-error models from cross-products by fold against NumPy and against MLlib's distributed fits."""
 
 import json
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from tallymark.operators.encode import fit_encoder
 from tallymark.operators.ensembles import prefix_scores
 from tallymark.operators.estimators import Spec, fit
 from tallymark.operators.selection import backward_selection
-from tallymark.operators.splits import with_folds
+from tallymark.operators.splits import holdout_side, with_folds
 from tallymark.plans import grid as G, train as T
 
 PREDICTORS = ("x1", "x2", "flat", "g")
@@ -188,3 +189,49 @@ def test_student_tails():
         assert abs(gram.student_p(t, 1) - (1 - 2 * atan(t) / pi)) < 1e-12
         assert abs(gram.student_p(-t, 2) - (1 - t / sqrt(2 + t * t))) < 1e-12
         assert abs(gram.student_p(t, 1e9) - 2 * (1 - NormalDist().cdf(t))) < 1e-7
+
+
+@pytest.mark.parametrize("scale", [1.0, 0.0])
+def test_degrees_from_one_pass_equal_distributed_fits(spark, data, monkeypatch, scale):
+    """Degrees solved from the cross-products of the highest, and MLlib's own fits; a column may be constant but for one fold."""
+    df, *_ = data
+    df = df.withColumn("c", F.when(F.expr("hash(key) % 5 = 0") | F.lit(scale > 0), F.cos("key")).otherwise(2.0))
+    spec = Spec("p", "polynomial", "y", ("x1", "x2", "c", "g"))
+    ours = G.compare_degrees(df, spec, [1, 3, 2], "key", 3)
+    alone = T.out_of_fold(df.where("key % 7 > 0"), replace(spec, params={"degree": 2}), "key", 3)
+    monkeypatch.setattr(gram, "GRAM_COLUMNS", 0)
+    theirs = G.compare_degrees(df, spec, [1, 3, 2], "key", 3)
+    assert [r.spec.name for r in ours] == [r.spec.name for r in theirs] == ["poly_deg_1", "poly_deg_3", "poly_deg_2"]
+    for a, b in zip(ours, theirs):
+        for x, y in ((a.oof, b.oof), (a.predictions, b.predictions)):
+            x, y = by_key(x), by_key(y)
+            assert len(x) == len(y) and all(abs(x[k]["yhat"] - y[k]["yhat"]) < 1e-4 for k in y)
+        assert np.allclose(a.fitted.model.coefficients.toArray(), b.fitted.model.coefficients.toArray(), atol=1e-3)
+        assert a.metrics.columns == b.metrics.columns and a.metrics.count() == b.metrics.count()
+    other = by_key(T.out_of_fold(df.where("key % 7 > 0"), replace(spec, params={"degree": 2}), "key", 3))
+    alone = by_key(alone)
+    assert len(alone) == len(other) and all(abs(alone[k]["yhat"] - other[k]["yhat"]) < 1e-4 for k in other)
+
+
+def test_terms_of_a_column_constant_in_all_folds_but_one(spark):
+    """What the side without that fold cannot learn has no weight, as when it is encoded on its own."""
+    rows = [(i, float(i * i % 11), 5.0 if i % 4 else float(i), float(i % 5)) for i in range(80)]
+    df = spark.createDataFrame(rows, "key long, a double, b double, y double").withColumn("fold", (F.col("key") % 4).cast("int"))
+    spec = Spec("p", "polynomial", "y", ("a", "b"), {"degree": 3})
+    encoder = fit_encoder(df, spec.recipe(df), "y")
+    encoded = gram.encoded(df, encoder, "y", "key", "fold")
+    models = gram.solve(gram.cross_products(encoded, encoder), "polynomial", [spec.params], E.TINY_RIDGE)
+    ours = by_key(gram.predictions(encoded, models, "key"))
+    theirs = by_key(fit(df.where("fold <> 0"), spec).predict(df.where("fold = 0")))
+    assert all(abs(ours[k]["yhat"] - theirs[k]["yhat"]) < 1e-5 for k in theirs)
+
+
+def test_final_polynomials_read_no_rows(data, monkeypatch):
+    """Models of all rows come from the cross-products of the folds."""
+    df, *_ = data
+    spec = Spec("m", "polynomial", "y", ("x1", "x2", "flat"), {"degree": 2})
+    monkeypatch.setattr(T, "fit", None)
+    ours = T.train_degrees(df, spec, [2], "key", 3)[0].fitted
+    theirs = fit(df.where(holdout_side("key") == "train"), spec)
+    assert np.allclose(ours.model.coefficients.toArray(), theirs.model.coefficients.toArray(), atol=1e-5)
+    assert abs(ours.model.intercept - theirs.model.intercept) < 1e-5
