@@ -42,6 +42,19 @@ def test_every_ensemble_is_the_one_that_mllib_fits(data, scale):
     rows.unpersist()
 
 
+def test_sums_of_many_partitions_are_added_by_tasks(data):
+    spec = Spec("m", "gbt", "y", COLUMNS)
+    encoder = fit_encoder(data, spec.recipe(data), "y")
+    rows = training_rows(data.where("key < 2000"), spec, encoder).repartition(boosting.ADDED_TOGETHER + 8).persist()
+    setting = boosting.Setting(2, 0.5, 2)
+    grown, splits = boosting.grow(rows, [setting], {}, SEED)
+    local = rows.collect()
+    want = fit_rows(rows, spec.with_params(n_estimators=2, learning_rate=0.5, max_depth=2), encoder).model.transform(rows).collect()
+    bins = boosting._binned(np.array([r["features"].toArray() for r in local]), splits)
+    assert np.allclose(boosting._guesses(bins, grown[0], setting, [2])[0], [r["prediction"] for r in want], rtol=1e-9, atol=1e-9)
+    rows.unpersist()
+
+
 def test_a_larger_grid_takes_no_more_jobs(spark, data):
     def jobs(rates: list[float]) -> int:
         group = f"grid of {len(rates)}"
@@ -64,3 +77,11 @@ def test_columns_beyond_a_byte_are_left_to_mllib(spark):
     narrow = Spec("m", "gbt", "y", ("x0", "x1"))
     train = training_rows(rows, narrow, fit_encoder(rows, narrow.recipe(rows), "y"))
     assert boosting.supported(train, [{}]) and not boosting.supported(train, [{"max_features": "log2"}])
+
+
+def test_missing_labels_are_an_error(spark):
+    rows = spark.range(40).select(F.col("id").cast("double").alias("x"), F.when(F.col("id") != 7, F.col("id").cast("double")).alias("y"))
+    spec = Spec("m", "gbt", "y", ("x",))
+    train = training_rows(rows, spec, fit_encoder(rows, spec.recipe(rows), "y"))
+    with pytest.raises(Exception, match="present and finite"):
+        boosting.grow(train, [boosting.Setting(1, 0.1, 1)], {}, SEED)
