@@ -2,10 +2,10 @@
 
 Equal shingle sets form classes. In several trees every class follows minwise values of its sketch: a node
 holds the classes that agree in all values chosen on the way to it, two at the root. Small nodes are compared
-exhaustively by their sketches. A large node whose members are alike is a cluster, and its members are compared
-with a few pivots; any other large node branches on two more values. Candidates are confirmed on the full sets,
-the best ones first: a pair whose ends are connected by then needs no confirming. Members of clusters that are still
-in several parts after that meet by the rarest shingles of their full sets, which loses no link.
+exhaustively by their sketches. A large node whose members are alike is a cluster; any other large node branches on
+two more values. What likeness of sketches and clusters connects is a group. Its full sets travel once, to blocks of
+the group, where all pairs are confirmed. Groups of several blocks that are still in several parts after that are
+cut to members that share rare shingles, which loses no link, and their blocks are compared two by two.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ from tallymark.llm.common import chunks, stage
 from tallymark.llm.components import components
 from tallymark.llm.shingles import shingle_sets, sketches
 
-WIDTH = 64  # minwise values of a sketch, one byte of each
+WIDTH = 64  # minwise values of a sketch, two bytes of each
 TREES = 16  # all of one sketch; a pair at the threshold is missed by all of them about once in 30,000
 SMALL = 64  # classes in a node that is compared exhaustively
 DEPTH = 12
 ALIKE = 0.5  # mean agreement with a member from which a large node is a cluster
 PIVOTS = 4
-CHUNK = 2_000_000
+CHUNK = 2_000_000  # bytes of texts, or of a block's sets, held at a time
+BLOCK, BLOCKS = 64, 40  # classes in a block of a group, and so many blocks before they grow up to CHUNK
+COLUMNS = 4096  # shingles counted at a time
 HOPEFUL = 34  # of 64 values agree: a pair at the threshold stays below it about once in 25,000
 THRESHOLD = (75, 100)
 
@@ -39,13 +41,13 @@ def sketched(df: DataFrame) -> DataFrame:
         for ids, texts in chunks(batches, limit=CHUNK):
             sets = shingle_sets(texts)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size else None for s in sets]
-            values = pa.array((sketches(sets, WIDTH) & 255).astype(np.uint8).view(np.int8).ravel())
+            values = pa.array((sketches(sets, WIDTH) & 65535).astype(np.uint16).view(np.int16).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * WIDTH, pa.int32()), values)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([s.size for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists],
                 ["doc_id", "n_shingles", "key", "sketch"])
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, sketch array<tinyint>")
+    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, sketch array<smallint>")
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -74,13 +76,25 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return out
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(agree.astype(np.int32))], ["a", "b", "agree"])
+def _least(own: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """The smallest of ``own`` that each one is connected with by the links of a symmetric matrix."""
+    least = own
+    while True:
+        now = np.minimum(least, np.where(linked, least[None, :], least.max()).min(axis=1))
+        if (now == least).all():
+            return least
+        least = now
 
 
-def _leaf_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs within each node whose sketches agree enough; nodes are small."""
+def _edges(own: np.ndarray, linked: np.ndarray) -> pa.RecordBatch:
+    """An edge from each one to the smallest it is connected with: as many rows as there are members at most."""
+    least = _least(own, linked)
+    some = least < own
+    return pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(least[some])], ["a", "b"])
+
+
+def _leaf_edges(rows: DataFrame) -> DataFrame:
+    """Edges that connect, within each node, what sketches that agree enough do; nodes are small."""
 
     def compared(node, rep, n, sketch) -> Iterator[pa.RecordBatch]:
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(node)) + 1, [node.size]))
@@ -88,9 +102,9 @@ def _leaf_pairs(rows: DataFrame) -> DataFrame:
             if end - start > 1:
                 own = slice(start, end)
                 agree = (sketch[own][:, None, :] == sketch[own][None, :, :]).sum(axis=2)
-                i, j = np.nonzero(np.triu(_hopeful(agree, n[own][:, None], n[own][None, :]), 1))
-                if i.size:
-                    yield _pairs(rep[own][i], rep[own][j], agree[i, j])
+                hopeful = _hopeful(agree, n[own][:, None], n[own][None, :])
+                if hopeful.sum() > end - start:
+                    yield _edges(rep[own], hopeful)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -105,11 +119,11 @@ def _leaf_pairs(rows: DataFrame) -> DataFrame:
         if held is not None:
             yield from compared(*held)
 
-    return rows.repartition("node").sortWithinPartitions("node").select("node", "rep", "n", "sketch").mapInArrow(run, "a long, b long, agree int")
+    return rows.repartition("node").sortWithinPartitions("node").select("node", "rep", "n", "sketch").mapInArrow(run, "a long, b long")
 
 
-def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs ``(a, b, agree)``, a > b, and the members ``(node, rep, n, sketch)`` of clusters.
+def _groups(classes: DataFrame) -> DataFrame:
+    """``(rep, node)`` of all classes that may be linked: classes of different nodes are not.
 
     Only rows that share a node get their sketches joined, once; from then on they carry them.
     """
@@ -117,49 +131,111 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = _children(classes.select(roots.alias("node"), "rep", "sketch"), 1, 2).select("node", "rep")
     shared = first.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1").select("node")
     nodes = first.join(shared, "node").join(classes, "rep").select("node", "rep", "n", "sketch")
-    found, clusters = [], []
+    found = []
     for depth in range(DEPTH):
         nodes = stage(nodes)
         member = F.struct("rep", "sketch")
         size = stage(nodes.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1"))
-        found.append(stage(_leaf_pairs(nodes.join(size.filter(F.col("members") <= SMALL), "node"))))
+        found.append(_leaf_edges(nodes.join(size.filter(F.col("members") <= SMALL), "node")))
         if size.filter(F.col("members") > SMALL).isEmpty():
             break
         large = nodes.join(size.filter(F.col("members") > SMALL).select("node"), "node")
         pivots = stage(large.groupBy("node").agg(F.array_distinct(F.array(
             F.min(member), *[F.min_by(member, F.xxhash64("rep", F.lit(p))) for p in range(1, PIVOTS)])).alias("pivots")))
-        met = large.join(pivots, "node").select("node", "rep", F.transform(
-            "pivots", lambda p: F.struct(p["rep"].alias("pivot"), _agree(F.col("sketch"), p["sketch"]).alias("agree"))).alias("met"))
-        met = stage(met)
-        mean = F.aggregate("met", F.lit(0), lambda acc, x: acc + x["agree"]) / F.size("met")
+        met = large.join(pivots, "node").select("node", F.transform("pivots", lambda p: _agree(F.col("sketch"), p["sketch"])).alias("met"))
+        mean = F.aggregate("met", F.lit(0), lambda acc, x: acc + x) / F.size("met")
         dense = stage(met.groupBy("node").agg(F.avg(mean).alias("mean")).filter(
             F.lit(depth == DEPTH - 1) | (F.col("mean") >= ALIKE * WIDTH)).select("node"))
-        best = F.array_max(F.transform(F.filter("met", lambda x: x["pivot"] != F.col("rep")), lambda x: F.struct(x["agree"].alias("agree"), (-x["pivot"]).alias("less"))))
-        star = met.join(dense, "node").select("rep", best.alias("best")).filter(F.col("best.agree") >= HOPEFUL)
-        pivot = -F.col("best.less")
-        found.append(star.select(F.greatest("rep", pivot).alias("a"), F.least("rep", pivot).alias("b"), F.col("best.agree").alias("agree")))
-        clusters.append(large.join(dense, "node"))
+        middle = dense.join(pivots.select("node", F.col("pivots")[0]["rep"].alias("b")), "node")
+        found.append(large.join(middle, "node").select(F.col("rep").alias("a"), "b"))
         nodes = _children(large.join(dense, "node", "left_anti"), 2)
-    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].union(union(frames[1:]))
-    pairs = stage(union(found).groupBy("a", "b").agg(F.max("agree").alias("agree")))
-    return pairs, stage(union(clusters)) if clusters else nodes.limit(0)
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
+    return components(_union(found)).select(F.col("x").alias("rep"), F.col("component").alias("node"))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return frames[0] if len(frames) == 1 else frames[0].union(_union(frames[1:]))
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members ``(node, rep, bytes)`` with the number of their node's ``blocks``, the ``block`` of each, and whether it is a ``pivot``."""
+    size = members.groupBy("node").agg(
+        F.greatest(F.least(F.lit(BLOCKS), F.ceil(F.count("*") / BLOCK)), F.ceil(F.sum("bytes") / CHUNK)).cast("int").alias("blocks"),
+        F.array(*[F.min_by("rep", F.xxhash64("rep", F.lit(p))) for p in range(PIVOTS)]).alias("pivots"))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    return members.join(stage(size), "node").withColumn("block", block).withColumn("pivot", F.array_contains("pivots", F.col("rep"))).drop("pivots")
+
+
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``x`` has in common with each of ``y``."""
+    out = np.zeros((len(x), len(y)))
+    common = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+    if x is y:
+        common, count = np.unique(np.concatenate(x), return_counts=True)
+        common = common[count > 1]
+        out[np.arange(len(x)), np.arange(len(x))] = [s.size for s in x]
+
+    def placed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [s.size for s in sets])
+        at = np.searchsorted(common, flat)
+        held = common[np.minimum(at, common.size - 1)] == flat
+        order = np.argsort(at[held], kind="stable")
+        return at[held][order], row[held][order]
+
+    if not common.size:
+        return out
+    sides = [placed(x)] if x is y else [placed(x), placed(y)]
+    total = np.zeros(out.shape)
+    for low in range(0, common.size, COLUMNS):
+        high = min(low + COLUMNS, common.size)
+        parts = []
+        for (at, row), n in zip(sides, out.shape):
+            own = slice(*np.searchsorted(at, (low, high)))
+            part = np.zeros((n, high - low), dtype=np.float32)
+            part[row[own], at[own] - low] = 1.0
+            parts.append(part)
+        total += parts[0] @ parts[-1].T
+    return np.maximum(out, total)
+
+
+def _alike(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Which sets of ``x`` are linked with which of ``y``."""
+    both = _overlaps(x, y)
+    sizes = np.array([s.size for s in x], dtype=float)[:, None] + np.array([s.size for s in y], dtype=float)[None, :]
+    return THRESHOLD[1] * both >= THRESHOLD[0] * (sizes - both)
+
+
+def _by_place(rows: DataFrame, compared, *names: str) -> DataFrame:
+    """Edges that ``compared`` finds among the rows of each ``place``, given as arrays of ``names`` and a list of sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, sets = None, [], []
         for batch in batches:
-            keep = []
-            for one, other in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (one, other))
-                both = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(THRESHOLD[1] * both >= THRESHOLD[0] * (x.size + y.size - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            place, *columns = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(names) + 1))
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [place.size])).tolist()
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                if start == end:
+                    continue
+                if at != place[start]:
+                    if len(sets) > 1:
+                        yield from compared(*(np.concatenate(c) for c in zip(*held)), sets)
+                    at, held, sets = place[start], [], []
+                held.append([c[start:end].copy() for c in columns])
+                sets += [np.frombuffer(s.as_py(), dtype=np.uint64) for s in batch.column(len(names) + 1)[start:end]]
+        if len(sets) > 1:
+            yield from compared(*(np.concatenate(c) for c in zip(*held)), sets)
+
+    return rows.repartition("place").sortWithinPartitions("place").select("place", *names, "set").mapInArrow(run, "a long, b long")
 
-    joined = pairs.select("a", "b").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
-    joined = joined.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a")
-    return stage(joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
+
+def _within_blocks(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges that connect what links within each block do; a few members meet every block of their node."""
+    every = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    rows = placed.select("rep", "node", F.explode(every).alias("at")).select("rep", F.xxhash64("node", "at").alias("place"))
+
+    def compared(rep: np.ndarray, own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        yield _edges(rep, _alike(own, own))
+
+    return _by_place(rows.join(sets, "rep"), compared, "rep")
 
 
 def _sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -187,29 +263,17 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     own = rows.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     classes = stage(own.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("m")).select(
         "key", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.sketch").alias("sketch")))
-    named = classes.select("rep", "n", "sketch")
-    candidates, clusters = _candidates(named)
-    ends = candidates.select(F.col("a").alias("rep")).union(candidates.select("b")).union(clusters.select("rep")).distinct()
-    sets = stage(_sets(df, ends))
-    links, labels, tested = None, None, None
-    for turn in range(4):
-        if turn == 3:
-            good = _between_parts(clusters, labels, sets)
-        else:
-            cross = candidates
-            if labels is not None:
-                cross = _across(cross, labels).join(tested, ["a", "b"], "left_anti")
-            if turn < 2:  # the best partner of each class only: most other pairs are connected after that
-                cross = cross.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
-            cross = stage(cross.select("a", "b"))
-            if cross.isEmpty():
-                continue
-            tested = cross if tested is None else tested.union(cross)
-            good = _confirmed(cross, sets)
-        if good.isEmpty():
-            continue
-        links = good if links is None else stage(links.union(good))
+    groups = _groups(classes.select("rep", "n", "sketch"))
+    sets = stage(_sets(df, groups))
+    placed = stage(_blocks(groups.join(classes.select("rep", (F.col("n") * 8).alias("bytes")), "rep")))
+    links, labels = stage(_within_blocks(placed, sets)), None
+    if not links.isEmpty():
         labels = components(links)
+    several = placed.filter("blocks > 1")
+    if not several.isEmpty():
+        more = stage(_between_parts(several, labels, sets))
+        if not more.isEmpty():
+            labels = components(links.union(more))
     out = rows.join(classes.select("key", "rep"), "key", "left")
     if labels is not None:
         out = out.join(labels.withColumnRenamed("x", "rep"), "rep", "left")
@@ -219,20 +283,12 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are not connected yet."""
-    a = labels.select(F.col("x").alias("a"), F.col("component").alias("ca"))
-    b = labels.select(F.col("x").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").filter(
-        F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "agree")
-
-
 def _between_parts(clusters: DataFrame, labels: DataFrame | None, sets: DataFrame) -> DataFrame:
     """Links between members of different parts of clusters that are still split, confirmed on full sets.
 
     Members are in the order of their shingles from the rarest on (among these members). Two sets similar enough share
-    one of the first shingles of both: of the first seventh, of the smaller set, and of the first quarter, of the larger
-    one. What all pages of a template share comes last and makes no candidates; only ids and these shingles travel.
+    one of the first quarter of both, so what these connect is compared, block by block, and the rest is not: what all
+    pages of a template share comes last and connects none.
     """
     labels = clusters.sparkSession.createDataFrame([], "x long, component long") if labels is None else labels
     members = stage(clusters.join(labels.withColumnRenamed("x", "rep"), "rep", "left").select(
@@ -244,15 +300,30 @@ def _between_parts(clusters: DataFrame, labels: DataFrame | None, sets: DataFram
     ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle")))
     last = F.col("size") - F.ceil(F.col("size") * THRESHOLD[0] / THRESHOLD[1]) + 1
     first = shingles.join(stage(common), "shingle", "left").groupBy("rep", "part", "size").agg(ranked.alias("order")).select(
-        "rep", "part", "size", F.posexplode(F.slice("order", F.lit(1), last.cast("int"))).alias("place", "of"))
-    first = stage(first.filter("of.n > 1").select("rep", "part", "size", "place", F.col("of.shingle").alias("shingle")))
-    sure = 2 * THRESHOLD[0], THRESHOLD[0] + THRESHOLD[1]  # of the smaller set, what the sets have in common at least
-    shorter = first.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * sure[0] / sure[1]))
-    a, b = (f.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "part", "size")]) for f, side in ((shorter, "a"), (first, "b")))
-    met = a.join(b, "shingle").filter(
-        (F.col("part_a") != F.col("part_b")) & (F.struct("size_a", "rep_a") < F.struct("size_b", "rep_b"))
-        & (THRESHOLD[1] * F.col("size_a") >= THRESHOLD[0] * F.col("size_b")))
-    return _confirmed(stage(met.select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()), sets)
+        "rep", "part", F.explode(F.slice("order", F.lit(1), last.cast("int"))).alias("of"))
+    first = stage(first.filter("of.n > 1").select("rep", "part", F.col("of.shingle").alias("shingle")))
+    shared = first.groupBy("shingle").agg(F.min("rep").alias("b"), F.max("rep").alias("high")).filter("b <> high").select("shingle", "b")
+    near = components(first.join(stage(shared), "shingle").select(F.col("rep").alias("a"), "b"))
+    size = sets.select("rep", F.octet_length("set").alias("bytes"))
+    placed = _blocks(own.join(near.select(F.col("x").alias("rep"), F.col("component").alias("node")), "rep").join(size, "rep"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = placed.select("rep", "part", "node", "block", other).select(
+        "rep", "part", (F.col("block") > F.col("other")).alias("high"), (F.col("block") == F.col("other")).alias("one"),
+        F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("place"))
+
+    def compared(rep: np.ndarray, part: np.ndarray, high: np.ndarray, one: np.ndarray, own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if part.min() == part.max() or not one.all() and high.min() == high.max():
+            return
+        x = np.flatnonzero(~high)
+        y = x if one.all() else np.flatnonzero(high)
+        some = [own[i] for i in x]
+        linked = _alike(some, some if one.all() else [own[i] for i in y]) & (part[x][:, None] != part[y][None, :])
+        i, j = np.nonzero(np.triu(linked) if one.all() else linked)
+        if i.size:
+            a, b = rep[x[i]], rep[y[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    return _by_place(rows.join(sets, "rep"), compared, "rep", "part", "high", "one")
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

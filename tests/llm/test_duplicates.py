@@ -85,6 +85,24 @@ def test_split_clusters_lose_no_link(spark, monkeypatch):
     assert got == want and len(want) > 100
 
 
+def test_pairs_of_a_group_do_not_travel(table_of, monkeypatch):
+    """Sixty near copies of one text, all linked, stage edges by members and not by pairs, of which there are 1,770."""
+    rng, edges = random.Random(8), []
+    base = [rng.choice(WORDS) for _ in range(300)]
+    rows = [(i, " ".join(edited(base, rng, 1))) for i in range(60)]
+    stage = near.stage
+
+    def counted(df):
+        out = stage(df)
+        if {"a", "b"} <= set(out.columns):
+            edges.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "stage", counted)
+    got = near.near_duplicates(table_of(rows, 3)).collect()
+    assert {r.component_id for r in got} == {0} and max(edges) <= 60
+
+
 def test_near_duplicates_of_every_degree(table_of):
     rng, rows = random.Random(4), []
     for _ in range(25):
